@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_format, mixing, packing, pseudonyms, quality_rules, secret_scan
 from .common import table
 
+
+def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_quality_rules": lambda spark, sf_dir: quality_rules.op9_quality_rules(table(spark, sf_dir, "documents")),
+    "op2_mixing": _over("documents", mixing.op2_mixing),
+    "op3_packing": _over("documents", packing.op3_packing),
+    "op4_pseudonyms": _over("documents", pseudonyms.op4_pseudonyms),
+    "op6_secret_scan": _over("documents", secret_scan.op6_secret_scan),
+    "op9_quality_rules": _over("documents", quality_rules.op9_quality_rules),
+    "op10_chat_format": _over("conversations", chat_format.op10_chat_format),
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_chat_format": chat_format.ORACLE_SQL,
 }
