@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, packing, pseudonyms, quality_rules, secret_scan
+from . import chat_format, mixing, packing, partenum, pseudonyms, quality_rules, secret_scan, warc, weighted_sampling
 from .common import table
 
 
@@ -18,7 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": _over("documents", mixing.op2_mixing),
     "op3_packing": _over("documents", packing.op3_packing),
     "op4_pseudonyms": _over("documents", pseudonyms.op4_pseudonyms),
+    "op5_weighted_sampling": _over("documents", weighted_sampling.op5_weighted_sampling),
     "op6_secret_scan": _over("documents", secret_scan.op6_secret_scan),
+    "op7_partenum": _over("documents", partenum.op7_partenum),
+    "op8_warc": lambda spark, sf_dir: warc.op8_warc(spark, table(spark, sf_dir, "pages")),
     "op9_quality_rules": _over("documents", quality_rules.op9_quality_rules),
     "op10_chat_format": _over("conversations", chat_format.op10_chat_format),
 }
