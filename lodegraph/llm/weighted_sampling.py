@@ -4,8 +4,9 @@ The terms of a text are its 5-word shingles (of fewer words, all of them as one)
 it occurs. A term's gamma variables r, c and its uniform b depend on the term alone; with weight S its step is
 t = floor(ln S / r + b) and its rank ln c - r (t - b + 1). The smallest rank wins, and two texts have the same winner with
 the probability of their generalised Jaccard similarity, sum of min(S) over sum of max(S). To take ``BINS`` samples in one
-pass over the terms, each term competes in the one bin that its hash names (bin-wise consistent weighted sampling); an
-empty bin takes the winner of the next one that is not. Equal texts have equal fingerprints; the share of equal samples
+pass over the terms, each occurrence of a term adds its weight in the one bin that its hash names (bin-wise consistent
+weighted sampling; all bins weigh alike, and a term's weight in a bin never falls as its count grows); an empty bin takes
+the winner of the next one that is not. Equal texts have equal fingerprints; the share of equal samples
 estimates the similarity.
 
 ``fingerprint_edits`` also builds each text's edited form, from the next document in descending doc_id. That order is
@@ -48,8 +49,13 @@ def _uniforms(term: Column, seed: int) -> tuple[Column, Column]:
     return (high + F.lit(0.5)) / F.lit(float(1 << 32)), (low + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
-def _ranked(term: Column, weight: Column) -> Column:
-    """The term's bin in the high bits and its rank, shifted to be positive, in the low ones."""
+def _home(term: Column) -> Column:
+    """The bin of a term's first occurrence."""
+    return F.shiftrightunsigned(term, 64 - BIN_BITS)
+
+
+def _ranked(term: Column, at: Column, weight: Column) -> Column:
+    """The bin in the high bits; in the low ones the term's rank there, shifted to be positive."""
     u1, u2 = _uniforms(term, 1)
     u3, u4 = _uniforms(term, 2)
     b, _ = _uniforms(term, 3)
@@ -58,7 +64,7 @@ def _ranked(term: Column, weight: Column) -> Column:
     often = ln_c - r * (F.floor(F.ln(weight.cast("double")) / r + b) - b + F.lit(1.0))
     rank = F.when(weight == 1, once).otherwise(often)
     scaled = (F.least(F.greatest(rank + F.lit(160.0), F.lit(0.0)), F.lit(250.0)) * F.lit(_SCALE)).cast("long")
-    return F.shiftleft(F.shiftrightunsigned(term, 64 - BIN_BITS), _RANK_BITS).bitwiseOR(scaled)
+    return F.shiftleft(at, _RANK_BITS).bitwiseOR(scaled)
 
 
 def _bin(ranked: Column) -> Column:
@@ -68,11 +74,26 @@ def _bin(ranked: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """BINS samples as an array of int."""
 
+    def runs(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+    def run_length(s: Column, first: Column, i: Column, j: Column) -> Column:
+        return F.coalesce(F.get(first, j + 1), F.size(s)) - i
+
+    def dealt(s: Column, first: Column) -> Column:
+        """Each occurrence of each term with the bin that it weighs in."""
+        bin_of = lambda h, o: F.when(o == 0, _home(h)).otherwise(_home(F.xxhash64(h, o)))
+        one = lambda h, n: F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(bin_of(h, o).alias("b"), h.alias("h")))
+        return F.flatten(F.transform(first, lambda i, j: one(F.get(s, i), run_length(s, first, i, j))))
+
+    def ranks(e: Column) -> Column:
+        own = lambda x: F.when(_home(x["h"]) == x["b"], x["h"]).otherwise(F.xxhash64(x["h"], x["b"]))
+        ranked = lambda first: F.transform(first, lambda i, j: _ranked(own(F.get(e, i)), F.get(e, i)["b"], run_length(e, first, i, j)))
+        return let(runs(e), ranked)
+
     def weighted(s: Column) -> Column:
-        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        ranked = lambda at: F.transform(at, lambda i, j: _ranked(F.get(s, i), F.coalesce(F.get(at, j + 1), F.size(s)) - i))
-        plain = F.transform(s, lambda x: _ranked(x, F.lit(1)))
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), plain).otherwise(let(first, ranked))
+        plain = F.transform(s, lambda x: _ranked(x, _home(x), F.lit(1)))
+        return F.when(F.size(F.array_distinct(s)) == F.size(s), plain).otherwise(let(let(runs(s), lambda first: F.sort_array(dealt(s, first))), ranks))
 
     def winners(k: Column) -> Column:
         return F.filter(k, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(k, i - 1))))
