@@ -15,8 +15,12 @@ columns are ignored; an empty table gives an empty result. Reruns agree, as noth
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import cycle
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ ROWS_PER_RANGE = 20_000
 #: The mix has a row per source on the driver, as its weights have; more sources than this are refused.
 MAX_SOURCES = 100_000
 SEED = 20_240_607
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> dict[str | None, float]:
@@ -85,5 +90,40 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     return placed.select("doc_id", "source", "size", "source_size", "target", "key", words_before.alias("words_before"), (epochs * F.col("size") + rest).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns; taken in part, its first words.
+
+    Rows alike in id and text share what they take evenly.
+    """
+    plan = mix_sources(docs, weights, share, most_epochs, seed=seed).withColumn("key", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    plan = plan.groupBy("key").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    names = docs.columns
+    at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def first_words(text: str, n: int) -> str:
+        for i, m in enumerate(WORD.finditer(text), 1):
+            if i == n:
+                return text[: m.end()]
+        return text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken, size = (np.array(batch.column(len(names) + k).to_pylist(), np.int64) for k in (0, 1))
+            rows = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+            if len(taken):
+                yield rows.take(pa.array(np.repeat(np.arange(len(taken)), taken // np.maximum(size, 1))))
+                cut = np.flatnonzero(taken % np.maximum(size, 1))
+                part = rows.take(pa.array(cut))
+                texts = [first_words(t, int(n)) for t, n in zip(part.column(at).to_pylist(), (taken % np.maximum(size, 1))[cut])]
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                if count_at is not None:
+                    columns[count_at] = pa.array(list(map(len, texts)), part.column(count_at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("_key", key).join(plan.withColumnRenamed("key", "_key"), "_key").select(*names, "_taken", "_size").mapInArrow(run, docs.schema)
+
+
 def op2_mixing(docs: DataFrame) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -288,5 +288,23 @@ def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "t
     return linked.unionByName(alone)
 
 
+def drop_copies(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component is kept, with all their columns.
+
+    The one with the smallest doc_id stays; documents without words all do. Rows that surely stay are not shuffled.
+    """
+    found = saved(jaccard_join(docs, threshold, text_col).select("key", "n_shingles", "is_first"), "jaccard-first")
+    gone = found.where("NOT is_first").select("key").distinct()
+    again = found.where("is_first AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    asked = saved(gone.union(again), "jaccard-gone")
+    name = "_row_key"
+    keyed = docs.withColumn(name, row_key(text_col))
+    may = maybe_in(asked.select(F.col("key").alias(name)), name)
+    gone = gone.select(F.col("key").alias(name))
+    looked = keyed.where(may).join(gone, name, "left_anti").join(again.select(F.col("key").alias(name), F.lit(True).alias("_again")), name, "left")
+    once = looked.where("_again").dropDuplicates([name])
+    return keyed.where(~may).select(*docs.columns).union(looked.where("_again IS NULL").select(*docs.columns)).union(once.select(*docs.columns))
+
+
 def op7_partenum(docs: DataFrame) -> DataFrame:
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")

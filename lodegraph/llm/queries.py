@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, packing, partenum, pseudonyms, quality_rules, secret_scan, warc, weighted_sampling
+from . import chat_format, mixing, packing, partenum, pseudonyms, quality_model, quality_rules, secret_scan, warc, weighted_sampling
 from .common import table
 
 
@@ -15,6 +16,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": _over("documents", quality_model.op1_quality_model),
     "op2_mixing": _over("documents", mixing.op2_mixing),
     "op3_packing": _over("documents", packing.op3_packing),
     "op4_pseudonyms": _over("documents", pseudonyms.op4_pseudonyms),
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": lambda spark, sf_dir: warc.op8_warc(spark, table(spark, sf_dir, "pages")),
     "op9_quality_rules": _over("documents", quality_rules.op9_quality_rules),
     "op10_chat_format": _over("conversations", chat_format.op10_chat_format),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,

@@ -106,6 +106,34 @@ def secret_scan(docs: DataFrame, vocabulary: str | None = None, min_length: int
     return docs.select("doc_id", text_col).mapInArrow(scan, SCHEMA)
 
 
+def redact(docs: DataFrame, vocabulary: str | None = None, min_length: int = MIN_LENGTH, max_ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
+    """All rows and columns, with ``[kind]`` in place of each span (of overlapping ones the first) and n_chars as it then is."""
+    path = vocabulary or vocabulary_path()
+    names = docs.columns
+    at, count_at = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
+
+    def clean(text: str | None) -> str | None:
+        out, done = [], 0
+        for kind, start, end in scan_text(text, path, min_length, max_ratio):
+            if start >= done:
+                out += [text[done:start], f"[{kind}]"]
+            done = max(done, end)
+        return "".join([*out, text[done:]]) if out else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            old = batch.column(at).to_pylist()
+            new = [clean(t) for t in old]
+            columns[at] = pa.array(new, pa.string())
+            if count_at is not None:
+                kept = batch.column(count_at).to_pylist()
+                columns[count_at] = pa.array([len(n) if n != o else k for o, n, k in zip(old, new, kept)], batch.column(count_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
