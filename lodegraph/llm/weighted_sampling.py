@@ -118,7 +118,7 @@ def as_text(samples: Column) -> Column:
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """For distinct rows (d, th, n) in descending order the next row's key as nd and nth; the last one's is the first.
+    """For distinct rows (d, th, z, n) in descending order the next row's key as nd and nth; the last one's is the first.
 
     Only ids are sorted. What a partition cannot see, the first row of the next one, comes from one row per partition.
     """
@@ -130,7 +130,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("last_at", F.coalesce(F.lead("first_at").over(along), F.min("first_at").over(whole)).alias("turn"))
     pointed = placed.join(F.broadcast(ends), F.col("at") == F.col("last_at"), "left")
-    pointed = pointed.select("d", "th", "n", F.coalesce("turn", F.col("at") + 1).alias("next_at"))
+    pointed = pointed.select("d", "th", "z", "n", F.coalesce("turn", F.col("at") + 1).alias("next_at"))
     follow = placed.select(F.col("at").alias("next_at"), F.col("d").alias("nd"), F.col("th").alias("nth"))
     return pointed.join(follow, "next_at").drop("next_at")
 
@@ -139,17 +139,18 @@ def fingerprint_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints as arrays, near_edited and near_next."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("th"), text.alias("t"))
-    keys = base.select("d", "th", F.col("doc_id").isNull().alias("z"), F.length("t").cast("long").alias("n")).distinct()
-    links = next_keys(keys)
-    full = base.withColumn("fp", fingerprint(F.col("t")))
+    keyed = docs.select(doc_id.isNull().alias("z"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("th"), text.alias("t"))
+    links = next_keys(keyed.select("d", "th", "z", F.length("t").cast("long").alias("n")).distinct())
+    # Both uses of the texts read the very same columns, so that one shuffle serves both.
+    full = keyed.select("d", "th", "t", fingerprint(F.col("t")).alias("fp"))
     # What each document wants of its next one: keyed by the next one's key.
-    wanted = links.select(F.col("nd").alias("d"), F.col("nth").alias("th"), F.col("d").alias("rd"), F.col("th").alias("rth"), F.floor(F.col("n") / 3).cast("int").alias("m"))
-    heads = full.join(wanted, ["d", "th"]).select(F.col("rd").alias("d"), F.col("rth").alias("th"), F.substr("t", F.lit(1), F.col("m")).alias("head"), F.col("fp").alias("next_fp"))
-    heads = heads.groupBy("d", "th").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
+    wanted = links.select(F.col("nd").alias("d"), F.col("nth").alias("th"), F.col("d").alias("rd"), F.col("th").alias("rth"), "z", F.floor(F.col("n") / 3).cast("int").alias("m"))
+    heads = full.join(wanted, ["d", "th"]).select(F.col("rd").alias("d"), F.col("rth").alias("th"), "z", F.substr("t", F.lit(1), F.col("m")).alias("head"), F.col("fp").alias("next_fp"))
+    heads = heads.groupBy("d", "th").agg(F.first("z").alias("z"), F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
     n = F.length("t")
     edited = F.concat(F.substr("t", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
-    joined = full.join(heads, ["d", "th"]).select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
+    own_id = F.when(~F.col("z"), F.col("d"))
+    joined = full.join(heads, ["d", "th"]).select(own_id.alias("doc_id"), n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
     made = joined.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("samples"), F.col("edited_fp").alias("edited_samples"),
