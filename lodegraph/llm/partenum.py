@@ -8,11 +8,12 @@ first and parts of frequent shingles alone, and empty ones, last; frequent ones
 documents. Parts are as many as twice k + 1 of the larger set of a pair, in powers of two (the size bands); a set also
 signs for the next band if a set of up to t / 100 times its size lies there.
 
-Documents of equal sets form a class, which signs once per partition. A bucket holds the classes with one signature. Its
-leader (the class with the most company) is compared with all others, exactly, on whole texts; linked classes are merged.
-Buckets with more than one component left go on with further leaders, four times as many each round, until in every
-bucket all pairs are compared or in one component. So no link is lost, no group is paired within itself, and buckets of
-copies are settled in one round whatever their size.
+Documents of equal sets form a class, which signs once per partition. Classes that share a signature, directly or over
+others, form a candidate group, so every link lies within one group. A group is dealt out in blocks of bounded size; first
+each block, then, where a group of several blocks is not yet one component, each pair of blocks is one task's. There a
+pair's unequal parts are counted, which cannot exceed the elements in which it differs, and the pairs that pass are
+compared exactly, on whole texts, unless they are in one component by then. No link between components is lost, a group's
+pairs are never rows, and a task returns no more links than join its components.
 
 Words are compared by 64-bit hashes. Defined results: a null text, one without words: empty set, component of its own;
 fewer than 5 words: the whole sequence is the one shingle; repeated rows are each reported, equal sets are linked; a null
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ THRESHOLD = 80
 #: Counters of the sketch of frequent shingles, and the pieces in which it is summed.
 SKETCH_BITS, PIECES = 20, 16
 LEAST_LEVEL = 6
-#: Leaders of a bucket that are compared in the first round, and their growth.
-LEADERS, GROWTH = 1, 4
+#: Classes and shingles of a block, about.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 4_000_000
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -204,81 +204,96 @@ def _signer(frequent: bytes, threshold: int):
     return sign
 
 
-def _compare(threshold: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for batch in batches:
-            found_a, found_b = [], []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-                if a != last:
-                    last, last_set = a, shingle_set(text_a.as_py())
-                if links(last_set, shingle_set(text_b.as_py()), threshold):
-                    found_a.append(a)
-                    found_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    return compare
-
-
-def _buckets(docs: DataFrame, frequent: bytes, threshold: int, text_col: str) -> DataFrame:
-    """(sig, class, rank) of signatures that more than one class has; rank 1: the leader."""
+def unequal_parts(sets: list[np.ndarray], level: int) -> np.ndarray:
+    """One byte per part and set: equal parts have equal bytes."""
+    out = np.zeros((len(sets), 1 << level), np.uint8)
+    for row, shingles in zip(out, sets):
+        parts = (shingles >> _U(64 - level)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        row[parts[at]] = (np.add.reduceat(mixed(shingles, 31), at) >> _U(56)).astype(np.uint8)
+    return out
+
+
+def linking_pairs(sets: list[np.ndarray], labels: list[int], blocks: list[int], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Pairs that link sets of different labels, as few as join them; of several blocks only pairs across are looked at."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sets, sizes = [sets[i] for i in order], sizes[order]
+    labels_, blocks_ = np.unique(np.array(labels, np.int64)[order], return_inverse=True)[1], np.array(blocks, np.int64)[order]
+    across = len(np.unique(blocks_)) > 1
+    levels = np.array([level_of(int(n), threshold) for n in sizes])
+    lowest = np.searchsorted(sizes, -(-sizes * threshold // 100))  # the smallest set that each can link to
+    out = []
+    for level in np.unique(levels):
+        mine = np.flatnonzero(levels == level)
+        base = lowest[mine[0]]
+        parts = unequal_parts(sets[base : mine[-1] + 1], int(level))
+        for i in mine:
+            low = lowest[i]
+            may = labels_[low:i] != labels_[i]
+            if across:
+                may &= blocks_[low:i] != blocks_[i]
+            near = low + np.flatnonzero(may)
+            if not len(near):
+                continue
+            apart = (parts[near - base] != parts[i - base]).sum(1)
+            for j in near[apart <= (100 - threshold) * (sizes[near] + sizes[i]) // (100 + threshold)]:
+                if labels_[j] != labels_[i] and links(sets[i], sets[j], threshold):
+                    out.append((int(order[i]), int(order[j])))
+                    labels_[labels_ == labels_[j]] = labels_[i]
+    return out
+
+
+def _link_unit(threshold: int):
+    def link(unit: pa.Table) -> pa.Table:
+        classes = unit.column("class").to_pylist()
+        sets = [shingle_set(t.as_py()) for t in unit.column("text").cast(pa.binary())]
+        found = linking_pairs(sets, unit.column("label").to_pylist(), unit.column("block").to_pylist(), threshold)
+        return pa.table({"a": pa.array([classes[i] for i, _ in found], pa.int64()), "b": pa.array([classes[j] for _, j in found], pa.int64())})
+
+    return link
+
+
+def _candidates(docs: DataFrame, frequent: bytes, threshold: int, text_col: str) -> DataFrame:
+    """(class, least) of classes that share a signature with another: the least class of that signature."""
     signed = docs.select(text_col).mapInArrow(_signer(frequent, threshold), "sig long, class long").repartition("sig")
-    shared = signed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("sig")
-    buckets = saved(signed.join(shared.hint("shuffle_hash"), "sig").distinct(), "jaccard-buckets")
-    from pyspark.sql import Window
-
-    company = buckets.groupBy("class").agg(F.count("*").alias("company"))
-    order = Window.partitionBy("sig").orderBy(F.col("company").desc(), "class")
-    return saved(buckets.join(company, "class").withColumn("rank", F.row_number().over(order)).drop("company"), "jaccard-ranked")
+    shared = signed.groupBy("sig").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("sig", "least")
+    return saved(signed.join(shared.hint("shuffle_hash"), "sig").where("class <> least").select("class", "least").distinct(), "jaccard-candidates")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link; a's text goes to as many tasks as its partners need."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
-    left = dealt.select("a", "salt").distinct().join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    right = dealt.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    met = right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return saved(met.mapInArrow(_compare(threshold), "a long, b long").distinct(), "jaccard-links")
+def _linked(units: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
+    """Links within units (grp, low, high; class, key, label, block)."""
+    texts = keyed.where(maybe_in(units.select("key"), "key")).select("key", "text").dropDuplicates(["key"])
+    rows = units.join(texts, "key").select("grp", "low", "high", "class", "label", "block", "text")
+    return saved(rows.groupBy("grp", "low", "high").applyInArrow(_link_unit(threshold), "a long, b long"), "jaccard-links")
 
 
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
     """key, doc_id, n_shingles, class and component_id of each row, and ``is_first``: one key of each component has it."""
-    spark = docs.sparkSession
     keyed = docs.select(row_key(text_col).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = saved(keyed.mapInArrow(_members_and_sketch, _MEMBERS), "jaccard-members")
     members = scanned.where("piece IS NULL").select("key", "doc_id", "n", "class")
     frequent = _frequent(scanned.where("piece IS NOT NULL").select("piece", "slice", "counts"))
 
-    ranked = _buckets(keyed, frequent, threshold, "text")
-    # One text per class that has company: the row with the least key.
-    sizes = members.where("n > 0").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    wanted = saved(sizes.join(ranked.select("class").distinct(), "class"), "jaccard-wanted")
-    texts = keyed.where(maybe_in(wanted.select("key"), "key")).select("key", "text").join(wanted.select("key", "class"), "key").select("class", "text")
-    texts = saved(texts.dropDuplicates(["class"]), "jaccard-texts")
-
-    found: list[DataFrame] = []
-    checked: list[DataFrame] = []
-    components = spark.createDataFrame([], "node long, component long")
-    low, high = 0, LEADERS
-    while True:
-        named = ranked.join(components, F.col("class") == F.col("node"), "left").select("sig", "class", "rank", F.coalesce("component", "class").alias("component"))
-        leaders = named.where((F.col("rank") > low) & (F.col("rank") <= high)).select("sig", F.col("class").alias("x"), F.col("rank").alias("rx"), F.col("component").alias("cx"))
-        met = named.join(leaders, "sig").where("rank > rx AND component <> cx")
-        pairs = met.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        sized = pairs.join(wanted.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(wanted.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = saved(sized.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "jaccard-pairs")
-        checked.append(pairs)
-        found.append(_verified(pairs, texts, threshold))
-        components = connected_components(reduce(DataFrame.union, found))
-        left = ranked.where(F.col("rank") > high)
-        named = left.join(components, F.col("class") == F.col("node"), "left").select("sig", F.coalesce("component", "class").alias("component"))
-        open_ = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        ranked = saved(left.join(open_, "sig"), "jaccard-ranked")
-        if ranked.isEmpty():
-            break
-        low, high = high, high * GROWTH
+    shared = _candidates(keyed, frequent, threshold, "text")
+    groups = connected_components(shared.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    # One text stands for a class: the row with the least key.
+    texts = members.where("n > 0").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    placed = texts.join(groups, F.col("class") == F.col("node")).select("class", "key", "n", F.col("component").alias("grp"))
+    blocks = placed.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("n_blocks"))
+    dealt = saved(placed.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks"))), "jaccard-blocks")
+    inner = dealt.select("grp", F.col("block").alias("low"), F.col("block").alias("high"), "class", "key", F.col("class").alias("label"), "block")
+    found = _linked(inner, keyed, threshold)
+    components = connected_components(found)
+
+    large = dealt.where("n_blocks > 1").join(components, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class"))
+    open_ = large.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+    large = saved(large.join(open_, "grp").select("grp", "block", "n_blocks", "class", "key", "label"), "jaccard-large")
+    if not large.isEmpty():
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other")
+        outer = large.select("*", other).where("other <> block").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        across = _linked(outer, keyed, threshold)
+        components = connected_components(found.union(across))
 
     group = members.join(components, F.col("class") == F.col("node"), "left").select("key", "doc_id", "n", "class", F.coalesce("component", "class").alias("group"))
     full = group.where("n > 0")

@@ -94,6 +94,40 @@ def test_jaccard_join_at_the_threshold(spark):
     assert got == components_of(table)
 
 
+def test_large_groups_go_in_blocks(spark, monkeypatch):
+    """With tiny blocks the pairs across blocks find what one block would."""
+    monkeypatch.setattr(partenum, "BLOCK_CLASSES", 7)
+    rng = random.Random(9)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows += [edited(base, rng.randrange(0, 9), rng) for _ in range(40)]
+    table = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = Counter(map(tuple, partenum.op7_partenum(spark.createDataFrame(table, DOCS)).collect()))
+    assert got == components_of(table)
+
+
+def test_linking_pairs_join_what_links():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 5, 6, 9, 40, 300):
+        base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        for cut in range(0, min(size, 30)):
+            sets.append(np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 64, cut // 2, dtype=np.uint64)])))
+    pairs = partenum.linking_pairs(sets, list(range(len(sets))), [0] * len(sets))
+    assert all(partenum.links(sets[i], sets[j]) for i, j in pairs)
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in pairs:
+        group[root(i)] = root(j)
+    assert all(root(i) == root(j) for i in range(len(sets)) for j in range(i) if partenum.links(sets[i], sets[j]))
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     frequent = np.zeros(1 << 10, bool)
