@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "metadata_equality_filter"
+FLAGSHIP = "bm25_topk"
+
+Tables = Callable[[str], DataFrame]
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a query, and its SQL where there is one."""
+    """Registers a function of (read) -> DataFrame, where read(table) reads a table of the query's folder."""
 
-    def register(fn):
-        QUERIES[name] = fn
+    def register(fn: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         if sql is not None:
             ORACLE_SQL[name] = sql
         return fn
@@ -24,7 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("metadata_equality_filter", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'")
-def _metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.where(F.col("lang") == "en").select("doc_id", "source", "n_chars")
+from lodegraph.plans import analytics_queries, graph_queries, retrieval_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -18,3 +21,20 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf
     if master:
         builder = builder.master(master)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session names none."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read again, so that long loops keep short plans and survive lost executors."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
