@@ -256,7 +256,9 @@ def _link_unit(threshold: int):
 
 def _candidates(docs: DataFrame, frequent: bytes, threshold: int, text_col: str) -> DataFrame:
     """(class, least) of classes that share a signature with another: the least class of that signature."""
-    signed = docs.select(text_col).mapInArrow(_signer(frequent, threshold), "sig long, class long").repartition("sig")
+    signed = docs.select(text_col).mapInArrow(_signer(frequent, threshold), "sig long, class long")
+    # Without this both uses below would each add their own null filter, and the signatures be made and shuffled twice.
+    signed = signed.where("sig IS NOT NULL AND class IS NOT NULL").repartition("sig")
     shared = signed.groupBy("sig").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("sig", "least")
     return saved(signed.join(shared.hint("shuffle_hash"), "sig").where("class <> least").select("class", "least").distinct(), "jaccard-candidates")
 
