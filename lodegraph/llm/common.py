@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,31 @@ def saved(frame: DataFrame, what: str) -> DataFrame:
     path = fresh_dir(spark, what)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: Rows of a batch that goes to a Python worker at once.
+BATCH_ROWS = 512
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # a worker lives on after its task and would keep what it once held
+        except OSError:
+            pass
+
+    return run
+
+
+def map_batches(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with small batches, so that a worker's memory is bounded by few texts and not by a whole partition.
+
+    Lowers the session's rows per Arrow batch to BATCH_ROWS if they are more.
+    """
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING, "10000")) <= BATCH_ROWS:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return frame.mapInArrow(_trimmed(function), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_batches, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_key", key).join(plan.withColumnRenamed("key", "_key"), "_key").select(*names, "_taken", "_size").mapInArrow(run, docs.schema)
+    return map_batches(docs.withColumn("_key", key).join(plan.withColumnRenamed("key", "_key"), "_key").select(*names, "_taken", "_size"), run, docs.schema)
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:

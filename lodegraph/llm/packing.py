@@ -21,7 +21,6 @@ result.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -32,6 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+from .vocab import encoding, path_of
+
 TIERS = (128, 256, 512, 1024)
 FILL_FROM = 0.75
 MOST_OPEN = 512
@@ -50,17 +52,8 @@ def tokenizer(name: str = VOCABULARY) -> Callable[[str], np.ndarray]:
     The same vocabulary as tiktoken ranks gives the same ids several times faster; the file's special tokens are split
     off first, as the tokenizers library does. ``tests/llm`` hold the two against each other.
     """
-    import json
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
-        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-    found = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    every = set(special)
+    found = encoding(path_of(f"{name}.tiktoken"))
+    every = found.special_tokens_set
 
     def ids(text: str) -> np.ndarray:
         return np.array(found.encode(text, allowed_special=every, disallowed_special=()), dtype="<u4")
@@ -179,7 +172,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str = VOCA
         packer.end()
         yield _batch(packer.drain())
 
-    return docs.select("doc_id", text_col).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", text_col), run, SCHEMA)
 
 
 def op3_packing(docs: DataFrame) -> DataFrame:

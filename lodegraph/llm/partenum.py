@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import maybe_in
-from .common import saved
+from .common import map_batches, saved
 from .components import connected_components
 
 SHINGLE = 5
@@ -167,8 +167,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(sketch: DataFrame) -> bytes:
     """The packed bits of counters that stand out; the sketch's size is fixed."""
     schema = "piece int, slice int, counts binary"
-    once = sketch.repartition("piece", "slice").mapInArrow(_summed, schema)
-    twice = once.withColumn("slice", F.lit(0)).repartition("piece").mapInArrow(_summed, schema)
+    once = map_batches(sketch.repartition("piece", "slice"), _summed, schema)
+    twice = map_batches(once.withColumn("slice", F.lit(0)).repartition("piece"), _summed, schema)
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in twice.collect():  # one row for each of PIECES
         width = len(counts) // PIECES
@@ -256,7 +256,7 @@ def _link_unit(threshold: int):
 
 def _candidates(docs: DataFrame, frequent: bytes, threshold: int, text_col: str) -> DataFrame:
     """(class, least) of classes that share a signature with another: the least class of that signature."""
-    signed = docs.select(text_col).mapInArrow(_signer(frequent, threshold), "sig long, class long")
+    signed = map_batches(docs.select(text_col), _signer(frequent, threshold), "sig long, class long")
     # Without this both uses below would each add their own null filter, and the signatures be made and shuffled twice.
     signed = signed.where("sig IS NOT NULL AND class IS NOT NULL").repartition("sig")
     shared = signed.groupBy("sig").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("sig", "least")
@@ -273,7 +273,7 @@ def _linked(units: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
     """key, doc_id, n_shingles, class and component_id of each row, and ``is_first``: one key of each component has it."""
     keyed = docs.select(row_key(text_col).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = saved(keyed.mapInArrow(_members_and_sketch, _MEMBERS), "jaccard-members")
+    scanned = saved(map_batches(keyed, _members_and_sketch, _MEMBERS), "jaccard-members")
     members = scanned.where("piece IS NULL").select("key", "doc_id", "n", "class")
     frequent = _frequent(scanned.where("piece IS NOT NULL").select("piece", "slice", "counts"))
 

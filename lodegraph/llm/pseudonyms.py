@@ -28,6 +28,8 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+
 ROUNDS = 8
 #: For tests and examples; production passes its own secret.
 DEMO_KEY = b"not a secret"
@@ -220,7 +222,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False, tex
             columns = [batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(list(map(len, spans)), pa.int64()), *counts, rows]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_values", *(f"n_{k}" for k in KINDS), "spans"])
 
-    return docs.select("doc_id", text_col).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", text_col), run, SCHEMA)
 
 
 def op4_pseudonyms(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_batches, saved
 from .quality_rules import STOP_WORDS, SYMBOLS
 
 DIMENSIONS = 4096
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["pattern", "key", "places", "values"])
 
     keyed = docs.select(F.xxhash64(F.lit(3), F.col("doc_id"), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    scanned = saved(keyed.mapInArrow(scan, schema), "quality-votes")
+    scanned = saved(map_batches(keyed, scan, schema), "quality-votes")
     counts = {r["pattern"]: r["n"] for r in scanned.where("places IS NULL").groupBy("pattern").agg(F.sum("key").alias("n")).collect()}  # at most PATTERNS rows
     posterior, _, share = fit_labels(counts)
     sample = scanned.where("places IS NOT NULL").orderBy("key", "pattern").limit(fit_rows).collect()
@@ -240,7 +240,7 @@ def classify(docs: DataFrame, model: Model | None = None, text_col: str = "text"
             scores = np.array([s for s, _ in judged])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([p for _, p in judged], pa.float64()), pa.array(scores >= model.threshold)], names=["doc_id", "score", "posterior", "kept"])
 
-    return docs.select("doc_id", F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def keep_good(docs: DataFrame, model: Model | None = None, text_col: str = "text
         for batch in batches:
             yield batch.filter(pa.array([model.judge(t.as_py())[0] >= model.threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op1_quality_model(docs: DataFrame) -> DataFrame:

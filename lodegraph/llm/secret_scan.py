@@ -17,15 +17,16 @@ empty table gives an empty result; a null doc_id stays null. A text is scanned w
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+from .vocab import encoding, path_of
+
 #: The base patterns and the least lengths of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -48,23 +49,6 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long,
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-@cache
-def encoding(path: str):
-    """The tiktoken encoding of a file of ranks, loaded once per worker."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def is_excluded(run: str) -> bool:
     """Known digests and identifiers."""
     if ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
@@ -94,7 +78,7 @@ def scan_text(text: str | None, path: str, min_length: int = MIN_LENGTH, max_rat
 
 def secret_scan(docs: DataFrame, vocabulary: str | None = None, min_length: int = MIN_LENGTH, max_ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
     """Spans of secrets in each document; ``vocabulary``: path of a file of tiktoken ranks that every executor can read."""
-    path = vocabulary or vocabulary_path()
+    path = vocabulary or path_of(DEFAULT_VOCABULARY)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +87,12 @@ def secret_scan(docs: DataFrame, vocabulary: str | None = None, min_length: int
             rows = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], _SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts, rows], names=["doc_id", *(f"n_{k}" for k in KINDS), "spans"])
 
-    return docs.select("doc_id", text_col).mapInArrow(scan, SCHEMA)
+    return map_batches(docs.select("doc_id", text_col), scan, SCHEMA)
 
 
 def redact(docs: DataFrame, vocabulary: str | None = None, min_length: int = MIN_LENGTH, max_ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
     """All rows and columns, with ``[kind]`` in place of each span (of overlapping ones the first) and n_chars as it then is."""
-    path = vocabulary or vocabulary_path()
+    path = vocabulary or path_of(DEFAULT_VOCABULARY)
     names = docs.columns
     at, count_at = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
@@ -131,7 +115,7 @@ def redact(docs: DataFrame, vocabulary: str | None = None, min_length: int = MIN
                 columns[count_at] = pa.array([len(n) if n != o else k for o, n, k in zip(old, new, kept)], batch.column(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, saved
+from .common import fresh_dir, map_batches, saved
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
@@ -195,7 +195,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     dealt = info.unionByName(body).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
-    written = dealt.mapInArrow(_shard_writer(folder, roll_bytes, least_revisit_bytes), MANIFEST)
+    written = map_batches(dealt, _shard_writer(folder, roll_bytes, least_revisit_bytes), MANIFEST)
     written.write.json(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).json(f"{folder}/manifest")
 
@@ -248,7 +248,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                     yield batch(rows)
 
     files = manifest.select("file").repartition("file")
-    return files.mapInArrow(read, RECORDS)
+    return map_batches(files, read, RECORDS)
 
 
 def op8_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:

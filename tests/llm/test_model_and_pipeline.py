@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from lodegraph.llm import mixing, partenum, quality_model, secret_scan
 from lodegraph.llm.common import saved
+from lodegraph.llm.vocab import path_of
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +78,7 @@ def test_stages(spark, sf, docs):
             group = {r["doc_id"]: r["component_id"] for r in partenum.op7_partenum(now).collect()}
             assert Counter(map(tuple, got)) == Counter(tuple(r) for r in rows if group[r["doc_id"]] == r["doc_id"])
         if name == "secrets":
-            path = secret_scan.vocabulary_path()
+            path = path_of(secret_scan.DEFAULT_VOCABULARY)
             before = {r["doc_id"]: r for r in rows}
             assert len(got) == len(rows)
             for r in got:

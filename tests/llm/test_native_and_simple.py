@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from lodegraph.llm import chat_format, mixing, packing, pseudonyms, quality_rules, secret_scan
+from lodegraph.llm.vocab import path_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,13 +141,13 @@ TRICKY = [
 
 
 def test_secret_scan_base(docs, odd):
-    path = secret_scan.vocabulary_path()
+    path = path_of(secret_scan.DEFAULT_VOCABULARY)
     for text in [*TRICKY, *(r["text"] for r in docs.collect()), *(r["text"] for r in odd.collect())]:
         assert [s for s in secret_scan.scan_text(text, path) if s[0] != "random"] == base_spans(text or "")
 
 
 def test_secret_scan_random_strings():
-    path = secret_scan.vocabulary_path()
+    path = path_of(secret_scan.DEFAULT_VOCABULARY)
     kinds = lambda t: [s[0] for s in secret_scan.scan_text(t, path)]
     assert kinds(TRICKY[7]) == ["random"]
     assert kinds(TRICKY[8]) == [] and kinds(TRICKY[9]) == []
