@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import chunking, windows
+from lodegraph.operators import chunking, entity, memory, rules, windows
 from lodegraph.plans.catalogue import query
 from lodegraph.plans.retrieval_queries import TOK
 
@@ -98,3 +98,144 @@ SELECT user_id, count(*) AS kept FROM f WHERE k = 1 GROUP BY user_id""")
 def _thin(read):
     days = read("events").groupBy("user_id").agg(F.collect_set(F.dayofmonth("ts")).alias("d"))
     return days.select("user_id", F.size(windows.thinned(F.col("d"), 3)).cast("long").alias("kept"))
+
+
+def _sql_any(column, patterns):
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
+
+
+INTENT_SQL = "CASE " + " ".join(f"WHEN {_sql_any('q', p)} THEN '{k}'" for k, p in rules.INTENTS.items()) + r" WHEN len(list_filter(string_split_regex(q, '\s+'), lambda w: w <> '')) <= 5 THEN 'factual_simple' ELSE 'analytical' END"
+
+
+@query("query_intents", f"""WITH b AS (SELECT item_id, trim(lower(substring(text, 1, 40))) AS q FROM benchmark), i AS (SELECT item_id, {INTENT_SQL} AS intent FROM b)
+SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'cross_expert' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
+def _intents(read):
+    i = read("benchmark").select("item_id", rules.intent(F.substring("text", 1, 40)).alias("intent"))
+    return i.withColumn("pipeline", rules.pipeline_of(F.col("intent")))
+
+
+AREAS = {"alpha": ("the", "and"), "beta": ("der", "und"), "gamma": ("les?", "est"), "delta": ("que", "los")}
+
+
+def _area_sql(patterns):
+    return " + ".join(f"regexp_matches(lower(text), '{p}')::INT" for p in patterns)
+
+
+@query("area_by_most_hits", f"""WITH h AS (SELECT doc_id, {', '.join(f"{_area_sql(p)} AS {k}" for k, p in AREAS.items())} FROM documents), t AS (SELECT *, greatest(alpha, beta, gamma, delta) AS top FROM h)
+SELECT doc_id, CASE WHEN top = 0 THEN 'other' WHEN alpha = top THEN 'alpha' WHEN beta = top THEN 'beta' WHEN gamma = top THEN 'gamma' ELSE 'delta' END AS area,
+CASE WHEN top > 0 AND (alpha = top)::INT + (beta = top)::INT + (gamma = top)::INT + (delta = top)::INT = 1 THEN round(top / (alpha + beta + gamma + delta), 3) ELSE 0 END::DOUBLE AS confidence FROM t""")
+def _areas(read):
+    low = F.lower("text")
+    return read("documents").select("doc_id", rules.most_hits(low, AREAS, "other").alias("area"), rules.vote_confidence(low, AREAS)["confidence"].alias("confidence"))
+
+
+#: Contradictions among documents of one source, over word pairs of the invented prose.
+WORDS = (("WITH", "FROM"), ("AVEC", "POUR"))
+
+
+@query("antonym_theta_join", f"""WITH s AS (SELECT source, doc_id, p.i AS pair, contains(upper(text), p.x) AS hx, contains(upper(text), p.y) AS hy FROM documents, (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(WORDS))}) p(i, x, y) WHERE n_chars < 600),
+m AS (SELECT a.source, least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, min(a.pair) AS pair FROM s a JOIN s b ON a.source = b.source AND a.pair = b.pair AND a.hx AND b.hy AND a.doc_id <> b.doc_id GROUP BY ALL)
+SELECT source, a, b, pair, substring(sha256(source || '::' || least(a::VARCHAR, b::VARCHAR) || '::' || greatest(a::VARCHAR, b::VARCHAR)), 1, 8) AS contradiction_id FROM m""")
+def _antonyms(read):
+    return rules.contradictions(read("documents").where("n_chars < 600"), "source", "doc_id", "text", WORDS)
+
+
+@query("alias_longest_gram", r"""WITH al(alias, entity) AS (VALUES ('the', 'e1'), ('of the', 'e2'), ('is the', 'e3'), ('and', 'e4'), ('la', 'e5')),
+w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9à-ɏ]+') AS w FROM documents),
+g AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 5) r(n))),
+m AS (SELECT id, entity, gram, row_number() OVER (PARTITION BY id ORDER BY n DESC, i) AS r FROM g JOIN al ON alias = gram) SELECT id, entity, gram FROM m WHERE r = 1""")
+def _aliases(read):
+    docs = read("documents")
+    table = docs.sparkSession.createDataFrame([("the", "e1"), ("of the", "e2"), ("is the", "e3"), ("and", "e4"), ("la", "e5")], "alias string, entity string")
+    return entity.alias_matches(docs, table, "doc_id", "text")
+
+
+@query("role_patterns", r"""WITH p(role, kind, pattern, weight) AS (VALUES ('r1', 'direct', 'the', 1.0), ('r1', 'inferred', 'tion', 0.7), ('r2', 'direct', 'und', 1.0)), t AS (SELECT doc_id AS id, lower(text) AS t FROM documents),
+h AS (SELECT id, role, kind, weight, (length(t) - length(replace(t, pattern, ''))) // length(pattern) AS n FROM t, p)
+SELECT id, role, kind, sum(n)::BIGINT AS hits, round(sum(n * weight), 2)::DOUBLE AS score FROM h WHERE n > 0 GROUP BY ALL""")
+def _role_patterns(read):
+    docs = read("documents")
+    table = docs.sparkSession.createDataFrame([("r1", "direct", "the", 1.0), ("r1", "inferred", "tion", 0.7), ("r2", "direct", "und", 1.0)], "role string, kind string, pattern string, weight double")
+    return entity.detect_roles(docs, table, "doc_id", "text")
+
+
+@query("insight_best_segment", f"""WITH i AS (SELECT c.conv_id, c.turn AS id, list_distinct({TOK.format('c.text')}) AS w FROM conversations c WHERE role = 'assistant'), s AS (SELECT conv_id, turn AS pos, list_distinct({TOK.format('text')}) AS w FROM conversations WHERE role = 'user'),
+j AS (SELECT i.conv_id, id, pos, round(len(list_intersect(i.w, s.w)) / (len(i.w) + len(s.w) - len(list_intersect(i.w, s.w))), 9) AS score FROM i JOIN s USING (conv_id) WHERE len(i.w) > 0 AND len(s.w) > 0)
+SELECT conv_id, id, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY score DESC, pos) AS r FROM j WHERE score > 0.03) WHERE r = 1""")
+def _segments(read):
+    c = read("conversations")
+    return entity.best_segment(c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("id"), "text"), c.where("role = 'user'").select("conv_id", F.col("turn").alias("pos"), "text"), "conv_id", 0.03)
+
+
+MEMORY_SQL = """e AS (SELECT role AS agent, text AS content, (length(text) % 10) / 10.0::DOUBLE AS importance, (turn % 12)::DOUBLE AS refs, conv_id % 7 = 0 AS pinned, CASE WHEN conv_id % 5 = 0 THEN 'core' ELSE 'work' END AS scope, conv_id % 30 AS days FROM conversations),
+m AS (SELECT *, 0.2 * importance + 0.3 * exp(-0.05 * days) + 0.5 * least(refs / 10, 1.0) AS composite FROM e)"""
+
+
+def memories(read):
+    now = F.lit("2024-02-01").cast("timestamp")
+    e = read("conversations").select(
+        F.col("role").alias("agent"), F.col("text").alias("content"), (F.length("text") % 10 / 10.0).alias("importance"), (F.col("turn") % 12).cast("double").alias("references"),
+        (F.col("conv_id") % 7 == 0).alias("pinned"), F.when(F.col("conv_id") % 5 == 0, "core").otherwise("work").alias("scope"), (now - F.make_dt_interval((F.col("conv_id") % 30).cast("int"))).alias("last_seen"),
+    )
+    return memory.scored(e, now)
+
+
+@query("memory_composite", f"WITH {MEMORY_SQL} SELECT agent, md5(content) AS content, round(composite, 6)::DOUBLE AS composite FROM m")
+def _memory(read):
+    return memories(read).select("agent", F.md5("content").alias("content"), F.round("composite", 6).alias("composite"))
+
+
+@query("memory_rank", f"WITH {MEMORY_SQL}, q AS (SELECT *, len(list_intersect(['the', 'and', 'for'], {TOK.format('content')})) AS c FROM m) SELECT md5(content) AS content, round(0.5 * c / 3 + 0.5 * composite, 6)::DOUBLE AS score FROM q WHERE c > 0 ORDER BY round(0.5 * c / 3 + 0.5 * composite, 9) DESC, q.content LIMIT 10")
+def _memory_rank(read):
+    return memory.search(memories(read), "the and for", 10).select(F.md5("content").alias("content"), F.round("score", 6).alias("score"))
+
+
+@query("memory_prune", f"WITH {MEMORY_SQL}, r AS (SELECT *, pinned OR scope = 'core' AS safe FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY safe DESC, composite DESC, content) AS n FROM r WHERE safe OR composite >= 0.3) SELECT agent, count(*) AS kept FROM k WHERE safe OR n <= 100 GROUP BY agent")
+def _memory_prune(read):
+    return memory.prune(memories(read), 100, 0.3).groupBy("agent").agg(F.count("*").alias("kept"))
+
+
+@query("memory_stats", f'WITH {MEMORY_SQL} SELECT scope, count(*) AS n, count(*) FILTER (pinned) AS pinned, sum(refs)::DOUBLE AS "references", round(avg(importance), 4)::DOUBLE AS importance FROM m GROUP BY ROLLUP (scope)')
+def _memory_stats(read):
+    return memory.stats(memories(read))
+
+
+@query("person_triggers", "SELECT user_id, CASE WHEN count(DISTINCT event_type) >= 2 AND count(*) >= 30 THEN 'create' WHEN count(DISTINCT event_type) >= 1 OR count(*) >= 5 THEN 'candidate' ELSE 'none' END AS decision FROM events GROUP BY user_id")
+def _triggers(read):
+    per = read("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("s"), F.count("*").alias("m"))
+    return per.select("user_id", entity.person_trigger(F.col("s"), F.col("m")).alias("decision"))
+
+
+@query("fuzzy_best_match")
+def _fuzzy(read):
+    suppliers = read("supplier").select(F.col("s_name").alias("name"))
+    return entity.best_match(suppliers.select(F.concat("name", F.lit("x")).alias("name")), suppliers)
+
+
+@query("traceable_lines", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents) WHERE length(t) >= 30 AND NOT regexp_matches(t, '^(#|>|\||---|===|\*\*\*)') GROUP BY doc_id")
+def _traceable(read):
+    lines = read("documents").select("doc_id", F.explode(F.split("text", "\\n")).alias("t"))
+    return lines.where(rules.traceable_paragraph(F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("semantic_chunks")
+def _semantic(read):
+    from lodegraph.operators import semantic
+
+    return semantic.semantic_chunks(read("documents").where("n_chars < 4000"))
+
+
+@query("paragraph_extraction", r"""WITH b AS (SELECT doc_id, unnest(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n')) AS p FROM documents)
+SELECT doc_id, count(*) AS n, sum(length(trim(p)))::BIGINT AS chars FROM b WHERE trim(p) <> '' AND NOT regexp_matches(trim(p), '^(#|\||>|---|===|\*\*\*)') GROUP BY doc_id""")
+def _paragraphs(read):
+    from lodegraph.operators import transcripts
+
+    spread = read("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return transcripts.paragraphs(spread).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("paragraph")).alias("chars"))
+
+
+@query("answers_offline", "SELECT item_id, substring(text, 1, 200) AS answer FROM benchmark")
+def _answers(read):
+    from lodegraph import plugins
+
+    return plugins.with_answers(read("benchmark").select("item_id", F.col("text").alias("prompt")), plugins.ExtractiveModel(200)).select("item_id", "answer")
