@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 22
+BITS = 1 << 21
 
 
 def _slot(key: Column, bits: int) -> Column:
@@ -22,9 +23,9 @@ def maybe_in(keys: DataFrame, name: str, bits: int = BITS) -> Column:
     """A condition on a column ``name`` that holds for every key of ``keys`` and few others."""
     slot = _slot(F.col(name), bits)
     words = keys.groupBy(F.shiftrightunsigned(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(xxhash64(7, `{name}`) & 31 AS INT))")).alias("on"))
-    on = [0] * (bits >> 5)
-    for r in words.collect():  # at most bits / 32 rows
-        on[r["word"]] = r["on"]
-    table = F.from_json(F.lit(json.dumps(on)), "array<bigint>")
+    found = words.toArrow()  # at most bits / 32 rows
+    on = np.zeros(bits >> 5, np.int64)
+    on[found.column("word").to_numpy()] = found.column("on").to_numpy()
+    table = F.from_json(F.lit(json.dumps(on.tolist())), "array<bigint>")
     word = F.get(table, F.shiftrightunsigned(slot, 5).cast("int"))
     return F.expr("CAST(1 AS BIGINT)").bitwiseAND(F.call_function("shiftright", word, slot.bitwiseAND(F.lit(31)).cast("int"))) == 1
