@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,11 @@ def cut(frame: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library wherever the driver was started."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(p for p in (root, known.get("PYTHONPATH", "")) if p)
