@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from lodegraph.plans import analytics_queries, graph_queries, retrieval_queries, text_queries  # noqa: E402, F401  they register themselves
+from lodegraph.plans import analytics_queries, graph_queries, knowledge_queries, retrieval_queries, stream_queries, text_queries  # noqa: E402, F401  they register themselves
