@@ -3,7 +3,7 @@
 Equal values get equal pseudonyms in every document, different values of one kind get different ones, and the holder of
 the key can turn them back. Kinds, and what makes a candidate valid:
 
-* ``card``: 13 to 19 digits, plain or in groups set apart by single spaces or hyphens, with a right Luhn digit; so is the pseudonym;
+* ``card``: 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5 set apart by blanks or hyphens, with a right Luhn digit; so is the pseudonym;
 * ``iban``: a country code, two check digits and 11 to 30 digits or capitals, with a right mod-97 check; so is the pseudonym;
 * ``ssn``: ddd-dd-dddd outside the ranges that are never issued;
 * ``phone``: +1 (ddd) ddd-dddd and like forms, all but the country code is permuted;
@@ -41,7 +41,7 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
 #: Every candidate has an @ or a digit near its start; what comes first in the text wins, then what comes first here.
