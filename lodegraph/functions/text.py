@@ -166,3 +166,9 @@ def cosine(a: Column, b: Column) -> Column:
     """0 where either vector has no length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def unit(a: Column) -> Column:
+    """The vector at length one; all zeros where it has no length."""
+    scaled = F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return F.get(scaled, F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
+from lodegraph.session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 RRF_SHARE, COSINE_SHARE = 0.7, 0.3
@@ -15,26 +16,32 @@ POOL, MATCH_FLOOR = 30, 0.4
 CHARS_PER_TOKEN = 4
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, doc_len): one row per document and term, counted within the row's task before the shuffle."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(id, term, doc_len, tf): one row per document and term, of the terms in ``only`` (term) if given.
+
+    Terms are cut to those wanted before they are counted and shuffled; doc_len counts all tokens.
+    """
     words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("words"))
-    terms = words.select("id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
+    terms = words.select("id", F.size("words").cast("long").alias("doc_len"), F.explode_outer("words").alias("term")).where("term IS NOT NULL")
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs and avg_len; documents without tokens count."""
-    return docs.select(F.size(T.tokens(F.col(text_col))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    counted = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(T.TOKEN))
+    return docs.select(counted.alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank) of the best k documents of each query (query_id, query).
 
     A term that a query repeats counts as often. Postings are cut to the queries' terms before anything is shuffled by
-    document; the queries are the small side of that join and Spark checks their size.
+    document, and written out; the queries are the small side of that join and Spark checks their size.
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    held = postings(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    held = cut(postings(docs, id_col, text_col, asked))  # read twice below; the texts are tokenised once
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text_col)
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -57,10 +64,12 @@ def ranked(scores: DataFrame, group: str, k: int | None, score: str = "score", t
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = POOL, floor: float = 0.0, id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank) by cosine above ``floor``, exact.
 
-    ``queries`` (query_id, vector) are the small side: all vectors stream past them.
+    ``queries`` (query_id, vector) are a stated set, the small side: all vectors, each brought to length one once, stream
+    past them.
     """
-    pairs = vectors.select(F.col(id_col).alias("id"), "embedding").join(F.broadcast(queries), F.lit(True))
-    scores = pairs.select("query_id", "id", T.cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    units = vectors.select(F.col(id_col).alias("id"), T.unit(F.col("embedding")).alias("a"))
+    asked = queries.select("query_id", T.unit(F.col("vector")).alias("b"))
+    scores = units.join(F.broadcast(asked), F.lit(True)).select("query_id", "id", T.dot(F.col("a"), F.col("b")).alias("score"))
     return ranked(scores.where(F.col("score") > floor), "query_id", k)
 
 
