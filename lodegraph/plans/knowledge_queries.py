@@ -116,3 +116,11 @@ def _greedy(read):
     pairs = c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.role") == "user") & (F.col("b.role") == "assistant"))
     scores = pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").cast("string").alias("left"), F.col("b.turn").cast("string").alias("right"), (1 / (1 + F.abs(F.col("a.turn") - F.col("b.turn")))).alias("score"))
     return matching.greedy_one_to_one(scores, "conv_id")
+
+
+@query("bucket_classifier")
+def _classifier(read):
+    from lodegraph.operators import catalog
+
+    docs = read("documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return catalog.predict_buckets(catalog.fit_buckets(docs), docs.select("doc_id", "text")).select("doc_id", "bucket", "confidence")
