@@ -114,7 +114,7 @@ def votes_of(pattern: int) -> list[int]:
 
 
 def fit_labels(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior of good by pattern, P(vote | class) as [labeller, class, vote], and the share of good documents."""
+    """Posterior of good by pattern, P(vote | class, a vote) as [labeller, class, vote], and the share of good documents."""
     patterns = sorted(counts)
     votes = np.array([votes_of(p) for p in patterns], dtype=np.int64).reshape(-1, len(LABELLERS))
     weight = np.array([counts[p] for p in patterns], dtype=float)
@@ -127,8 +127,10 @@ def fit_labels(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, flo
         for k, part in enumerate((1 - good, good)):
             for vote in range(3):
                 chance[:, k, vote] = ((votes == vote) * (weight * part)[:, None]).sum(0)
-            prior = np.array([[2.0, 0.2, 1.0], [0.2, 2.0, 1.0]])[k]  # keeps the classes from changing places
-            chance[:, k] = (chance[:, k] + prior) / (chance[:, k] + prior).sum(1, keepdims=True)
+            prior = np.array([[2.0, 0.2], [0.2, 2.0]])[k]  # keeps the classes from changing places
+            given = chance[:, k, :2] + prior
+            chance[:, k, :2] = given / given.sum(1, keepdims=True)
+            chance[:, k, NONE] = 1.0  # no vote says nothing: short texts get few
         logs = [np.log(p) + sum(np.log(chance[j, k, votes[:, j]]) for j in range(len(LABELLERS))) for k, p in ((0, 1 - share), (1, share))]
         good = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
     return dict(zip(patterns, good.tolist())), chance, share
