@@ -270,3 +270,11 @@ def test_warc_payloads_and_empty(spark, tmp_path):
     nothing = odd_pages(spark).limit(0)
     folder = f"file://{tmp_path}/none"
     assert warc.read_warc(warc.write_warc(nothing, folder), folder).count() == 0
+
+
+def test_purge_deletes_what_was_written(spark):
+    from lodegraph.llm import common
+
+    common._made.clear()
+    frame = common.saved(spark.range(3).toDF("x"), "purge-test")
+    assert frame.count() == 3 and common.purge(spark) == 1 and common.purge(spark) == 0
