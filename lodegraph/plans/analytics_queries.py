@@ -127,7 +127,7 @@ def _slices(read):
     return windows.batches_of(read("documents"), "source", "doc_id", 5).select("doc_id", "source", "slice")
 
 
-@query("priority_fifo", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS place FROM events QUALIFY place <= 3")
+@query("priority_fifo", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS place FROM events QUALIFY place <= 3", ints=("place",))
 def _fifo(read):
     return windows.newest(read("events"), "user_id", [F.col("value").desc_nulls_last(), F.col("ts"), F.col("event_id")], 3).selectExpr("event_id", "row_number() over (partition by user_id order by value desc nulls last, ts, event_id) as place")
 
@@ -226,7 +226,7 @@ def _simhash(read):
 
 
 @query("simhash_near_dup", f"""WITH {SIM}, d AS (SELECT bits, min(id) AS id FROM sim WHERE bits LIKE '%1%' GROUP BY bits)
-SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits) AS distance FROM d a JOIN d b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 3""")
+SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits) AS distance FROM d a JOIN d b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 3""", ints=("distance",))
 def _near(read):
     return dedup.hamming_pairs(dedup.simhash(read("documents")))
 

@@ -13,13 +13,16 @@ FLAGSHIP = "bm25_topk"
 Tables = Callable[[str], DataFrame]
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of (read) -> DataFrame, where read(table) reads a table of the query's folder."""
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Registers a function of (read) -> DataFrame, where read(table) reads a table of the query's folder.
+
+    ``ints``: columns that are 32-bit integers here, as ranks and sizes are, and 64-bit ones in DuckDB.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::INTEGER AS {c}' for c in ints)}) FROM ({sql})" if ints else sql
         return fn
 
     return register

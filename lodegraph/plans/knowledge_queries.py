@@ -70,7 +70,7 @@ def _gates(read):
     return knowledge.checks_passed(checks, "step").select("step", "percent", "gate")
 
 
-@query("vector_dimensions", "SELECT min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings")
+@query("vector_dimensions", "SELECT min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings", ints=("least", "most",))
 def _dimensions(read):
     return knowledge.same_dimension(read("embeddings"))
 

@@ -54,7 +54,7 @@ def vector_results(read, k: int = retrieval.POOL) -> DataFrame:
     return retrieval.vector_topk(read("embeddings"), query_vectors(read), k)
 
 
-@query("bm25_topk", f"WITH {BM25_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+@query("bm25_topk", f"WITH {BM25_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10", ints=("rank",))
 def _bm25(read):
     return bm25_results(read, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -70,7 +70,7 @@ def _lengths(read):
     return retrieval.corpus_stats(read("documents")).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-@query("cosine_topk", f"WITH {VEC_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM vec WHERE rank <= 30")
+@query("cosine_topk", f"WITH {VEC_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM vec WHERE rank <= 30", ints=("rank",))
 def _cosine(read):
     return vector_results(read).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -80,7 +80,7 @@ def _floor(read):
     return retrieval.vector_topk(read("embeddings"), query_vectors(read), None, retrieval.MATCH_FLOOR).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("vector_by_label", f"WITH {VEC_CTE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM c WHERE label = 3 AND score > 0) SELECT query_id, id, r AS rank FROM f WHERE r <= 5")
+@query("vector_by_label", f"WITH {VEC_CTE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM c WHERE label = 3 AND score > 0) SELECT query_id, id, r AS rank FROM f WHERE r <= 5", ints=("rank",))
 def _filtered_vectors(read):
     return retrieval.vector_topk(read("embeddings").where("label = 3"), query_vectors(read), 5).select("query_id", "id", "rank")
 
@@ -122,7 +122,7 @@ def _rescore(read):
 @query("graph_hybrid_fusion", f"""WITH {BM25_CTE}, {VEC_CTE}, {ARMS}, g AS (SELECT * FROM vd WHERE rank <= 20), h AS (SELECT * FROM bm WHERE rank <= 20),
 f AS (SELECT coalesce(g.query_id, h.query_id) AS query_id, coalesce(g.id, h.id) AS id, coalesce(0.4 / g.rank, 0.0) + coalesce(0.6 / h.rank, 0.0) AS score,
   CASE WHEN g.id IS NULL THEN 'hybrid' WHEN h.id IS NULL THEN 'graph' ELSE 'both' END AS origin FROM g FULL JOIN h ON g.query_id = h.query_id AND g.id = h.id)
-SELECT query_id, id, round(score, 6) AS score, origin, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 10""")
+SELECT query_id, id, round(score, 6) AS score, origin, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 10""", ints=("rank",))
 def _fuse(read):
     words, vectors, _ = arms(read)
     out = retrieval.fuse_graph(vectors.where("rank <= 20"), words.where("rank <= 20"), 10)
@@ -136,7 +136,7 @@ def _filters(read):
 
 @query("federated_bucket_topk", f"""WITH {BM25_CTE}, r AS (SELECT bm.query_id, bm.id, bm.score, {BUCKET_SQL} AS bucket FROM bm JOIN documents d ON d.doc_id = bm.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY round(score, 9) DESC, id) AS rb FROM r)
-SELECT query_id, id, bucket, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bucket, id) AS rank FROM k WHERE rb <= 10) WHERE rank <= 10""")
+SELECT query_id, id, bucket, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bucket, id) AS rank FROM k WHERE rb <= 10) WHERE rank <= 10""", ints=("rank",))
 def _federated(read):
     docs = read("documents").select(F.col("doc_id").alias("id"), bucket(F.col("source")).alias("bucket"))
     hits = bm25_results(read, None).drop("rank").join(docs, "id").withColumn("part", F.struct("query_id", "bucket"))
@@ -145,7 +145,7 @@ def _federated(read):
 
 
 @query("strategic_order", f"""WITH {BM25_CTE}, r AS (SELECT query_id, id, rank, count(*) OVER (PARTITION BY query_id) AS n FROM bm WHERE rank <= 7)
-SELECT query_id, id, rank, CASE WHEN n <= 2 THEN rank ELSE row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 2 * n + 2 - rank END) END AS position FROM r""")
+SELECT query_id, id, rank, CASE WHEN n <= 2 THEN rank ELSE row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 2 * n + 2 - rank END) END AS position FROM r""", ints=("rank",))
 def _strategic(read):
     from pyspark.sql import Window
 
@@ -154,7 +154,7 @@ def _strategic(read):
 
 
 @query("context_budget_pack", f"""WITH {BM25_CTE}, l AS (SELECT bm.query_id, bm.id, bm.rank, length('[RAG:' || bm.id || '] ' || coalesce(text, '')) AS n FROM bm JOIN documents d ON d.doc_id = bm.id WHERE rank <= 20),
-u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM l) SELECT query_id, id, rank, used::BIGINT AS used FROM u WHERE used <= 8000""")
+u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM l) SELECT query_id, id, rank, used::BIGINT AS used FROM u WHERE used <= 8000""", ints=("rank",))
 def _pack(read):
     texts = read("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return retrieval.context_pack(bm25_results(read, 20).join(texts, "id"), 2000).select("query_id", "id", "rank", "used")
@@ -162,7 +162,7 @@ def _pack(read):
 
 @query("variant_best_rank", f"""WITH {BM25_CTE}, {VEC_CTE}, {ARMS}, va AS (SELECT query_id, id, rank, 0 AS variant FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM vd WHERE rank <= 30),
 m AS (SELECT query_id, id, min(rank * 10 + variant) AS b FROM va GROUP BY ALL)
-SELECT query_id, id, b // 10 AS best_rank, (b % 10)::INT AS variant, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b, id) AS place FROM m) WHERE place <= 10""")
+SELECT query_id, id, b // 10 AS best_rank, (b % 10)::INT AS variant, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b, id) AS place FROM m) WHERE place <= 10""", ints=("place",))
 def _variants(read):
     words, vectors, _ = arms(read)
     both = words.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("variant")).union(vectors.select("query_id", "id", F.col("rank").cast("long"), F.lit(1)))
@@ -170,7 +170,7 @@ def _variants(read):
 
 
 @query("rerank_head_keep_tail", f"""WITH {BM25_CTE}, x AS (SELECT bm.query_id, bm.id, bm.rank, n_chars AS relevance FROM bm LEFT JOIN documents d ON d.doc_id = bm.id AND d.lang = 'en' WHERE rank <= 30)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN relevance END DESC NULLS LAST, rank) AS position FROM x""")
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN relevance END DESC NULLS LAST, rank) AS position FROM x""", ints=("position",))
 def _rerank(read):
     results = bm25_results(read)
     relevance = results.select("query_id", "id").join(read("documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("relevance")), "id")
@@ -183,7 +183,7 @@ RELEVANT = "SELECT e.vec_id AS query_id, o.vec_id AS id FROM embeddings e JOIN e
 @query("recall_ndcg", f"""WITH {VEC_CTE}, rel AS ({RELEVANT}), tot AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY query_id),
 h AS (SELECT query_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first_hit FROM vec JOIN rel USING (query_id, id) WHERE rank <= 10 GROUP BY query_id)
 SELECT query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits / n_relevant, 0), 6) AS recall,
-  round(coalesce(dcg / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, first_hit FROM tot LEFT JOIN h USING (query_id)""")
+  round(coalesce(dcg / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, first_hit FROM tot LEFT JOIN h USING (query_id)""", ints=("first_hit",))
 def _recall(read):
     e = read("embeddings")
     wanted = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")

@@ -12,13 +12,13 @@ from lodegraph.plans.retrieval_queries import TOK
 SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query("sentence_stats", f"SELECT doc_id, len({SENT}) AS n_sentences, list_max(list_transform({SENT}, lambda x: length(x))) AS longest FROM documents")
+@query("sentence_stats", f"SELECT doc_id, len({SENT}) AS n_sentences, list_max(list_transform({SENT}, lambda x: length(x))) AS longest FROM documents", ints=("n_sentences", "longest",))
 def _sentences(read):
     s = T.sentences(F.col("text"))
     return read("documents").select("doc_id", F.size(s).alias("n_sentences"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
-@query("token_stats", f"SELECT doc_id, len({TOK.format('text')}) AS n_tokens, len(list_distinct({TOK.format('text')})) AS n_distinct, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS estimate FROM documents")
+@query("token_stats", f"SELECT doc_id, len({TOK.format('text')}) AS n_tokens, len(list_distinct({TOK.format('text')})) AS n_distinct, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS estimate FROM documents", ints=("n_tokens", "n_distinct",))
 def _tokens(read):
     t = T.tokens(F.col("text"))
     return read("documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), T.token_estimate(F.col("text")).alias("estimate"))
