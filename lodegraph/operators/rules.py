@@ -112,6 +112,21 @@ def contradictions(insights: DataFrame, group: str, id_col: str, text_col: str,
     return both.groupBy(group, "a", "b").agg(F.min("pair").alias("pair")).withColumn("contradiction_id", T.pair_id(F.col(group).cast("string"), F.col("a").cast("string"), F.col("b").cast("string")))
 
 
+def contradiction_sides(insights: DataFrame, group: str, id_col: str, text_col: str, pairs: tuple[tuple[str, str], ...] = ANTONYMS) -> DataFrame:
+    """(group, pair, id, side, opposites): the insights with a word (side 0) or its opposite (side 1) that others of the group contradict.
+
+    Any two insights of a group and pair on different sides are one of ``contradictions``; rows grow with the insights, not with their square.
+    """
+    upper = F.upper(F.col(text_col))
+    sides = [F.struct(F.lit(i).alias("pair"), F.contains(upper, F.lit(x)).alias("x"), F.contains(upper, F.lit(y)).alias("y")) for i, (x, y) in enumerate(pairs)]
+    met = insights.select(F.col(group), F.col(id_col), F.explode(F.filter(F.array(*sides), lambda p: p["x"] | p["y"])).alias("p"))
+    one = met.dropna(subset=[group, id_col]).groupBy(group, id_col, "p.pair").agg(F.max("p.x").cast("int").alias("x"), F.max("p.y").cast("int").alias("y"))
+    total = one.groupBy(group, "pair").agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("on"), (F.col("ny") - F.col("y")).alias("n")), F.struct(F.lit(1).alias("side"), F.col("y").alias("on"), (F.col("nx") - F.col("x")).alias("n")))
+    rows = one.join(total, [group, "pair"]).select(group, "pair", id_col, F.explode(both).alias("s")).where("s.on = 1 AND s.n > 0")
+    return rows.select(group, "pair", id_col, F.col("s.side").alias("side"), F.col("s.n").alias("opposites"))
+
+
 def conflict_type(markers: Column) -> Column:
     return F.when(markers == 0, "complementary").when(markers <= 2, "divergent").otherwise("contradictory")
 

@@ -140,6 +140,14 @@ def _antonyms(read):
     return rules.contradictions(read("documents").where("n_chars < 600"), "source", "doc_id", "text", WORDS)
 
 
+#: The whole job that antonym_theta_join does on short documents only: members of each side instead of pairs, which grow quadratically.
+@query("antonym_sides", f"""WITH s AS (SELECT source, doc_id, p.i AS pair, bool_or(contains(upper(text), p.x)) AS hx, bool_or(contains(upper(text), p.y)) AS hy FROM documents, (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(WORDS))}) p(i, x, y) GROUP BY ALL),
+n AS (SELECT source, pair, count(*) FILTER (hx) AS nx, count(*) FILTER (hy) AS ny FROM s GROUP BY ALL), m AS (SELECT source, pair, doc_id, 0 AS side, ny - hy::INT AS opposites FROM s JOIN n USING (source, pair) WHERE hx UNION ALL
+SELECT source, pair, doc_id, 1, nx - hx::INT FROM s JOIN n USING (source, pair) WHERE hy) SELECT * FROM m WHERE opposites > 0""")
+def _antonym_sides(read):
+    return rules.contradiction_sides(read("documents"), "source", "doc_id", "text", WORDS)
+
+
 @query("alias_longest_gram", r"""WITH al(alias, entity) AS (VALUES ('the', 'e1'), ('of the', 'e2'), ('is the', 'e3'), ('and', 'e4'), ('la', 'e5')),
 w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9à-ɏ]+') AS w FROM documents),
 g AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 5) r(n))),
@@ -222,7 +230,7 @@ def _traceable(read):
 def _semantic(read):
     from lodegraph.operators import semantic
 
-    return semantic.semantic_chunks(read("documents").where("n_chars < 4000"))
+    return semantic.semantic_chunks(read("documents"))
 
 
 @query("paragraph_extraction", r"""WITH b AS (SELECT doc_id, unnest(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n')) AS p FROM documents)
