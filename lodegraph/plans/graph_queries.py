@@ -79,6 +79,14 @@ def _ppr(read):
     return graph.personalised_pagerank(nodes, edges, seeds, rounds=4).select("id", F.round("score", 8).alias("score")).where("score > 0")
 
 
+@query("ppr_converging")
+def _ppr_converging(read):
+    """With the operator's own ROUNDS and TOLERANCE."""
+    nodes, edges = star(read)
+    seeds = nodes.where(F.col("id").isin("nation:1", "nation:2")).select("id", F.lit(1.0).alias("mass"))
+    return graph.personalised_pagerank(nodes, edges, seeds).select("id", F.round("score", 8).alias("score")).where("score > 0")
+
+
 @query("hierarchy_trace", f"""WITH RECURSIVE {EDGES}, t AS (SELECT 'supplier:5' AS id, 0 AS hops UNION SELECT target, hops + 1 FROM t JOIN edges ON source = id WHERE hops < 2)
 SELECT id, hops, round(CASE WHEN hops = 0 THEN 1.0 ELSE 0.8 ** hops END, 6)::DOUBLE AS score FROM t""")
 def _trace(read):
@@ -132,6 +140,44 @@ def _stall(read):
     return plan.stalled(n.select("id", (F.col("id") * 3.0).alias("elapsed")), n).select("id", "elapsed", "allowed")
 
 
+#: A plan from the whole parts table: part k depends on part k // 2, so levels grow with the logarithm of the parts.
+WHOLE_PLAN = """n AS (SELECT p_partkey AS id, p_size::DOUBLE AS minutes FROM part),
+e AS (SELECT id // 2 AS source, id AS target FROM n WHERE id > 1 AND id // 2 IN (SELECT id FROM n))"""
+
+
+def whole_plan_tables(read):
+    n = read("part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("double").alias("minutes"))
+    e = n.where("id > 1").select(F.floor(F.col("id") / 2).alias("source"), F.col("id").alias("target"))
+    return n, e.join(n.select(F.col("id").alias("source")), "source", "left_semi")
+
+
+@query("plan_levels_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
+def _levels_whole(read):
+    return plan.levels(*whole_plan_tables(read))
+
+
+@query("plan_batches_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id), m AS (SELECT id, max(level) AS level FROM l GROUP BY id) SELECT level, count(*) AS n_nodes, max(minutes) AS minutes FROM m JOIN n USING (id) GROUP BY level")
+def _batches_whole(read):
+    return plan.batches(*whole_plan_tables(read))
+
+
+@query("plan_critical_path_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, minutes AS finish FROM n UNION SELECT e.target, finish + n.minutes FROM l JOIN e ON e.source = l.id JOIN n ON n.id = e.target) SELECT id, max(finish) AS finish FROM l GROUP BY id")
+def _critical_whole(read):
+    return plan.critical_path(*whole_plan_tables(read))
+
+
+@query("plan_ready_whole", f"WITH {WHOLE_PLAN}, d AS (SELECT id FROM n WHERE id % 3 = 1) SELECT id FROM n WHERE id NOT IN (SELECT id FROM d) AND id NOT IN (SELECT target FROM e WHERE source NOT IN (SELECT id FROM d))")
+def _ready_whole(read):
+    n, e = whole_plan_tables(read)
+    return plan.ready(n, e, n.where("id % 3 = 1").select("id")).select("id")
+
+
+@query("stall_detect_whole", f"WITH {WHOLE_PLAN} SELECT id, elapsed, greatest(10.0, minutes * 2)::DOUBLE AS allowed FROM (SELECT id, minutes, (id % 120)::DOUBLE AS elapsed FROM n) WHERE elapsed > greatest(10.0, minutes * 2)")
+def _stall_whole(read):
+    n, _ = whole_plan_tables(read)
+    return plan.stalled(n.select("id", (F.col("id") % 120).cast("double").alias("elapsed")), n).select("id", "elapsed", "allowed")
+
+
 @query("parity_full_outer", "SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'phantom' ELSE 'dead' END AS problem FROM (SELECT DISTINCT vec_id AS k FROM embeddings) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM documents) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def _parity(read):
     return plan.contract(read("embeddings").select(F.col("vec_id").alias("id")), read("documents").select(F.col("doc_id").alias("id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from lodegraph.operators import rules
@@ -34,3 +35,39 @@ def test_antonym_sides_are_the_pairs_of_all_documents(spark, tmp_path):
     brute = {("a", a, b, p) for a, b in combinations(range(1, 7), 2) for p, (x, y) in enumerate(words) for s, t in ((texts[a], texts[b]), (texts[b], texts[a])) if x in s.upper() and y in t.upper()}
     assert from_sides == brute and {(r["source"], r["a"], r["b"], r["pair"]) for r in rules.contradictions(docs, "source", "doc_id", "text", words).collect()} == brute
     assert {r["doc_id"]: r["opposites"] for r in got if r["pair"] == 0 and r["side"] == 0} == {1: 2, 3: 1}
+
+
+def test_plans_have_all_parts(spark):
+    parts = {r["p_partkey"]: float(r["p_size"]) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()}
+    run = lambda name: catalogue.QUERIES[name](spark, FOLDER).collect()
+    level, finish = {}, {}
+    for k in sorted(parts):
+        above = k // 2 if k > 1 and k // 2 in parts else None
+        level[k], finish[k] = (level[above] + 1, finish[above] + parts[k]) if above is not None else (0, parts[k])
+    assert max(parts) >= 40 and {r["id"]: r["level"] for r in run("plan_levels_whole")} == level
+    assert {r["id"]: r["finish"] for r in run("plan_critical_path_whole")} == finish
+    assert sum(r["n_nodes"] for r in run("plan_batches_whole")) == len(parts)
+    assert max(r["id"] for r in run("plan_ready_whole")) >= 40 and max(r["id"] for r in run("stall_detect_whole")) >= 40
+
+
+def test_pagerank_runs_all_its_rounds(spark):
+    from lodegraph.operators import graph
+    from lodegraph.plans.graph_queries import star
+
+    nodes, edges = star(lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet"))
+    ids, links = [r["id"] for r in nodes.collect()], [(r["source"], r["target"]) for r in edges.collect()]
+    links += [(t, s) for s, t in links]
+    degree = Counter(s for s, _ in links)
+    seed = {i: 0.5 * (i in ("nation:1", "nation:2")) for i in ids}
+    rank = dict(seed)
+    for i in range(1, graph.ROUNDS + 1):
+        new = {k: graph.ALPHA * v for k, v in seed.items()}
+        loose = sum(v for k, v in rank.items() if not degree[k])
+        for s, t in links:
+            new[t] += (1 - graph.ALPHA) * rank[s] / degree[s]
+        new = {k: v + (1 - graph.ALPHA) * loose * seed[k] for k, v in new.items()}
+        change, rank = sum(abs(new[k] - rank[k]) for k in ids), new
+        if i % 5 == 0 and change < graph.TOLERANCE:
+            break
+    got = {r["id"]: r["score"] for r in catalogue.QUERIES["ppr_converging"](spark, FOLDER).collect()}
+    assert all(abs(got.get(k, 0.0) - v) < 2e-8 for k, v in rank.items())
