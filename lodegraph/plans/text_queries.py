@@ -114,6 +114,14 @@ def _intents(read):
     return i.withColumn("pipeline", rules.pipeline_of(F.col("intent")))
 
 
+#: The whole job that query_intents does on the first 40 characters only.
+@query("query_intents_whole", f"""WITH b AS (SELECT item_id, trim(lower(text)) AS q FROM benchmark), i AS (SELECT item_id, {INTENT_SQL} AS intent FROM b)
+SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'cross_expert' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
+def _intents_whole(read):
+    i = read("benchmark").select("item_id", rules.intent(F.col("text")).alias("intent"))
+    return i.withColumn("pipeline", rules.pipeline_of(F.col("intent")))
+
+
 AREAS = {"alpha": ("the", "and"), "beta": ("der", "und"), "gamma": ("les?", "est"), "delta": ("que", "los")}
 
 

@@ -71,3 +71,10 @@ def test_pagerank_runs_all_its_rounds(spark):
             break
     got = {r["id"]: r["score"] for r in catalogue.QUERIES["ppr_converging"](spark, FOLDER).collect()}
     assert all(abs(got.get(k, 0.0) - v) < 2e-8 for k, v in rank.items())
+
+
+def test_intents_read_the_whole_text(spark, tmp_path):
+    late, short = "This question has quite some words before it asks to compare them", "Extraordinarily longwordedphrase of fivewords at first sight and more"
+    items = spark.createDataFrame([(1, late), (2, short)], "item_id long, text string")
+    got = {r["item_id"]: (r["intent"], r["pipeline"]) for r in catalogue.QUERIES["query_intents_whole"](spark, tables(spark, tmp_path, benchmark=items)).collect()}
+    assert got == {1: ("factual_complex", "hybrid"), 2: ("analytical", "hybrid_graph")}
