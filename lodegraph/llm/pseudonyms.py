@@ -6,9 +6,12 @@ the key can turn them back. Kinds, and what makes a candidate valid:
 * ``card``: 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5 set apart by blanks or hyphens, with a right Luhn digit; so is the pseudonym;
 * ``iban``: a country code, two check digits and 11 to 30 digits or capitals, with a right mod-97 check; so is the pseudonym;
 * ``ssn``: ddd-dd-dddd outside the ranges that are never issued;
-* ``phone``: +1 (ddd) ddd-dddd and like forms, all but the country code is permuted;
+* ``phone``: + and 7 to 15 digits, in groups or not; ten digits as (ddd) ddd-dddd, ddd-ddd-dddd, ddd.ddd.dddd or ddd ddd dddd, also after a 1;
+  ten bare digits whose area and exchange begin with 2 to 9; 0 and 8 to 11 digits in groups, or 9 bare ones; nine digits from 6 to 9 as ddd ddd ddd
+  or ddd dd dd dd. Country code and first 0 stay, as does the first digit of the last forms; the rest is permuted. Groups set apart by blanks or points only are none next to more of them;
 * ``ipv4``: four numbers of 0 to 255 without leading zeros;
-* ``date``: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy of a real day from 1900 to 2099; so is the pseudonym;
+* ``date``: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy of a real day from 1900 to 2099, dd/mm/yyyy where mm/dd/yyyy is none, and all of these
+  with days and months of one digit; so is the pseudonym, in the same form. Forms that only some days have (one digit, dd/mm/yyyy) have pseudonyms of their own;
 * ``email``: the part before the @ is permuted letter by letter and digit by digit within its classes.
 
 What fails its check is left as it is. Defined results: a null text stays null, an empty one empty; repeated rows are
@@ -34,26 +37,40 @@ ROUNDS = 8
 #: For tests and examples; production passes its own secret.
 DEMO_KEY = b"not a secret"
 
+_NO_MORE = r"(?![0-9A-Za-z@]|[.-][0-9])"
+_NOR_BLANK = r"(?![0-9A-Za-z@]|[ .-][0-9])"
+#: International ones, ten digits with signs, and those that only blanks and points set apart, which must stand alone.
+PHONE = (
+    r"(?:(?<![0-9A-Za-z+])\+(?:[0-9]{1,3}[ -]?\([0-9]{3}\)[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])|1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|[1-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]){6,14}(?![0-9]))"
+    rf"|(?<![0-9A-Za-z+])(?<![0-9][.-])(?:(?:1[ .-]?)?\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|(?:1-)?[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}){_NO_MORE}"
+    rf"|(?<![0-9A-Za-z+])(?<![0-9][ .-])(?:(?:1\.)?[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}|(?:1 )?[0-9]{{3}} [0-9]{{3}} [0-9]{{4}}|0[1-9](?:[ .-][0-9]{{2}}){{4}}"
+    rf"|[6-9][0-9]{{2}} (?:[0-9]{{3}} [0-9]{{3}}|[0-9]{{2}} [0-9]{{2}} [0-9]{{2}})|0[1-9][0-9]{{0,3}}(?: [0-9]{{3,8}}){{1,2}}){_NOR_BLANK}"
+    rf"|(?<![0-9A-Za-z+.-])(?:[2-9][0-9]{{2}}[2-9][0-9]{{6}}|0[1-9][0-9]{{8}}){_NO_MORE})"
+)
+#: Country codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+BARE = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}")
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ -]?\([0-9]{3}\)[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
+    "phone": PHONE,
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
+EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Every candidate has an @ or a digit near its start; what comes first in the text wins, then what comes first here.
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
-DATE_FORMS = (
-    (re.compile(r"(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)"), "{y:04d}-{m:02d}-{d:02d}"),
-    (re.compile(r"(?P<y>\d{4})/(?P<m>\d\d)/(?P<d>\d\d)"), "{y:04d}/{m:02d}/{d:02d}"),
-    (re.compile(r"(?P<d>\d\d)\.(?P<m>\d\d)\.(?P<y>\d{4})"), "{d:02d}.{m:02d}.{y:04d}"),
-    (re.compile(r"(?P<m>\d\d)/(?P<d>\d\d)/(?P<y>\d{4})"), "{m:02d}/{d:02d}/{y:04d}"),
-)
+DATE_FORMS = tuple(
+    re.compile(p)
+    for p in (r"(?P<y>\d{4})-(?P<m>\d\d?)-(?P<d>\d\d?)", r"(?P<y>\d{4})/(?P<m>\d\d?)/(?P<d>\d\d?)", r"(?P<d>\d\d?)\.(?P<m>\d\d?)\.(?P<y>\d{4})", r"(?P<m>\d\d?)/(?P<d>\d\d?)/(?P<y>\d{4})", r"(?P<d>\d\d?)/(?P<m>\d\d?)/(?P<y>\d{4})")
+)
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -141,9 +158,27 @@ class Pseudonymiser:
         area_at, group = divmod(value, 99)
         return f"{area_at + 1 + (area_at >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
-    def _phone(self, found: str) -> str:
-        code, rest = found[: found.index("(")], found[found.index("(") :]
-        return code + self._laid_out(rest, self._digits(re.sub(r"\D", "", rest), f"phone:{re.sub(r'\D', '', code)}"))
+    def _phone(self, found: str) -> str | None:
+        digits = re.sub(r"\D", "", found)
+        if m := re.match(r"\+(\d{1,3})[ -]?\(\d{3}\)[ -]?\d{3}[ -]?\d{4}$", found):
+            code = m[1]
+        elif found[0] == "+":
+            if not 7 <= len(digits) <= 15:
+                return None
+            code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        elif digits[0] == "0":
+            if not 9 <= len(digits) <= 12:
+                return None
+            code = "0"
+        elif len(digits) == 9:
+            code = digits[0]
+        elif len(digits) == len(found):  # bare: the pseudonym must look like a phone too
+            while not BARE.fullmatch(digits := self._digits(digits, "phone:bare")):
+                pass
+            return digits
+        else:
+            return self._laid_out(found, digits[:-10] + self._digits(digits[-10:], "phone:1"))
+        return self._laid_out(found, code + self._digits(digits[len(code) :], f"phone:{code}"))
 
     def _ipv4(self, found: str) -> str | None:
         parts = found.split(".")
@@ -153,16 +188,22 @@ class Pseudonymiser:
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def _date(self, found: str) -> str | None:
-        for pattern, form in DATE_FORMS:
+        for n, pattern in enumerate(DATE_FORMS):
             if m := pattern.fullmatch(found):
                 try:
                     day = dt.date(int(m["y"]), int(m["m"]), int(m["d"])).toordinal()
                 except ValueError:
-                    return None
+                    continue
                 if not FIRST_DAY <= day <= LAST_DAY:
                     return None
-                new = dt.date.fromordinal(FIRST_DAY + self._number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-                return form.format(y=new.year, m=new.month, d=new.day)
+                while True:  # until the new day has the same form
+                    day = FIRST_DAY + self._number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")
+                    new = dt.date.fromordinal(day)
+                    parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(m['m'])}d}", "d": f"{new.day:0{len(m['d'])}d}"}
+                    if all(len(parts[k]) == len(m[k]) for k in "md") and (n < len(DATE_FORMS) - 1 or new.day > 12):
+                        break
+                order = sorted("ymd", key=m.start)
+                return parts[order[0]] + found[m.end(order[0])] + parts[order[1]] + found[m.end(order[1])] + parts[order[2]]
         return None
 
     def _email(self, found: str) -> str:
@@ -189,6 +230,11 @@ class Pseudonymiser:
         while m := ANY.search(text, at):
             kind = m.lastgroup
             new = self._of(kind, m[0])
+            if new is None:  # the same place may be of a later kind
+                for k in KINDS[KINDS.index(kind) + 1 :]:
+                    if (other := EACH[k].match(text, m.start())) and (new := self._of(k, other[0])) is not None:
+                        kind, m = k, other
+                        break
             if new is None:  # another kind may begin within what failed
                 at = m.start() + 1
                 if m[0][0].isdigit():
