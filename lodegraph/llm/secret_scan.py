@@ -6,7 +6,9 @@ A random string has few characters per token under a subword vocabulary, ordinar
 * ``assign``, ``access`` and ``hex``: the base patterns; matches that are too short are dropped;
 * ``random``: runs of at least ``min_length`` key characters with letters and digits whose characters per token are at
   most ``max_ratio``, unless they are known digests (hex runs of a digest's length, as such the ``hex`` kind has them),
-  UUIDs, or words joined by ``-``, ``_``, ``.`` or ``/`` of which each is plain letters or plain digits.
+  UUIDs, or words joined by ``-``, ``_``, ``.`` or ``/`` of which each is plain letters or plain digits. Of a run that is
+  not random as a whole, the parts between separators that are, and else the parts that random windows of tokens of
+  ``min_length`` characters reach into, digests and UUIDs left out.
 
 ``secret_scan(docs, vocabulary)`` returns one row per input row: doc_id, the kinds' counts, and ``spans``, an array of
 (kind, start, end) in code points with an exclusive end, by start and then kind in the order above.
@@ -40,6 +42,9 @@ DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 PARTS = re.compile(r"[-_/=+]")
+PART = re.compile(r"[^-_/=+]+")
+#: A UUID or a part of hex digits within a run.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9])")
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_LENGTH = 20
@@ -62,6 +67,61 @@ def is_random(run: str, path: str, max_ratio: float) -> bool:
     return len(run) <= max_ratio * len(encoding(path).encode_ordinary(run))
 
 
+def random_parts(run: str, path: str, min_length: int, max_ratio: float) -> list[tuple[int, int]]:
+    """Spans of a run that are random though the run as a whole may not be; time linear in its length."""
+    if is_random(run, path, max_ratio):
+        return [(0, len(run))]
+    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or is_excluded(run):
+        return []
+    out, at = [], 0
+    known = [m.span() for m in KNOWN.finditer(run) if "-" in m[0] or len(m[0]) in DIGEST_LENGTHS]
+    for start, end in [*known, (len(run), len(run))]:
+        if start - at >= min_length:
+            out += _random_in(run, at, start, path, min_length, max_ratio)
+        at = end
+    return out
+
+
+def _random_in(run: str, begin: int, stop: int, path: str, min_length: int, max_ratio: float) -> list[tuple[int, int]]:
+    found = []
+    parts = [(m.start() + begin, m.end() + begin) for m in PART.finditer(run[begin:stop])]
+    for start, end in parts:
+        if end - start >= min_length and is_random(run[start:end], path, max_ratio):
+            found.append((start, end))
+    coder, ends, windows = encoding(path), [begin], []
+    for token in coder.encode_ordinary(run[begin:stop]):
+        ends.append(ends[-1] + len(coder.decode_single_token_bytes(token)))
+    last = 0
+    for first in range(len(ends) - 1):  # windows of whole tokens, as short as min_length allows
+        while last < len(ends) - 1 and ends[last] - ends[first] < min_length:
+            last += 1
+        start, end = ends[first], ends[last]
+        if end - start < min_length:
+            break
+        if end - start <= max_ratio * (last - first) and _mixed(run[start:end]):
+            windows.append((start, end))
+    k = 0
+    for start, end in windows:
+        while k < len(parts) and parts[k][1] <= start:
+            k += 1
+        reached = k
+        while reached + 1 < len(parts) and parts[reached + 1][0] < end:
+            reached += 1
+        found.append((parts[k][0], parts[reached][1]))
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(end, merged[-1][1])
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _mixed(window: str) -> bool:
+    """Whether most of a window is in parts of both letters and digits."""
+    return 2 * sum(len(p) for p in PARTS.split(window) if p and not p.isalpha() and not p.isdigit()) > len(window)
+
+
 def scan_text(text: str | None, path: str, min_length: int = MIN_LENGTH, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span."""
     if not text:
@@ -71,8 +131,8 @@ def scan_text(text: str | None, path: str, min_length: int = MIN_LENGTH, max_rat
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= min_length and is_random(m[0], path, max_ratio):
-            found.append((m.start(), 3, m.end()))
+        if m.end() - m.start() >= min_length:
+            found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], path, min_length, max_ratio)]
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import string
 
 import pytest
-from lodegraph.llm import pseudonyms
+from lodegraph.llm import pseudonyms, secret_scan
+from lodegraph.llm.vocab import path_of
 
 PHONES = (
     "+1 (017) 555-7713", "(212) 555-0147", "212-555-0147", "212.555.0147", "212 555 0147", "1-212-555-0147", "+1 212-555-0147", "+12125550147", "2125550147", "+44 20 7946 0958", "+44 (0)20 7946 0958",
@@ -40,3 +42,24 @@ def test_mixed_values_turn_back():
         new, spans = pseudonyms.Pseudonymiser(b"k").text(text)
         old, again = pseudonyms.Pseudonymiser(b"k", back=True).text(new)
         assert old == text and [s[0] for s in again] == [s[0] for s in spans]
+
+
+@pytest.mark.parametrize("before", ["", "connection/database/production/", "production_database_connection_", "downloads/documents/public/releases/"])
+def test_secrets_joined_to_words(before):
+    rng, path = random.Random(1), path_of(secret_scan.DEFAULT_VOCABULARY)
+    missed = 0
+    for _ in range(200):
+        text = f"see {before}{(secret := ''.join(rng.choices(string.ascii_letters + string.digits, k=24)))} there"
+        at = text.index(secret)
+        missed += not any(k == "random" and a <= at and b >= at + 24 for k, a, b in secret_scan.scan_text(text, path))
+    assert missed <= 6
+
+
+def test_secrets_with_separators_within_and_known_digests():
+    path = path_of(secret_scan.DEFAULT_VOCABULARY)
+    words = "connection/database/production/management/documents/international/"
+    secret = "q7Xb2Lp9/Zt4Vn8Kd+3Rw6Yh1Gf5Jc0Ms/2Qa7"
+    assert any(k == "random" and b - a >= 30 for k, a, b in secret_scan.scan_text(words + secret, path))
+    digest = words * 3 + "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+    assert [s[0] for s in secret_scan.scan_text(digest, path)] == ["hex"]
+    assert not secret_scan.scan_text(words + words, path)
