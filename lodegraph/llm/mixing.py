@@ -30,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 ROWS_PER_RANGE = 20_000
-#: The mix has a row per source on the driver, as its weights have; more sources than this are refused.
+#: Up to so many sources, targets are found on the driver and broadcast; of more, by aggregate passes, with the same results.
 MAX_SOURCES = 100_000
 SEED = 20_240_607
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +56,46 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Distinct sources with their place in the order of code points, null last: ranges sorted apart, with the sizes of those before."""
+    order = [F.col("s").isNull(), F.col("s")]
+    dealt = saved(sources.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    before, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, before))
+        before += sizes[part]
+    starts = F.broadcast(sources.sparkSession.createDataFrame(rows, "_part int, _start long"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_start") - 1
+    return dealt.join(starts, "_part").withColumn("place", place).drop("_part", "_start")
+
+
+def spread_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
+    """``targets`` for sources (s, source_size) of any number: adds target; a round of water-filling is an aggregate pass."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = saved(ranked(sources).withColumn("weight", weight).drop("place"), "mix-weights")
+    cap = F.col("source_size") * F.lit(most_epochs)
+    first = placed.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w"), F.count("*").alias("open")).first()
+    left, total, count, closed = share * first["n"], first["w"], first["open"], F.lit(False)
+    while count:
+        above = ~closed & (F.lit(float(left)) * F.col("weight") / F.lit(float(total)) > cap)
+        got = placed.agg(F.sum(F.when(above, F.col("source_size"))).alias("n"), F.sum(F.when(~closed & ~above, F.col("weight"))).alias("w"), F.count_if(above).alias("above")).first()
+        if not got["above"]:
+            break
+        left, total, count = left - most_epochs * got["n"], got["w"], count - got["above"]
+        closed = closed | above
+    level = F.lit(float(left)) * F.col("weight") / F.lit(float(total or 1))
+    return saved(placed.select("*", F.when(closed, cap.cast("double")).otherwise(level).alias("target")).drop("weight"), "mix-targets")
+
+
+def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with the columns of their source: sources of several ranges, of which there are few, are broadcast; the rest meet by source."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    large = F.broadcast(sources.where("n_ranges > 1"))
+    small = rows.join(large, same, "left_anti").join(sources.where("n_ranges = 1").hint("merge"), same)
+    return rows.join(large, same).unionByName(small)
+
+
 def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """doc_id, source, size in words and the random key of each row, written out once."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -67,16 +107,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """doc_id, source, size, source_size, target, key, words_before and taken of each row."""
     spark = docs.sparkSession
     rows = sized(docs, seed=seed)
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    found = by_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = targets({r["source"]: r["n"] for r in found}, weights, share, most_epochs)
-    plan = [(r["source"], r["n"], target[r["source"]], max(1, -(-r["docs"] // rows_per_range))) for r in found]
-    sources = spark.createDataFrame(plan, "s string, source_size long, target double, n_ranges long")
+        each = by_source.select(F.col("source").alias("s"), F.col("n").alias("source_size"), F.ceil(F.col("docs") / rows_per_range).alias("n_ranges"))
+        met = with_sources(rows, spread_targets(each, weights, share, most_epochs))
+    else:
+        target = targets({r["source"]: r["n"] for r in found}, weights, share, most_epochs)
+        plan = [(r["source"], r["n"], target[r["source"]], max(1, -(-r["docs"] // rows_per_range))) for r in found]
+        sources = spark.createDataFrame(plan, "s string, source_size long, target double, n_ranges long")
+        met = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))
     # A range of the key: its place among n_ranges equal parts of the 64-bit space.
     place = F.floor((F.shiftrightunsigned("key", 32).cast("double") / F.lit(float(1 << 32))) * F.col("n_ranges")).cast("long")
     signed = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))  # so that ranges and key agree in their order
-    dealt = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).withColumns({"range": place, "key": signed}).drop("s")
+    dealt = met.withColumns({"range": place, "key": signed}).drop("s")
     ranges = dealt.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.select(F.col("source").alias("os"), F.col("range").alias("orange"), before.alias("offset"))

@@ -7,7 +7,7 @@ import re
 import string
 
 import pytest
-from lodegraph.llm import pseudonyms, secret_scan
+from lodegraph.llm import mixing, pseudonyms, secret_scan
 from lodegraph.llm.vocab import path_of
 
 PHONES = (
@@ -63,3 +63,14 @@ def test_secrets_with_separators_within_and_known_digests():
     digest = words * 3 + "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
     assert [s[0] for s in secret_scan.scan_text(digest, path)] == ["hex"]
     assert not secret_scan.scan_text(words + words, path)
+
+
+def test_mixing_of_many_sources(spark, odd, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "w " * int(rng.paretovariate(0.7) % 400), rng.choice([None, "", "é", "￿", "\U0001f600", *map(str, range(60))])) for i in range(1500)]
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string, source string"), odd):
+        show = lambda: sorted(map(repr, mixing.mix_sources(frame, rows_per_range=20).collect()))  # noqa: E731, B023
+        few = show()
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MAX_SOURCES", 3)
+            assert show() == few
