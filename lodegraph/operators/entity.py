@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
 from lodegraph.functions.fuzzy import sequence_ratio, strip_accents
+from lodegraph.session import cut
 
 MERGE, REVIEW, ALIAS_REVIEW = 0.95, 0.85, 0.5
 MAX_GRAM = 4
@@ -32,23 +33,51 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: s
     return best.select("id", "b.entity", "b.gram")
 
 
-def block_keys(name: Column) -> Column:
-    """Keys that similar names share: each token's first three letters, and the name's first and last letters with its length band."""
-    tokens = F.array_distinct(T.tokens(name))
-    flat = F.regexp_replace(F.lower(name), "[^a-z0-9à-ɏ]", "")
-    edges = F.array(F.concat(F.lit("a:"), F.substring(flat, 1, 2)), F.concat(F.lit("z:"), F.reverse(F.substring(F.reverse(flat), 1, 2))))
-    return F.array_union(F.transform(tokens, lambda t: F.concat(F.lit("t:"), F.substring(t, 1, 3))), edges)
+def _bigrams(text: Column) -> Column:
+    """Pairs of neighbouring letters, each with which of its kind it is: a multiset as a set."""
+    pairs = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    numbered = lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: y == x)).cast("string"))
+    return F.transform(pairs, numbered)
+
+
+def similar_pairs(names: DataFrame, candidates: DataFrame, floor: float) -> DataFrame:
+    """(name, candidate) in lower case without marks as (a, b) too: all pairs whose sequence ratio may be ``floor``, and some below.
+
+    A ratio of ``floor`` is M >= floor * L / 2 matched letters of the L of both names. M is at most the shorter length, and
+    lies in at most L - 2M + 1 blocks, so both names share 3M - L - 1 bigrams at least. Names whose bound is t share one of
+    their first n - t + 1 bigrams in any common order, here the rarest first. Names too short for it meet by length.
+    """
+    span, rate = floor / (2 - floor), 1.5 * floor - 1
+    n = names.select("name").where("name IS NOT NULL").distinct().withColumn("a", strip_accents("name"))
+    c = candidates.select(F.col("name").alias("candidate")).where("candidate IS NOT NULL").distinct().withColumn("b", strip_accents("candidate"))
+    slack = 1e-9
+    near = (F.least(F.length("a"), F.length("b")) + slack >= F.greatest(F.length("a"), F.length("b")) * span)
+    if rate <= 0:  # no bound on bigrams
+        return n.crossJoin(c).where(near)
+    items = cut(n.select("a").union(c.select(F.col("b").alias("a"))).distinct().select("a", _bigrams(F.col("a")).alias("all")))
+    spread = items.select("a", F.explode("all").alias("g"))
+    ordered = spread.join(spread.groupBy("g").agg(F.count("*").alias("f")), "g").groupBy("a").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("grams"))
+    length = F.length("a")
+    least = F.ceil(rate * (length + F.ceil(length * span - slack)) - 1 - slack)  # with the shortest name that may match
+    head = F.slice("grams", F.lit(1), F.least(F.size("grams"), F.size("grams") - least + 1).cast("int"))
+    empty = F.array().cast("array<string>")
+    made = cut(items.select("a").join(ordered, "a", "left").select("a", F.coalesce("grams", empty).alias("grams"), (least <= 0).alias("short"), F.coalesce(head, empty).alias("head")))
+    left = n.join(made, "a")
+    right = c.join(made.select(F.col("a").alias("b"), F.col("grams").alias("grams_b"), F.col("short").alias("short_b"), F.col("head").alias("head_b")), "b")
+    met = left.withColumn("k", F.explode("head")).join(right.withColumn("k", F.explode("head_b")), "k")
+    shared = F.size(F.array_intersect("grams", "grams_b")) + slack >= rate * (F.length("a") + F.length("b")) - 1
+    by_gram = met.where(near & (F.get(F.array_intersect("head", "head_b"), F.lit(0)) == F.col("k")) & shared)
+    by_length = left.where("short").join(right.where("short_b"), near & (F.size(F.array_intersect("head", "head_b")) == 0))
+    return by_gram.select("name", "a", "candidate", "b").union(by_length.select("name", "a", "candidate", "b"))
 
 
 def best_match(names: DataFrame, candidates: DataFrame, floor: float = REVIEW) -> DataFrame:
     """(name, candidate, ratio): the most similar candidate at or above ``floor``; equal ones by candidate.
 
-    Only names that share a block key are compared, in Arrow batches.
+    All pairs that can reach the floor are compared, in Arrow batches.
     """
-    n = names.select("name").distinct().select("name", F.explode(block_keys(F.col("name"))).alias("k"))
-    c = candidates.select(F.col("name").alias("candidate")).distinct().select("candidate", F.explode(block_keys(F.col("candidate"))).alias("k"))
-    pairs = n.join(c, "k").select("name", "candidate").distinct()
-    scored = pairs.withColumn("ratio", sequence_ratio(strip_accents("name"), strip_accents("candidate"))).where(F.col("ratio") >= floor)
+    pairs = similar_pairs(names, candidates, floor)
+    scored = pairs.select("name", "candidate", sequence_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= floor)
     order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")
     return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 

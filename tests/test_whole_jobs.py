@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import unicodedata
 from collections import Counter
+from difflib import SequenceMatcher
 from itertools import combinations
 
-from lodegraph.operators import rules
+from lodegraph.operators import entity, rules
 from lodegraph.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -78,3 +81,27 @@ def test_intents_read_the_whole_text(spark, tmp_path):
     items = spark.createDataFrame([(1, late), (2, short)], "item_id long, text string")
     got = {r["item_id"]: (r["intent"], r["pipeline"]) for r in catalogue.QUERIES["query_intents_whole"](spark, tables(spark, tmp_path, benchmark=items)).collect()}
     assert got == {1: ("factual_complex", "hybrid"), 2: ("analytical", "hybrid_graph")}
+
+
+def test_best_match_is_the_best_of_all(spark):
+    rng = random.Random(7)
+    names = ["Schwarzkopff", "Yekaterina", "", "a", "ab", "É", "José", "aaaaaa", "Supplier#01"]
+    for _ in range(60):
+        names.append("".join(rng.choices("abcdeé ", k=rng.randint(1, 14))))
+    registry = ["Shwarzkopf", "Ekaterinah", "", "A", "ba", "e", "Jose", "aaaaaab", "Supplier#02", "zzz"]
+    for name in names[9:]:
+        for _ in range(2):
+            letters = list(name)
+            letters[rng.randrange(len(letters))] = rng.choice("abcde")
+            letters.insert(rng.randrange(len(letters) + 1), rng.choice(["", "", "x"]))
+            registry.append("".join(letters))
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    n, c = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in registry], "name string")
+    for floor in (0.85, 0.7, 0.5):
+        want = {}
+        for x in set(names):
+            ratio, best = max((SequenceMatcher(None, plain(x), plain(y)).ratio(), [-ord(k) for k in y] + [1], y) for y in set(registry))[::2]
+            if ratio >= floor:
+                want[x] = (best, ratio)
+        assert {r["name"]: (r["candidate"], r["ratio"]) for r in entity.best_match(n, c, floor).collect()} == want
+        assert want["Schwarzkopff"][0] == "Shwarzkopf" and want["Yekaterina"][0] == "Ekaterinah"
