@@ -76,7 +76,7 @@ def best_match(names: DataFrame, candidates: DataFrame, floor: float = REVIEW) -
 
     All pairs that can reach the floor are compared, in Arrow batches.
     """
-    pairs = similar_pairs(names, candidates, floor)
+    pairs = similar_pairs(names, candidates, floor).repartition("name", "candidate")  # few rows make many pairs
     scored = pairs.select("name", "candidate", sequence_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= floor)
     order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")
     return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
