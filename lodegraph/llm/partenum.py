@@ -1,12 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Two documents link when 100 * |A and B| >= threshold * |A or B| over their sets of distinct 5-word shingles. The domain of
-shingle hashes is cut into 2^m parts. Sets of sizes a and b that link differ in at most k = (100 - t)(a + b) / (100 + t)
-elements, so all but k of their parts are equal. Under any one order of part signatures, the first k + 1 signatures of both
-sets then share one: that is the subset of parts that a set enumerates. The order puts parts with the most rare shingles
-first and parts of frequent shingles alone, and empty ones, last; frequent ones are found by a sketch that counts all
-documents. Parts are as many as twice k + 1 of the larger set of a pair, in powers of two (the size bands); a set also
-signs for the next band if a set of up to t / 100 times its size lies there.
+Two documents link when 100 * |A and B| >= threshold * |A or B| over their sets of distinct 5-word shingles. Sets of sizes
+a and b that link differ in at most k = (100 - t)(a + b) / (100 + t) elements. Sizes fall in bands that double; a pair
+meets in the band of its larger set, so a set also signs for the next band if a set that it may link to lies there. In a
+band the domain of shingle hashes is cut into n1 first-level parts of 3 second-level parts each, with n1 a little over half
+the band's largest k. A signature is a first-level part with a subset of two of its second-level parts and what the set has
+there. Some first-level part holds at most one difference, so at least one of its subsets is equal: with n1 parts to spare,
+a linked pair has c = 2 n1 - k (3 n1 - 2 k for k <= n1) signatures in common, so the first 3 n1 - c + 1 of both under any one
+order share one, and the rest need not be made. The order puts subsets with the most rare shingles first and those of
+frequent shingles alone, and empty ones, last; frequent ones are found by a sketch that counts all documents. A signature
+has about five shingles in common, so texts that merely share a passage seldom meet.
 
 Documents of equal sets form a class, which signs once per partition. Classes that share a signature, directly or over
 others, form a candidate group, so every link lies within one group. A group is dealt out in blocks of bounded size; first
@@ -32,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import maybe_in
-from .common import map_batches, saved
+from .common import map_batches, saved, unused
 from .components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Counters of the sketch of frequent shingles, and the pieces in which it is summed.
-SKETCH_BITS, PIECES = 20, 16
+#: Counters of the sketch of frequent shingles, as powers of two: as many as documents within these bounds. It only orders.
+SKETCH_BITS, PIECES = (20, 22), 16
+#: Second-level parts of a first-level part; a subset leaves one out.
+SECOND = 3
 LEAST_LEVEL = 6
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 4_000_000
@@ -78,34 +83,44 @@ def most_apart(a: int, b: int, threshold: int) -> int:
 
 
 def level_of(size: int, threshold: int) -> int:
-    """log2 of the number of parts for pairs whose larger set has this size."""
+    """log2 of the parts by which sets of this size are compared before their elements are."""
     return max(LEAST_LEVEL, (2 * (most_apart(size, size, threshold) + 1) - 1).bit_length())
 
 
+def first_parts(k: int) -> int:
+    """First-level parts of a band whose sets differ in at most k elements."""
+    return k // 2 + 1 + k // 16
+
+
 def signatures(shingles: np.ndarray, frequent: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Signatures of a sorted set, as signed 64-bit values; none where only an equal set can link."""
     n = len(shingles)
     if not n:
         return np.empty(0, np.int64)
     largest = 100 * n // threshold
-    if most_apart(n, largest, threshold) == 0:
-        return np.empty(0, np.int64)
-    rare = ~frequent[(shingles & _U(len(frequent) - 1)).astype(np.int64)]
-    content = mixed(shingles, 11)
+    content = rare = None
     out = []
-    for level in range(level_of(n, threshold), level_of(largest, threshold) + 1):
-        keep = most_apart(n, largest, threshold) + 1
-        parts = shingles >> _U(64 - level)
+    for band in range((n - 1).bit_length(), (largest - 1).bit_length() + 1):
+        k = most_apart(n, min(largest, 1 << band), threshold)
+        if not k:
+            continue
+        if content is None:
+            content = mixed(shingles, 11)
+            rare = (~frequent[(shingles & _U(len(frequent) - 1)).astype(np.int64)]).astype(np.int64)
+        n1 = first_parts(most_apart(1 << band, 1 << band, threshold))
+        parts = ((shingles >> _U(32)) * _U(SECOND * n1)) >> _U(32)
         at = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
-        full = parts[at]
-        sums = mixed(np.add.reduceat(content, at) + full * _MULTIPLIERS[1], level)
-        n_rare = np.add.reduceat(rare.astype(np.int64), at)
-        chosen = sums if len(sums) <= keep else sums[np.lexsort((sums, -n_rare))[:keep]]
-        out.append(chosen)
-        if len(sums) < keep:
-            empty = np.setdiff1d(np.arange(1 << level, dtype=_U), full, assume_unique=True)
-            out.append(np.sort(mixed(empty * _MULTIPLIERS[1], level))[: keep - len(sums)])
-    return np.concatenate(out).view(np.int64)
+        full = parts[at].astype(np.int64)
+        sums, n_rare = np.zeros(SECOND * n1, _U), np.zeros(SECOND * n1, np.int64)
+        sums[full], n_rare[full] = np.add.reduceat(content, at), np.add.reduceat(rare, at)
+        sums, n_rare = mixed(sums, band).reshape(n1, SECOND), n_rare.reshape(n1, SECOND)
+        place = np.arange(SECOND * n1, dtype=_U).reshape(n1, SECOND) * _MULTIPLIERS[0]
+        made = mixed(np.roll(sums, 1, 1) * _MULTIPLIERS[1] + np.roll(sums, 2, 1) * _MULTIPLIERS[2] + place, band + 64).ravel()
+        weak = (n_rare - n_rare.sum(1, keepdims=True)).ravel()  # minus the rare shingles of the two parts that are not left out
+        common = SECOND * n1 - 2 * k if k <= n1 else 2 * n1 - k
+        keep = SECOND * n1 - common + 1
+        out.append(made if keep >= len(made) else made[np.lexsort((made, weak))[:keep]])
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def links(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -127,29 +142,39 @@ def _class_of(shingles: np.ndarray) -> int:
     return int((mixed(shingles, 23).sum() + _U(len(shingles))).astype(np.int64)) if len(shingles) else 0
 
 
-def _members_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members_and_sketch(bits: int):
     names = [c.split()[0] for c in _MEMBERS.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        sizes, classes, waiting = [], [], []
-        for text in batch.column(2).cast(pa.binary()):
-            found = shingle_set(text.as_py())
-            sizes.append(len(found))
-            classes.append(_class_of(found))
-            waiting.append(found)
-            if sum(map(len, waiting[-1:])) > 50_000 or len(waiting) >= 200:
-                counts += np.bincount((np.concatenate(waiting) & _U(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-                waiting = []
-        if waiting:
-            counts += np.bincount((np.concatenate(waiting) & _U(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-        n = batch.num_rows
-        columns = [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-    slice_ = TaskContext.get().partitionId() % 64
-    pieces = np.split(counts, PIECES)
-    columns = [[None] * PIECES] * 4 + [list(range(PIECES)), [slice_] * PIECES, [zlib.compress(p.tobytes(), 1) for p in pieces]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int32)
+
+        def count(sets: list[np.ndarray]) -> None:
+            if sets:
+                places, n = np.unique(np.concatenate(sets) & _U(len(counts) - 1), return_counts=True)
+                counts[places.astype(np.int64)] += n.astype(np.int32)
+
+        for batch in batches:
+            sizes, classes, waiting, ready = [], [], [], 0
+            for text in batch.column(2).cast(pa.binary()):
+                found = shingle_set(text.as_py())
+                sizes.append(len(found))
+                classes.append(_class_of(found))
+                waiting.append(found)
+                ready += len(found)
+                if ready > 100_000:
+                    count(waiting)
+                    waiting, ready = [], 0
+            count(waiting)
+            n = batch.num_rows
+            columns = [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        slice_ = TaskContext.get().partitionId() % 64
+        pieces = np.split(counts.astype(np.int64), PIECES)
+        columns = [[None] * PIECES] * 4 + [list(range(PIECES)), [slice_] * PIECES, [zlib.compress(p.tobytes(), 1) for p in pieces]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +189,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["piece", "slice", "counts"])
 
 
-def _frequent(sketch: DataFrame) -> bytes:
-    """The packed bits of counters that stand out; the sketch's size is fixed."""
+def _frequent(sketch: DataFrame, bits: int) -> bytes:
+    """The packed bits of counters that stand out; the sketch's size has a bound."""
     schema = "piece int, slice int, counts binary"
     once = map_batches(sketch.repartition("piece", "slice"), _summed, schema)
     twice = map_batches(once.withColumn("slice", F.lit(0)).repartition("piece"), _summed, schema)
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << bits, np.int64)
     for r in twice.collect():  # one row for each of PIECES
         width = len(counts) // PIECES
         counts[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
@@ -273,9 +298,10 @@ def _linked(units: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
     """key, doc_id, n_shingles, class and component_id of each row, and ``is_first``: one key of each component has it."""
     keyed = docs.select(row_key(text_col).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = saved(map_batches(keyed, _members_and_sketch, _MEMBERS), "jaccard-members")
+    bits = min(max(docs.count().bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    scanned = saved(map_batches(keyed, _members_and_sketch(bits), _MEMBERS), "jaccard-members")
     members = scanned.where("piece IS NULL").select("key", "doc_id", "n", "class")
-    frequent = _frequent(scanned.where("piece IS NOT NULL").select("piece", "slice", "counts"))
+    frequent = _frequent(scanned.where("piece IS NOT NULL").select("piece", "slice", "counts"), bits)
 
     shared = _candidates(keyed, frequent, threshold, "text")
     groups = connected_components(shared.select(F.col("class").alias("a"), F.col("least").alias("b")))
@@ -314,13 +340,13 @@ def drop_copies(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "te
     gone = found.where("NOT is_first").select("key").distinct()
     again = found.where("is_first AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     asked = saved(gone.union(again), "jaccard-gone")
-    name = "_row_key"
+    name, twice = unused(docs.columns, "row_key", "again")
     keyed = docs.withColumn(name, row_key(text_col))
     may = maybe_in(asked.select(F.col("key").alias(name)), name)
     gone = gone.select(F.col("key").alias(name))
-    looked = keyed.where(may).join(gone, name, "left_anti").join(again.select(F.col("key").alias(name), F.lit(True).alias("_again")), name, "left")
-    once = looked.where("_again").dropDuplicates([name])
-    return keyed.where(~may).select(*docs.columns).union(looked.where("_again IS NULL").select(*docs.columns)).union(once.select(*docs.columns))
+    looked = keyed.where(may).join(gone, name, "left_anti").join(again.select(F.col("key").alias(name), F.lit(True).alias(twice)), name, "left")
+    once = looked.where(F.col(twice)).dropDuplicates([name])
+    return keyed.where(~may).select(*docs.columns).union(looked.where(F.col(twice).isNull()).select(*docs.columns)).union(once.select(*docs.columns))
 
 
 def op7_partenum(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
-The terms of a text are its 5-word shingles (of fewer words, all of them as one), lower-cased, each weighted by how often
-it occurs. A term's gamma variables r, c and its uniform b depend on the term alone; with weight S its step is
-t = floor(ln S / r + b) and its rank ln c - r (t - b + 1). The smallest rank wins, and two texts have the same winner with
-the probability of their generalised Jaccard similarity, sum of min(S) over sum of max(S). To take ``BINS`` samples in one
-pass over the terms, each occurrence of a term adds its weight in the one bin that its hash names (bin-wise consistent
-weighted sampling; all bins weigh alike, and a term's weight in a bin never falls as its count grows); an empty bin takes
-the winner of the next one that is not. Equal texts have equal fingerprints; the share of equal samples
-estimates the similarity.
+The terms of a text are its 5-word shingles (of fewer words, all of them as one), lower-cased, each with the weight S, how
+often it occurs. For each of ``SAMPLES`` samples a term has gamma variables r and c and a uniform b that depend on term and
+sample alone; its step is t = floor(ln S / r + b), its rank a = c exp(-r (t - b + 1)), and the term of the least rank with
+its step is the sample. Two texts have the same sample with the probability of their generalised Jaccard similarity, sum of
+min(S) over sum of max(S). Every sample is taken over all distinct terms of the text.
+
+The variables are drawn in another order, with the same joint law: with a1 of Exp(1), and E and w of Exp(1), let
+z = ln(1 + E / a1); then r = z + w and c = a1 exp(z) are independent Gamma(2, 1), b = w / r is uniform, a = a1 for S = 1 and
+a = a1 exp(-r floor((ln S + w) / r)) in general. So a term that occurs once, as most do, needs a1 alone, and as only the
+order of ranks counts, that is one hash. Terms are rows; a text's samples are minima of columns, combined before they are
+shuffled, so that no text needs more than its terms at once.
+
+Equal texts have equal fingerprints; the share of equal samples estimates the similarity.
 
 ``fingerprint_edits`` also builds each text's edited form, from the next document in descending doc_id. That order is
 found on ids alone by a range sort; the texts are shuffled once, by id.
@@ -25,11 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import let, saved, words_of
 
-BIN_BITS = 7
-BINS = 1 << BIN_BITS
+SAMPLES = 48
 SHINGLE = 5
-_RANK_BITS = 63 - BIN_BITS
-_SCALE = float(1 << (_RANK_BITS - 8))
+_RANKS = float(1 << 63)
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -42,74 +45,46 @@ def shingle_hashes(text: Column) -> Column:
     return let(F.transform(words_of(F.lower(text)), lambda x: F.xxhash64(x)), windows)
 
 
-def _uniforms(term: Column, seed: int) -> tuple[Column, Column]:
-    """Two numbers within (0, 1) that depend on the term alone."""
-    bits = F.xxhash64(term, F.lit(seed))
-    high, low = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit((1 << 32) - 1))
-    return (high + F.lit(0.5)) / F.lit(float(1 << 32)), (low + F.lit(0.5)) / F.lit(float(1 << 32))
-
-
-def _home(term: Column) -> Column:
-    """The bin of a term's first occurrence."""
-    return F.shiftrightunsigned(term, 64 - BIN_BITS)
-
-
-def _ranked(term: Column, at: Column, weight: Column) -> Column:
-    """The bin in the high bits; in the low ones the term's rank there, shifted to be positive."""
-    u1, u2 = _uniforms(term, 1)
-    u3, u4 = _uniforms(term, 2)
-    b, _ = _uniforms(term, 3)
-    r, ln_c = -F.ln(u1 * u2), F.ln(-F.ln(u3 * u4))
-    once = ln_c - r * (F.lit(1.0) - b)
-    often = ln_c - r * (F.floor(F.ln(weight.cast("double")) / r + b) - b + F.lit(1.0))
-    rank = F.when(weight == 1, once).otherwise(often)
-    scaled = (F.least(F.greatest(rank + F.lit(160.0), F.lit(0.0)), F.lit(250.0)) * F.lit(_SCALE)).cast("long")
-    return F.shiftleft(at, _RANK_BITS).bitwiseOR(scaled)
-
-
-def _bin(ranked: Column) -> Column:
-    return F.shiftrightunsigned(ranked, _RANK_BITS).cast("int")
-
-
-def fingerprint(text: Column) -> Column:
-    """BINS samples as an array of int."""
+def weighted_terms(text: Column) -> Column:
+    """(h, s): each distinct shingle's hash and how often it occurs."""
 
     def runs(s: Column) -> Column:
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-
-    def run_length(s: Column, first: Column, i: Column, j: Column) -> Column:
-        return F.coalesce(F.get(first, j + 1), F.size(s)) - i
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        one = lambda first, i, j: F.struct(F.get(s, i).alias("h"), (F.coalesce(F.get(first, j + 1), F.size(s)) - i).alias("s"))
+        return let(starts, lambda first: F.transform(first, lambda i, j: one(first, i, j)))
 
-    def dealt(s: Column, first: Column) -> Column:
-        """Each occurrence of each term with the bin that it weighs in."""
-        bin_of = lambda h, o: F.when(o == 0, _home(h)).otherwise(_home(F.xxhash64(h, o)))
-        one = lambda h, n: F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(bin_of(h, o).alias("b"), h.alias("h")))
-        return F.flatten(F.transform(first, lambda i, j: one(F.get(s, i), run_length(s, first, i, j))))
+    once = lambda s: F.transform(s, lambda x: F.struct(x.alias("h"), F.lit(1).alias("s")))
+    return let(shingle_hashes(text), lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), once(s)).otherwise(let(F.sort_array(s), runs)))
 
-    def ranks(e: Column) -> Column:
-        own = lambda x: F.when(_home(x["h"]) == x["b"], x["h"]).otherwise(F.xxhash64(x["h"], x["b"]))
-        ranked = lambda first: F.transform(first, lambda i, j: _ranked(own(F.get(e, i)), F.get(e, i)["b"], run_length(e, first, i, j)))
-        return let(runs(e), ranked)
 
-    def weighted(s: Column) -> Column:
-        plain = F.transform(s, lambda x: _ranked(x, _home(x), F.lit(1)))
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), plain).otherwise(let(let(runs(s), lambda first: F.sort_array(dealt(s, first))), ranks))
+def _rank(term: Column, weight: Column, sample: int) -> Column:
+    """The rank a as 1 - exp(-a), a uniform number, times 2^63."""
+    first = F.shiftrightunsigned(F.xxhash64(term, F.lit(sample)), 1)
+    bits = F.xxhash64(term, F.lit(-1 - sample))
+    uniform = lambda x: (x + F.lit(0.5)) / F.lit(float(1 << 32))
+    e, w = -F.ln(uniform(F.shiftrightunsigned(bits, 32))), -F.ln(uniform(bits.bitwiseAND(F.lit((1 << 32) - 1))))
+    a1 = -F.log1p(-(first + F.lit(0.5)) / F.lit(_RANKS))
+    r = F.log1p(e / a1) + w
+    step = F.floor((F.ln(weight.cast("double")) + w) / r)
+    often = F.when(step == 0, first).otherwise((-F.expm1(-a1 * F.exp(-r * step)) * F.lit(_RANKS)).cast("long"))
+    return F.when(weight == 1, first).otherwise(often)
 
-    def winners(k: Column) -> Column:
-        return F.filter(k, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(k, i - 1))))
 
-    def spread(e: Column) -> Column:
-        filled = F.flatten(F.transform(e, lambda x, i: F.array_repeat(F.hash(x), _bin(x) - F.coalesce(_bin(F.get(e, i - 1)), F.lit(-1)))))
-        tail = F.array_repeat(F.hash(F.get(e, F.lit(0))), F.lit(BINS - 1) - _bin(F.get(e, F.size(e) - 1)))
-        return F.when(F.size(e) == 0, F.array_repeat(F.lit(0), BINS)).otherwise(F.concat(filled, tail))
+def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys``, samples (an array of SAMPLES ints) and n_rows of each distinct key; rows of equal keys have equal texts.
 
-    ranked = let(F.sort_array(shingle_hashes(text)), weighted)
-    return let(let(F.sort_array(ranked), winners), spread)
+    Terms are combined where they are made; where ``texts`` is dealt out by some of the keys, nothing is shuffled.
+    """
+    rows = texts.select(*keys, F.posexplode_outer(weighted_terms(F.col(text_col))).alias("_at", "_e")).select(*keys, "_at", "_e.h", "_e.s")
+    least = [F.min(_rank(F.col("h"), F.col("s"), k)).alias(f"_{k}") for k in range(SAMPLES)]
+    met = rows.groupBy(*keys).agg(*least, F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("n_rows"))
+    sample = lambda c: F.when(c.isNull(), 0).otherwise(F.hash(c))
+    return met.select(*keys, F.array(*(sample(F.col(f"_{k}")) for k in range(SAMPLES))).alias("samples"), "n_rows")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal samples."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(BINS))
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(SAMPLES))
 
 
 def as_text(samples: Column) -> Column:
@@ -142,7 +117,7 @@ def fingerprint_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = docs.select(doc_id.isNull().alias("z"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), F.xxhash64(text, doc_id.isNull()).alias("th"), text.alias("t"))
     links = next_keys(keyed.select("d", "th", "z", F.length("t").cast("long").alias("n")).distinct())
     # Both uses of the texts read the very same columns, so that one shuffle serves both.
-    full = keyed.select("d", "th", "t", fingerprint(F.col("t")).alias("fp"))
+    full = keyed.select("d", "th", "t").join(fingerprints(keyed.select("d", "th", "t"), ["d", "th"], "t").select("d", "th", F.col("samples").alias("fp")), ["d", "th"])
     # What each document wants of its next one: keyed by the next one's key.
     wanted = links.select(F.col("nd").alias("d"), F.col("nth").alias("th"), F.col("d").alias("rd"), F.col("th").alias("rth"), "z", F.floor(F.col("n") / 3).cast("int").alias("m"))
     heads = full.join(wanted, ["d", "th"]).select(F.col("rd").alias("d"), F.col("rth").alias("th"), "z", F.substr("t", F.lit(1), F.col("m")).alias("head"), F.col("fp").alias("next_fp"))
@@ -150,8 +125,10 @@ def fingerprint_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.length("t")
     edited = F.concat(F.substr("t", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
     own_id = F.when(~F.col("z"), F.col("d"))
-    joined = full.join(heads, ["d", "th"]).select(own_id.alias("doc_id"), n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    made = joined.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
+    facts = ["d", "th", "doc_id", "n_chars", "edited_sha256", "fp", "next_fp"]
+    joined = full.join(heads, ["d", "th"]).select("*", own_id.alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    made = fingerprints(joined, facts, "edited").withColumnRenamed("samples", "edited_fp")
+    made = made.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("_copy"))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("samples"), F.col("edited_fp").alias("edited_samples"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
