@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved
+from .common import map_batches, saved, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -139,8 +139,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Rows alike in id and text share what they take evenly.
     """
+    key_name, taken_name, size_name = unused(docs.columns, "key", "taken", "size")
     plan = mix_sources(docs, weights, share, most_epochs, seed=seed).withColumn("key", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    plan = plan.groupBy("key").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    plan = plan.groupBy("key").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias(taken_name), F.first("size").alias(size_name)).where(F.col(taken_name) > 0)
     names = docs.columns
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -166,7 +167,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    return map_batches(docs.withColumn("_key", key).join(plan.withColumnRenamed("key", "_key"), "_key").select(*names, "_taken", "_size"), run, docs.schema)
+    return map_batches(docs.withColumn(key_name, key).join(plan.withColumnRenamed("key", key_name), key_name).select(*names, taken_name, size_name), run, docs.schema)
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:

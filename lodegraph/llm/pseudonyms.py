@@ -4,7 +4,7 @@ Equal values get equal pseudonyms in every document, different values of one kin
 the key can turn them back. Kinds, and what makes a candidate valid:
 
 * ``card``: 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5 set apart by blanks or hyphens, with a right Luhn digit; so is the pseudonym;
-* ``iban``: a country code, two check digits and 11 to 30 digits or capitals, with a right mod-97 check; so is the pseudonym;
+* ``iban``: a country code, two check digits and 11 to 30 digits or capitals, with a right mod-97 check, the longest groups that pass; so is the pseudonym;
 * ``ssn``: ddd-dd-dddd outside the ranges that are never issued;
 * ``phone``: + and 7 to 15 digits, in groups or not; ten digits as (ddd) ddd-dddd, ddd-ddd-dddd, ddd.ddd.dddd or ddd ddd dddd, also after a 1;
   ten bare digits whose area and exchange begin with 2 to 9; 0 and 8 to 11 digits in groups, or 9 bare ones; nine digits from 6 to 9 as ddd ddd ddd
@@ -12,7 +12,7 @@ the key can turn them back. Kinds, and what makes a candidate valid:
 * ``ipv4``: four numbers of 0 to 255 without leading zeros;
 * ``date``: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy of a real day from 1900 to 2099, dd/mm/yyyy where mm/dd/yyyy is none, and all of these
   with days and months of one digit; so is the pseudonym, in the same form. Forms that only some days have (one digit, dd/mm/yyyy) have pseudonyms of their own;
-* ``email``: the part before the @ is permuted letter by letter and digit by digit within its classes.
+* ``email``: the part before the @ is permuted letter by letter and digit by digit; capitals stay where they are, so that spellings in other cases stay linked.
 
 What fails its check is left as it is. Defined results: a null text stays null, an empty one empty; repeated rows are
 treated one by one; extra columns are ignored; an empty table gives an empty result; a null doc_id stays null; a text is
@@ -53,7 +53,7 @@ SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48
 BARE = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}")
 
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "phone": PHONE,
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -213,7 +213,7 @@ class Pseudonymiser:
         for c in local:
             place = int(c) if c.isdigit() else ord(c.lower()) - 97 if c.isalpha() else 0
             value, size = value * radix(c) + place, size * radix(c)
-        shape = "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isalpha() else c for c in local)
+        shape = "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in local)  # so that Bob and bob stay linked
         value = self._number(value, size, f"email:{shape}")
         out = []
         for c in reversed(local):
@@ -228,12 +228,15 @@ class Pseudonymiser:
         """The text with pseudonyms, and (kind, start, end) of each in code points of the text as it was."""
         out, spans, done, at = [], [], 0, 0
         while m := ANY.search(text, at):
-            kind = m.lastgroup
+            kind, end = m.lastgroup, m.end()
             new = self._of(kind, m[0])
+            while new is None and kind == "iban" and (blank := text.rfind(" ", m.start(), end)) > 0:
+                end = blank  # words in capitals may follow
+                new = self._of(kind, text[m.start() : end])
             if new is None:  # the same place may be of a later kind
                 for k in KINDS[KINDS.index(kind) + 1 :]:
                     if (other := EACH[k].match(text, m.start())) and (new := self._of(k, other[0])) is not None:
-                        kind, m = k, other
+                        kind, m, end = k, other, other.end()
                         break
             if new is None:  # another kind may begin within what failed
                 at = m.start() + 1
@@ -242,8 +245,8 @@ class Pseudonymiser:
                         at += 1
                 continue
             out += [text[done : m.start()], new]
-            spans.append((kind, m.start(), m.end()))
-            done = at = m.end()
+            spans.append((kind, m.start(), end))
+            done = at = end
         return "".join([*out, text[done:]]), spans
 
 

@@ -150,7 +150,7 @@ def features_of(stats: Stats) -> tuple[np.ndarray, np.ndarray]:
     add(b"bias", 1.0)
     n = max(1, stats.n)
     for shape, c in stats.shapes.items():
-        add(b"s:" + shape[:24], (c / n) ** 0.5)
+        add(b"s:" + shape, (c / n) ** 0.5)
     for word, c in stats.stops.items():
         add(b"w:" + word, (c / n) ** 0.5)
     for name, value in stats.share.items():

@@ -6,7 +6,8 @@ A random string has few characters per token under a subword vocabulary, ordinar
 * ``assign``, ``access`` and ``hex``: the base patterns; matches that are too short are dropped;
 * ``random``: runs of at least ``min_length`` key characters with letters and digits whose characters per token are at
   most ``max_ratio``, unless they are known digests (hex runs of a digest's length, as such the ``hex`` kind has them),
-  UUIDs, or words joined by ``-``, ``_``, ``.`` or ``/`` of which each is plain letters or plain digits. Of a run that is
+  UUIDs, or words joined by ``-``, ``_``, ``=``, ``+`` or ``/`` of which each is plain letters or plain digits; and runs of
+  letters in both cases of at most ``LETTERS_RATIO``. Of a run that is
   not random as a whole, the parts between separators that are, and else the parts that random windows of tokens of
   ``min_length`` characters reach into, digests and UUIDs left out.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
 
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -49,11 +50,25 @@ KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|[0-9a-f]+|[0-9A-F]+)(?![
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_LENGTH = 20
 MAX_RATIO = 2.2
+#: Of letters alone, in both cases: generated strings of 20 letters have at most 1.7 characters a token in 99 of 100 cases, joined words 2.5 and more.
+LETTERS_RATIO = 1.9
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, spans array<struct<kind:string,start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+@cache
+def candidate(min_length: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{max(1, min_length)},}}")
+
+
+def random_letters(run: str, path: str) -> bool:
+    """Whether a run of letters in both cases, beyond a first capital, has few characters per token."""
+    if not run.isalpha() or run.islower() or run.isupper() or run[1:].islower():
+        return False
+    return len(run) <= LETTERS_RATIO * len(encoding(path).encode_ordinary(run))
+
+
 def is_excluded(run: str) -> bool:
     """Known digests and identifiers."""
     if ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
@@ -62,6 +77,8 @@ def is_excluded(run: str) -> bool:
 
 
 def is_random(run: str, path: str, max_ratio: float) -> bool:
+    if random_letters(run, path):
+        return True
     if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or is_excluded(run):
         return False
     return len(run) <= max_ratio * len(encoding(path).encode_ordinary(run))
@@ -71,8 +88,9 @@ def random_parts(run: str, path: str, min_length: int, max_ratio: float) -> list
     """Spans of a run that are random though the run as a whole may not be; time linear in its length."""
     if is_random(run, path, max_ratio):
         return [(0, len(run))]
+    letters = [m.span() for m in PART.finditer(run) if m.end() - m.start() >= min_length and random_letters(m[0], path)]
     if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or is_excluded(run):
-        return []
+        return letters
     out, at = [], 0
     known = [m.span() for m in KNOWN.finditer(run) if "-" in m[0] or len(m[0]) in DIGEST_LENGTHS]
     for start, end in [*known, (len(run), len(run))]:
@@ -130,9 +148,8 @@ def scan_text(text: str | None, path: str, min_length: int = MIN_LENGTH, max_rat
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= min_length:
-            found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], path, min_length, max_ratio)]
+    for m in candidate(min_length).finditer(text):
+        found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], path, min_length, max_ratio)]
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 
 

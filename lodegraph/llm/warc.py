@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are range-sorted by page_id into shards whose bounds come from an exact histogram, so the same table gives the
+Records are range-sorted by page_id into shards whose bounds come from exact histograms of bytes, so the same table gives the
 same files whatever the cluster. Each shard is one task's sorted run: it is written record by record as gzip members,
 rolled to the next file once ``roll_bytes`` are reached, under a temporary name that is renamed when the file is whole.
 Headers, digests and record ids are made anew from the payload alone. Each finished shard adds its files to a manifest
@@ -38,8 +38,10 @@ from .common import fresh_dir, map_batches, saved
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 LEAST_REVISIT_BYTES = 0
-#: Cells of the histogram that the driver holds, and so the most shards.
-CELLS = 1 << 16
+#: Cells of the histograms that the driver holds at once.
+CELLS = 1 << 14
+#: Compressed bytes that a task reads back.
+READ_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Profile of revisits whose payload is the same.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,31 +155,60 @@ def _manifest(writer: ShardWriter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "file", "records", "bytes", "sha256"])
 
 
-def shard_plan(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """The shard of a page_id as a column, and the number of shards.
-
-    An exact histogram of bytes over at most CELLS equal ranges of page_id, cut where a shard is full.
-    """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("long"), F.lit(-1))
-    histogram = rows.groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes")).orderBy("cell").collect()
-    starts, full = [], 0
-    for r in histogram:
-        if not starts or full + r["bytes"] > shard_bytes and full:
-            starts, full = [*starts, r["cell"]], 0
-        full += r["bytes"]
-    if len(starts) < 2:
-        return F.lit(0).cast("long"), 1
+def _place(starts: list[int], key: Column) -> Column:
+    """The number of sorted ``starts`` at or below a key, by halving."""
     array = F.array(*(F.lit(s) for s in starts)) if len(starts) <= 64 else F.from_json(F.lit(json.dumps(starts)), "array<long>")
-    # The number of shards that start at or before the cell, by binary halving over the sorted bounds.
     place, step = F.lit(0), 1 << (len(starts) - 1).bit_length()
     while step:
         further = F.get(array, place + (step - 1))
-        place = F.when(further <= cell, place + step).otherwise(place)
+        place = F.when(further <= key, place + step).otherwise(place)
         step >>= 1
-    return (F.greatest(place, F.lit(1)) - 1).cast("long"), len(starts)
+    return place
+
+
+def shard_starts(rows: DataFrame, shard_bytes: int) -> list[int]:
+    """The least page_id of each shard but the first, from exact histograms of bytes.
+
+    Ranges of page_id with more than a shard's bytes are cut finer, round by round, down to single ids, so ids far apart do
+    no harm. Rounds are at most the ids' digits to the base of the cells of a range.
+    """
+    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
+        return []
+    known = rows.where("page_id IS NOT NULL")
+    done: list[tuple[int, int]] = []  # the first id of a range and its bytes
+    wide = [(low, high)]
+    while wide:
+        cells = max(2, CELLS // len(wide))
+        firsts, widths = [a for a, _ in wide], [max(1, -(-(b - a + 1) // cells)) for a, b in wide]
+        at = (_place(firsts, F.col("page_id")) - 1).cast("int")
+        of = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<decimal(20,0)>"), at)
+        inside = F.col("page_id") <= of([b for _, b in wide])
+        cell = F.floor((F.col("page_id").cast("decimal(20,0)") - of(firsts)) / of(widths)).cast("long")
+        found = known.where((at >= 0) & inside).groupBy(at.alias("at"), cell.alias("cell")).agg(F.sum("size").alias("bytes")).collect()
+        again = []
+        for r in found:
+            a, width = firsts[r["at"]] + r["cell"] * widths[r["at"]], widths[r["at"]]
+            if r["bytes"] > shard_bytes and width > 1:
+                again.append((a, min(a + width - 1, wide[r["at"]][1])))
+            else:
+                done.append((a, r["bytes"]))
+        wide = sorted(again)
+    starts, full = [], 0
+    for first, size in sorted(done):
+        if full + size > shard_bytes and full:
+            starts.append(first)
+            full = 0
+        full += size
+    return starts
+
+
+def shard_plan(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of a page_id as a column, and the number of shards; rows without an id are in the first one."""
+    starts = shard_starts(rows, shard_bytes)
+    if not starts:
+        return F.lit(0).cast("long"), 1
+    return F.coalesce(_place(starts, F.col("page_id")), F.lit(0)).cast("long"), len(starts) + 1
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -247,7 +278,8 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = manifest.select("file").repartition("file")
+    total = manifest.agg(F.sum("bytes"), F.count("*")).first()
+    files = manifest.select("file").repartition(max(1, min(total[1], max(8, -(-(total[0] or 0) // READ_BYTES)))), "file")
     return map_batches(files, read, RECORDS)
 
 

@@ -280,6 +280,14 @@ def test_warc_round_trip(spark, sf, tmp_path, least):
         assert runs[0] == runs[1] and len(runs[0]) > 1
 
 
+def test_shards_of_ids_far_apart(spark):
+    ids = [*range(2000), 1 << 60, -(1 << 62)]
+    rows = spark.createDataFrame([(i, 100) for i in ids], "page_id long, size long")
+    shard, n = warc.shard_plan(rows, 10_000)
+    got = Counter(r["s"] for r in rows.select(shard.alias("s")).collect())
+    assert n == len(got) and 21 <= n <= 40 and max(got.values()) <= 100
+
+
 def test_warc_payloads_and_empty(spark, tmp_path):
     folder = f"file://{tmp_path}/one"
     manifest = warc.write_warc(odd_pages(spark), folder)

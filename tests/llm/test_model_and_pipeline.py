@@ -111,3 +111,14 @@ def test_pipeline_runs_and_stages_take_odd_rows(spark, sf, odd, empty):
 def test_drop_copies_of_repeated_rows(odd):
     got = Counter(r["doc_id"] for r in partenum.drop_copies(odd).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 1, 7: 1, 8: 1}
+
+
+def test_stages_take_columns_named_like_their_own(odd):
+    """Copies and the mix work beside columns of their internal names."""
+    from lodegraph.llm import mixing, partenum
+    from pyspark.sql import functions as F
+
+    clash = odd.withColumns({n: F.lit(1) for n in ("_row_key", "_again", "_key", "_taken", "_size", "key", "sig", "component", "range", "target")})
+    assert partenum.drop_copies(clash).columns == clash.columns and mixing.mixed_documents(clash).columns == clash.columns
+    assert partenum.drop_copies(clash).count() == partenum.drop_copies(odd).count()
+    assert mixing.mixed_documents(clash).count() == mixing.mixed_documents(odd).count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import time
 
 import pytest
 from lodegraph.llm import mixing, pseudonyms, secret_scan
@@ -74,3 +75,43 @@ def test_mixing_of_many_sources(spark, odd, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(mixing, "MAX_SOURCES", 3)
             assert show() == few
+
+
+@pytest.mark.parametrize("before, after", [("pay ", " NOW please"), ("IBAN: ", " THANKS ok"), ("", ""), ("to ", " OR ELSE 12"), ("(", ")")])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"])
+def test_no_iban_stays_before_capitals(before, after, iban):
+    text = f"{before}{iban}{after}"
+    new, spans = pseudonyms.Pseudonymiser(b"k").text(text)
+    assert iban not in new and new.startswith(before) and new.endswith(after)
+    assert ("iban", len(before), len(before) + len(iban)) in spans
+    assert pseudonyms.Pseudonymiser(b"k", back=True).text(new)[0] == text
+
+
+def test_addresses_in_other_cases_stay_linked_and_long_runs_are_read_in_linear_time():
+    made = pseudonyms.Pseudonymiser(b"k")
+    lower, upper = made.text("bob7@x.org")[0], made.text("Bob7@x.org")[0]
+    assert lower == upper.lower() and lower != "bob7@x.org"
+    start = time.perf_counter()
+    for run in ("a" * 1_000_000 + "1", "1" * 1_000_000, "a." * 500_000 + "9", "A1 " * 300_000):
+        made.text(run)
+    assert time.perf_counter() - start < 8
+
+
+def test_short_keys_and_letters_alone():
+    path = path_of("byte_bpe_50k.tiktoken")
+    assert ("random", 4, 21) in secret_scan.scan_text("key q8Zk2LmV0xTb7RwYc end", path, min_length=12)
+    assert [s[0] for s in secret_scan.scan_text("use wJalrXUtnFEMIKMDENGbPxRfiCYzQWERTKEYq now", path)] == ["random"]
+    assert not secret_scan.scan_text("DatabaseConnectionManagerFactory AbstractRequestHandlerBuilder internationalization", path)
+
+
+def test_token_efficiency_on_generated_strings():
+    """Recall on keys and precision on identifiers and paths, by length."""
+    rng, path = random.Random(4), path_of("byte_bpe_50k.tiktoken")
+    words = "connection database production user account file parser token session manager server client request handler async buffer config release document public update".split()
+    hit = lambda s: any(k == "random" for k, _, _ in secret_scan.scan_text(f"see {s} there", path))
+    for n in (20, 24, 32, 40):
+        keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(200)]
+        assert sum(map(hit, keys)) >= 0.97 * 200, n
+    plain = ["_".join(rng.choices(words, k=4)) for _ in range(200)] + ["".join(w.capitalize() for w in rng.choices(words, k=4)) + "2" for _ in range(200)]
+    plain += ["/".join(rng.choices(words, k=5)) + "/v2" for _ in range(200)]
+    assert sum(map(hit, plain)) <= 0.01 * len(plain)
