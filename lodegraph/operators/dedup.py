@@ -40,13 +40,32 @@ def body_words(text: Column) -> Column:
     return F.filter(F.split(T.normalise_text(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
+#: Header lines and separators that are no body, and what changes between copies of one meeting.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+HEADER_LINE = r"(?i)^\s*(title|date|duration|participants|source|transcript\s*id|meeting\s*transcript)\b"
+SEPARATOR_LINE = r"^=+\s*$"
+MEETING_ID = r"(?i)\[?\bMEET[-_]?\d+\]?"
+DATE_OR_TIME = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}:\d{2}(?::\d{2})?|gmt[-+]?\d{0,2}(?::\d{2})?"
+NO_LETTER = r"[^a-zà-ÿ\s]"
+
+
+def near_words(text: Column) -> Column:
+    """The words of a body for near duplicates: letters alone, without header lines, separators, meeting ids, dates and times."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(SEPARATOR_LINE) & ~x.rlike(HEADER_LINE))
+    bare = F.regexp_replace(F.array_join(kept, " "), MEETING_ID, " ")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(bare), DATE_OR_TIME, " "), NO_LETTER, " ")
+    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_BODY_WORDS) -> DataFrame:
-    """(id, simhash): 64 bits, each the majority of the bits of md5 over distinct 3-word shingles.
+    """(id, simhash): 64 bits, each the majority of the bits of md5 over 3-word shingles, repeats included.
 
     Bits are voted by sums over exploded shingles, so no function of Python runs. Short bodies have none.
     """
-    words = docs.select(F.col(id_col).alias("id"), body_words(F.col(text_col)).alias("w")).where(F.size("w") >= least_words)
-    shingles = words.select("id", F.explode(T.ngrams(F.col("w"), 3)).alias("s"))
+    words = docs.select(F.col(id_col).alias("id"), near_words(F.col(text_col)).alias("w")).where(F.size("w") >= F.greatest(F.lit(1), F.lit(least_words)))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2))
+    shingles = words.select("id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("s"))
     digest = F.md5("s")
     halves = shingles.select("id", *(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(2)))
     votes = halves.groupBy("id").agg(*(F.sum(F.shiftright(f"h{k}", 31 - b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{32 * k + b}") for k in range(2) for b in range(32)))

@@ -69,18 +69,21 @@ def hyperedges(groups: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
 def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, tolerance: float = TOLERANCE, every: int = 5) -> DataFrame:
     """(id, score): random walk with restart at seeds (id, mass).
 
-    Each edge counts in both directions; the mass of nodes without neighbours returns to the seeds. Every few rounds the
-    ranks are written out and the change is tested.
+    Each edge counts in both directions and takes the share of its weight (1 without that column) in all that its node has; the mass of nodes
+    without neighbours returns to the seeds. Every few rounds the ranks are written out and the change is tested. Seeds that
+    are no nodes do not count; if none has mass, the result is empty.
     """
-    out = edges.select("source", "target").union(edges.select("target", "source")).toDF("source", "target")
-    degree = out.groupBy("source").agg(F.count("*").alias("degree"))
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    out = edges.select("source", "target", weight.alias("weight")).union(edges.select("target", "source", weight)).toDF("source", "target", "weight")
+    degree = out.groupBy("source").agg(F.greatest(F.sum("weight"), F.lit(1e-9)).alias("total"))
     links = cut(out.join(degree, "source"))
-    total = seeds.agg(F.sum("mass").alias("t"))
+    seeds = seeds.join(nodes.select("id"), "id", "left_semi")
+    total = seeds.agg(F.sum("mass").alias("t")).where("t > 0")
     start = nodes.select("id").join(seeds, "id", "left").crossJoin(F.broadcast(total)).select("id", (F.coalesce("mass", F.lit(0.0)) / F.col("t")).alias("seed"))
     start = cut(start)
     rank = start.select("id", F.col("seed").alias("score"))
     for i in range(1, rounds + 1):
-        sent = links.join(rank, F.col("source") == F.col("id")).groupBy("target").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        sent = links.join(rank, F.col("source") == F.col("id")).groupBy("target").agg(F.sum(F.col("score") * F.col("weight") / F.col("total")).alias("got"))
         loose = rank.join(degree, F.col("id") == F.col("source"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
         got = F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("seed")
         new = start.join(sent, F.col("id") == F.col("target"), "left").crossJoin(F.broadcast(loose)).select("id", (alpha * F.col("seed") + (1 - alpha) * got).alias("score"))

@@ -56,7 +56,7 @@ def intent(query: Column) -> Column:
 
 def pipeline_of(intent_name: Column) -> Column:
     """The retrieval pipeline that serves an intent."""
-    table = {"greeting": "none", "meta": "none", "factual_simple": "bm25", "factual_complex": "hybrid", "analytical": "hybrid_graph", "cross_expert": "full", "hierarchical": "hybrid_graph"}
+    table = {"greeting": "none", "meta": "none", "factual_simple": "bm25", "factual_complex": "hybrid", "analytical": "hybrid_graph", "cross_expert": "hybrid_graph", "hierarchical": "full"}
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), intent_name)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodegraph.operators.chunking import MAX_CHARS, MIN_CHARS, OVERLAP, split_text
+from lodegraph.operators.chunking import MAX_CHARS, OVERLAP, split_text
 from lodegraph.plugins import Embedder, HashingEmbedder
 
 
@@ -34,16 +34,17 @@ def thinned(positions: list[int], least: int = MIN_DISTANCE) -> list[int]:
 
 
 def boundaries(likeness: list[float]) -> list[int]:
-    """Sentences that begin a group: minima of the smoothed likeness below its 20th percentile; of few values the lowest ones."""
+    """Sentences that begin a group: minima of the smoothed likeness below its 20th percentile; of few values those after the lowest ones."""
     if not likeness:
         return []
     floor = nearest_rank(likeness, DIP_PERCENTILE)
     if len(likeness) < 5:
         return thinned([i + 1 for i, s in enumerate(likeness) if s < floor])
-    padded = np.pad(np.array(likeness), 2, mode="edge")
-    slope = np.convolve(padded, _SLOPE[::-1], mode="valid")
-    found = [i + 1 for i in range(1, len(slope)) if slope[i - 1] < 0 <= slope[i] and min(likeness[i - 1], likeness[i]) < floor]
-    return thinned(found)
+    values = np.array(likeness)
+    edge = [np.polyder(np.polyfit(np.arange(5), part, 3)) for part in (values[:5], values[-5:])]  # at the ends the nearest five points decide
+    slope = np.concatenate([np.polyval(edge[0], [0, 1]), np.convolve(values, _SLOPE[::-1], mode="valid"), np.polyval(edge[1], [3, 4])])
+    slope[np.abs(slope) < 1e-12] = 0.0
+    return thinned([i for i in range(1, len(slope)) if slope[i - 1] < 0 <= slope[i] and likeness[i] < floor])
 
 
 def grouped(sentences: list[str], at: list[int]) -> list[str]:
@@ -66,8 +67,8 @@ def semantic_split(text: str, embedder: Embedder, most: int = MAX_CHARS, overlap
     likeness = np.where(both > 0, dots / np.where(both > 0, both, 1), 0.0).tolist()
     out: list[str] = []
     for group in grouped(sentences, boundaries(likeness)):
-        out += split_text(group, most, overlap) if len(group) > OVERSIZE * most else [group] if len(group) >= MIN_CHARS else []
-    return out
+        out += split_text(group, most, overlap) if len(group) > OVERSIZE * most else [group]
+    return out or split_text(text, most, overlap)
 
 
 def semantic_chunks(docs: DataFrame, embedder: Embedder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

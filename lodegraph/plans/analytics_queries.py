@@ -212,8 +212,11 @@ def _groups(read):
     return dedup.hash_groups(read("documents"), T.text_hash(F.col("text")))
 
 
-SIM = rf"""w AS (SELECT doc_id AS id, list_filter(string_split({NORM}, ' '), lambda x: x <> '') AS w FROM documents),
-sh AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM w WHERE len(w) >= 50),
+SIM = rf"""ln AS (SELECT doc_id AS id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+  lambda x: x <> '' AND NOT regexp_matches(x, '^=+\s*$') AND NOT regexp_matches(x, '^\s*(title|date|duration|participants|source|transcript\s*id|meeting\s*transcript)\b', 'i')) AS ls FROM documents),
+bt AS (SELECT id, regexp_replace(lower(regexp_replace(array_to_string(ls, ' '), '\[?\bMEET[-_]?\d+\]?', ' ', 'gi')), '\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}:\d{{2}}(?::\d{{2}})?|gmt[-+]?\d{{0,2}}(?::\d{{2}})?', ' ', 'g') AS t FROM ln),
+w AS (SELECT id, list_filter(string_split_regex(regexp_replace(t, '[^a-zà-ÿ\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM bt),
+sh AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) >= 50),
 h AS (SELECT id, ('0x' || substring(md5(s), 1, 8))::UBIGINT AS h0, ('0x' || substring(md5(s), 9, 8))::UBIGINT AS h1 FROM sh),
 b AS (SELECT id, k, CASE WHEN 2 * sum(CASE WHEN k < 32 THEN (h0 >> (31 - k)) & 1 ELSE (h1 >> (63 - k)) & 1 END) > count(*) THEN 1 ELSE 0 END AS bit FROM h, range(0, 64) r(k) GROUP BY ALL),
 sim AS (SELECT id, string_agg(bit, '' ORDER BY k) AS bits FROM b GROUP BY id)"""

@@ -62,21 +62,32 @@ def _conflicts(read):
     return graph.shared_domain_conflicts(lower, edges, "in")
 
 
-def _ppr_sql(rounds: int) -> str:
-    parts = [f"WITH {NODES}, {EDGES}, b AS (SELECT source AS s, target AS t FROM edges UNION ALL SELECT target, source FROM edges), d AS (SELECT s, count(*) AS deg FROM b GROUP BY s)",
+def _ppr_sql(rounds: int, weight: str = "1.0") -> str:
+    parts = [f"WITH {NODES}, {EDGES}, w AS (SELECT source, target, {weight} AS weight FROM edges), b AS (SELECT source AS s, target AS t, weight FROM w UNION ALL SELECT target, source, weight FROM w), d AS (SELECT s, sum(weight) AS total FROM b GROUP BY s)",
              "seed AS (SELECT id, CASE WHEN id IN ('nation:1', 'nation:2') THEN 0.5 ELSE 0 END::DOUBLE AS m FROM nodes)", "r0 AS (SELECT id, m AS score FROM seed)"]
     for i in range(rounds):
-        parts.append(f"g{i} AS (SELECT t AS id, sum(score / deg) AS got FROM b JOIN d USING (s) JOIN r{i} r ON r.id = b.s GROUP BY t)")
+        parts.append(f"g{i} AS (SELECT t AS id, sum(score * weight / total) AS got FROM b JOIN d USING (s) JOIN r{i} r ON r.id = b.s GROUP BY t)")
         parts.append(f"l{i} AS (SELECT coalesce(sum(score), 0) AS loose FROM r{i} WHERE id NOT IN (SELECT s FROM d))")
         parts.append(f"r{i + 1} AS (SELECT seed.id, 0.15 * m + 0.85 * (coalesce(got, 0) + loose * m) AS score FROM seed LEFT JOIN g{i} USING (id), l{i})")
     return ", ".join(parts) + f" SELECT id, round(score, 8) AS score FROM r{rounds} WHERE round(score, 8) > 0"
 
 
-@query("ppr_fixed_iter", _ppr_sql(4))
-def _ppr(read):
+def _ranked_nodes(read, weight=None, **how):
     nodes, edges = star(read)
     seeds = nodes.where(F.col("id").isin("nation:1", "nation:2")).select("id", F.lit(1.0).alias("mass"))
-    return graph.personalised_pagerank(nodes, edges, seeds, rounds=4).select("id", F.round("score", 8).alias("score")).where("score > 0")
+    edges = edges if weight is None else edges.withColumn("weight", weight)
+    return graph.personalised_pagerank(nodes, edges, seeds, **how).select("id", F.round("score", 8).alias("score")).where("score > 0")
+
+
+@query("ppr_fixed_iter", _ppr_sql(4))
+def _ppr(read):
+    return _ranked_nodes(read, rounds=4)
+
+
+#: Weights of 1 to 4, so that shares go by weight and not by degree.
+@query("ppr_weighted", _ppr_sql(6, "(1 + length(source) % 4)::DOUBLE"))
+def _ppr_weighted(read):
+    return _ranked_nodes(read, (F.length("source") % 4 + 1).cast("double"), rounds=6, tolerance=0.0)
 
 
 @query("ppr_converging")
@@ -101,45 +112,6 @@ def _hyper(read):
     return graph.hyperedges(groups, "meeting")[1]
 
 
-#: A plan from the parts table: part k depends on parts k // 2 and k - 3 below 40.
-PLAN = """n AS (SELECT p_partkey AS id, p_size::DOUBLE AS minutes FROM part WHERE p_partkey < 40),
-e AS (SELECT id // 2 AS source, id AS target FROM n WHERE id > 1 AND id // 2 IN (SELECT id FROM n) UNION SELECT id - 3, id FROM n WHERE id - 3 IN (SELECT id FROM n))"""
-
-
-def plan_tables(read):
-    n = read("part").where("p_partkey < 40").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("double").alias("minutes"))
-    ids = n.select(F.col("id").alias("source"))
-    e = n.where("id > 1").select(F.floor(F.col("id") / 2).alias("source"), F.col("id").alias("target")).union(n.select(F.col("id") - 3, "id"))
-    return n, e.distinct().join(ids, "source", "left_semi")
-
-
-@query("plan_levels", f"WITH RECURSIVE {PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
-def _levels(read):
-    return plan.levels(*plan_tables(read))
-
-
-@query("plan_batches", f"WITH RECURSIVE {PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id), m AS (SELECT id, max(level) AS level FROM l GROUP BY id) SELECT level, count(*) AS n_nodes, max(minutes) AS minutes FROM m JOIN n USING (id) GROUP BY level")
-def _batches(read):
-    return plan.batches(*plan_tables(read))
-
-
-@query("plan_critical_path", f"WITH RECURSIVE {PLAN}, l AS (SELECT id, minutes AS finish FROM n UNION SELECT e.target, finish + n.minutes FROM l JOIN e ON e.source = l.id JOIN n ON n.id = e.target) SELECT id, max(finish) AS finish FROM l GROUP BY id")
-def _critical(read):
-    return plan.critical_path(*plan_tables(read))
-
-
-@query("plan_ready", f"WITH {PLAN}, d AS (SELECT id FROM n WHERE id <= 5) SELECT id FROM n WHERE id NOT IN (SELECT id FROM d) AND id NOT IN (SELECT target FROM e WHERE source NOT IN (SELECT id FROM d))")
-def _ready(read):
-    n, e = plan_tables(read)
-    return plan.ready(n, e, n.where("id <= 5").select("id")).select("id")
-
-
-@query("stall_detect", f"WITH {PLAN} SELECT id, elapsed, greatest(10.0, minutes * 2)::DOUBLE AS allowed FROM (SELECT id, minutes, (id * 3)::DOUBLE AS elapsed FROM n) WHERE elapsed > greatest(10.0, minutes * 2)")
-def _stall(read):
-    n, _ = plan_tables(read)
-    return plan.stalled(n.select("id", (F.col("id") * 3.0).alias("elapsed")), n).select("id", "elapsed", "allowed")
-
-
 #: A plan from the whole parts table: part k depends on part k // 2, so levels grow with the logarithm of the parts.
 WHOLE_PLAN = """n AS (SELECT p_partkey AS id, p_size::DOUBLE AS minutes FROM part),
 e AS (SELECT id // 2 AS source, id AS target FROM n WHERE id > 1 AND id // 2 IN (SELECT id FROM n))"""
@@ -151,27 +123,32 @@ def whole_plan_tables(read):
     return n, e.join(n.select(F.col("id").alias("source")), "source", "left_semi")
 
 
+@query("plan_levels", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
 @query("plan_levels_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
 def _levels_whole(read):
     return plan.levels(*whole_plan_tables(read))
 
 
+@query("plan_batches", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id), m AS (SELECT id, max(level) AS level FROM l GROUP BY id) SELECT level, count(*) AS n_nodes, max(minutes) AS minutes FROM m JOIN n USING (id) GROUP BY level")
 @query("plan_batches_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, 0 AS level FROM n UNION SELECT e.target, level + 1 FROM l JOIN e ON e.source = l.id), m AS (SELECT id, max(level) AS level FROM l GROUP BY id) SELECT level, count(*) AS n_nodes, max(minutes) AS minutes FROM m JOIN n USING (id) GROUP BY level")
 def _batches_whole(read):
     return plan.batches(*whole_plan_tables(read))
 
 
+@query("plan_critical_path", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, minutes AS finish FROM n UNION SELECT e.target, finish + n.minutes FROM l JOIN e ON e.source = l.id JOIN n ON n.id = e.target) SELECT id, max(finish) AS finish FROM l GROUP BY id")
 @query("plan_critical_path_whole", f"WITH RECURSIVE {WHOLE_PLAN}, l AS (SELECT id, minutes AS finish FROM n UNION SELECT e.target, finish + n.minutes FROM l JOIN e ON e.source = l.id JOIN n ON n.id = e.target) SELECT id, max(finish) AS finish FROM l GROUP BY id")
 def _critical_whole(read):
     return plan.critical_path(*whole_plan_tables(read))
 
 
+@query("plan_ready", f"WITH {WHOLE_PLAN}, d AS (SELECT id FROM n WHERE id % 3 = 1) SELECT id FROM n WHERE id NOT IN (SELECT id FROM d) AND id NOT IN (SELECT target FROM e WHERE source NOT IN (SELECT id FROM d))")
 @query("plan_ready_whole", f"WITH {WHOLE_PLAN}, d AS (SELECT id FROM n WHERE id % 3 = 1) SELECT id FROM n WHERE id NOT IN (SELECT id FROM d) AND id NOT IN (SELECT target FROM e WHERE source NOT IN (SELECT id FROM d))")
 def _ready_whole(read):
     n, e = whole_plan_tables(read)
     return plan.ready(n, e, n.where("id % 3 = 1").select("id")).select("id")
 
 
+@query("stall_detect", f"WITH {WHOLE_PLAN} SELECT id, elapsed, greatest(10.0, minutes * 2)::DOUBLE AS allowed FROM (SELECT id, minutes, (id % 120)::DOUBLE AS elapsed FROM n) WHERE elapsed > greatest(10.0, minutes * 2)")
 @query("stall_detect_whole", f"WITH {WHOLE_PLAN} SELECT id, elapsed, greatest(10.0, minutes * 2)::DOUBLE AS allowed FROM (SELECT id, minutes, (id % 120)::DOUBLE AS elapsed FROM n) WHERE elapsed > greatest(10.0, minutes * 2)")
 def _stall_whole(read):
     n, _ = whole_plan_tables(read)

@@ -107,16 +107,15 @@ def _sql_any(column, patterns):
 INTENT_SQL = "CASE " + " ".join(f"WHEN {_sql_any('q', p)} THEN '{k}'" for k, p in rules.INTENTS.items()) + r" WHEN len(list_filter(string_split_regex(q, '\s+'), lambda w: w <> '')) <= 5 THEN 'factual_simple' ELSE 'analytical' END"
 
 
-@query("query_intents", f"""WITH b AS (SELECT item_id, trim(lower(substring(text, 1, 40))) AS q FROM benchmark), i AS (SELECT item_id, {INTENT_SQL} AS intent FROM b)
-SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'cross_expert' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
+@query("query_intents", f"""WITH b AS (SELECT item_id, trim(lower(text)) AS q FROM benchmark), i AS (SELECT item_id, {INTENT_SQL} AS intent FROM b)
+SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'hierarchical' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
 def _intents(read):
-    i = read("benchmark").select("item_id", rules.intent(F.substring("text", 1, 40)).alias("intent"))
+    i = read("benchmark").select("item_id", rules.intent(F.col("text")).alias("intent"))
     return i.withColumn("pipeline", rules.pipeline_of(F.col("intent")))
 
 
-#: The whole job that query_intents does on the first 40 characters only.
 @query("query_intents_whole", f"""WITH b AS (SELECT item_id, trim(lower(text)) AS q FROM benchmark), i AS (SELECT item_id, {INTENT_SQL} AS intent FROM b)
-SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'cross_expert' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
+SELECT item_id, intent, CASE intent WHEN 'greeting' THEN 'none' WHEN 'meta' THEN 'none' WHEN 'factual_simple' THEN 'bm25' WHEN 'factual_complex' THEN 'hybrid' WHEN 'hierarchical' THEN 'full' ELSE 'hybrid_graph' END AS pipeline FROM i""")
 def _intents_whole(read):
     i = read("benchmark").select("item_id", rules.intent(F.col("text")).alias("intent"))
     return i.withColumn("pipeline", rules.pipeline_of(F.col("intent")))
@@ -141,17 +140,14 @@ def _areas(read):
 WORDS = (("WITH", "FROM"), ("AVEC", "POUR"))
 
 
-@query("antonym_theta_join", f"""WITH s AS (SELECT source, doc_id, p.i AS pair, contains(upper(text), p.x) AS hx, contains(upper(text), p.y) AS hy FROM documents, (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(WORDS))}) p(i, x, y) WHERE n_chars < 600),
-m AS (SELECT a.source, least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, min(a.pair) AS pair FROM s a JOIN s b ON a.source = b.source AND a.pair = b.pair AND a.hx AND b.hy AND a.doc_id <> b.doc_id GROUP BY ALL)
-SELECT source, a, b, pair, substring(sha256(source || '::' || least(a::VARCHAR, b::VARCHAR) || '::' || greatest(a::VARCHAR, b::VARCHAR)), 1, 8) AS contradiction_id FROM m""")
-def _antonyms(read):
-    return rules.contradictions(read("documents").where("n_chars < 600"), "source", "doc_id", "text", WORDS)
+SIDES = f"""WITH s AS (SELECT source, doc_id, p.i AS pair, bool_or(contains(upper(text), p.x)) AS hx, bool_or(contains(upper(text), p.y)) AS hy FROM documents, (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(WORDS))}) p(i, x, y) GROUP BY ALL),
+n AS (SELECT source, pair, count(*) FILTER (hx) AS nx, count(*) FILTER (hy) AS ny FROM s GROUP BY ALL), m AS (SELECT source, pair, doc_id, 0 AS side, ny - hy::INT AS opposites FROM s JOIN n USING (source, pair) WHERE hx UNION ALL
+SELECT source, pair, doc_id, 1, nx - hx::INT FROM s JOIN n USING (source, pair) WHERE hy) SELECT * FROM m WHERE opposites > 0"""
 
 
-#: The whole job that antonym_theta_join does on short documents only: members of each side instead of pairs, which grow quadratically.
-@query("antonym_sides", f"""WITH s AS (SELECT source, doc_id, p.i AS pair, bool_or(contains(upper(text), p.x)) AS hx, bool_or(contains(upper(text), p.y)) AS hy FROM documents, (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(WORDS))}) p(i, x, y) GROUP BY ALL),
-n AS (SELECT source, pair, count(*) FILTER (hx) AS nx, count(*) FILTER (hy) AS ny FROM s GROUP BY ALL), m AS (SELECT source, pair, doc_id, 0 AS side, ny - hy::INT AS opposites FROM s JOIN n USING (source, pair) WHERE hx UNION ALL
-SELECT source, pair, doc_id, 1, nx - hx::INT FROM s JOIN n USING (source, pair) WHERE hy) SELECT * FROM m WHERE opposites > 0""")
+#: Members of each side instead of pairs, which grow with the square of a source's documents; tests hold the pairs against brute force.
+@query("antonym_theta_join", SIDES)
+@query("antonym_sides", SIDES)
 def _antonym_sides(read):
     return rules.contradiction_sides(read("documents"), "source", "doc_id", "text", WORDS)
 
