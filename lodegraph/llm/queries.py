@@ -1,10 +1,11 @@
-"""The thin queries of this subpackage: name -> query over a folder of tables, and name -> DuckDB SQL."""
+"""The thin queries of this subpackage: name -> query over a folder of tables, and name -> DuckDB SQL.
+
+The pipeline over them is registered beside them, in ``__spark_entry__``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, mixing, packing, partenum, pseudonyms, quality_model, quality_rules, secret_scan, warc, weighted_sampling
@@ -26,7 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": lambda spark, sf_dir: warc.op8_warc(spark, table(spark, sf_dir, "pages")),
     "op9_quality_rules": _over("documents", quality_rules.op9_quality_rules),
     "op10_chat_format": _over("conversations", chat_format.op10_chat_format),
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,
