@@ -12,6 +12,8 @@ from lodegraph.session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 RRF_SHARE, COSINE_SHARE = 0.7, 0.3
+#: Query vectors that are broadcast at once, about.
+QUERY_BLOCK = 1024
 POOL, MATCH_FLOOR = 30, 0.4
 CHARS_PER_TOKEN = 4
 
@@ -28,6 +30,18 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
     return terms.groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def postings_and_stats(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms in ``asked`` (term), and the corpus statistics, from one pass that is written out.
+
+    Each document has a row of the empty term besides, which no text has; the statistics are those rows'.
+    """
+    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("words"))
+    terms = words.select("id", F.size("words").cast("long").alias("doc_len"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("term").distinct().union(asked.sparkSession.range(1).select(F.lit("").alias("term")))
+    held = cut(terms.join(wanted, "term", "left_semi").groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf")))
+    return held.where("term <> ''"), held.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+
+
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs and avg_len; documents without tokens count."""
     counted = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(T.TOKEN))
@@ -41,9 +55,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "doc_
     document, and written out; the queries are the small side of that join and Spark checks their size.
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    held = cut(postings(docs, id_col, text_col, asked))  # read twice below; the texts are tokenised once
+    held, stats = postings_and_stats(docs, asked, id_col, text_col)
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text_col)
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1.0))))
     scored = held.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).withColumn("part", F.col("times") * idf * weight)
@@ -64,15 +77,25 @@ def ranked(scores: DataFrame, group: str, k: int | None, score: str = "score", t
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = POOL, floor: float = 0.0, id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank) by cosine above ``floor``, exact.
 
-    ``queries`` (query_id, vector) are a stated set, the small side: all vectors, each brought to length one once, stream
-    past them.
+    ``queries`` (query_id, vector) are a stated set; all vectors, each brought to length one, stream past blocks of about
+    QUERY_BLOCK of them, so what is broadcast has a bound.
     """
     units = vectors.select(F.col(id_col).alias("id"), T.unit(F.col("embedding")).alias("a"))
     asked = queries.select("query_id", T.unit(F.col("vector")).alias("b"))
-    scores = units.join(F.broadcast(asked), F.lit(True)).select("query_id", "id", T.dot(F.col("a"), F.col("b")).alias("score"))
+    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_blocks)))
+    met = [units.join(F.broadcast(asked.where(block == i)), F.lit(True)) for i in range(max(1, n_blocks))]
+    scores = reduce(DataFrame.unionByName, met).select("query_id", "id", T.dot(F.col("a"), F.col("b")).alias("score"))
     return ranked(scores.where(F.col("score") > floor), "query_id", k)
 
 
+def cosines(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, floor: float = 0.0, id_col: str = "vec_id") -> DataFrame:
+    """(query_id, id, score) above ``floor`` of given pairs (query_id, id) alone: vectors are joined to them by id."""
+    held = vectors.select(F.col(id_col).alias("id"), T.unit(F.col("embedding")).alias("a"))
+    met = pairs.select("query_id", "id").distinct().join(held, "id").join(queries.select("query_id", T.unit(F.col("vector")).alias("b")), "query_id")
+    return met.select("query_id", "id", T.dot(F.col("a"), F.col("b")).alias("score")).where(F.col("score") > floor)
+
+
 def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, id, score): reciprocal ranks (1-based) summed over rankings that have query_id, id and rank."""
     both = reduce(DataFrame.unionByName, [r.select("query_id", "id", "rank") for r in rankings])

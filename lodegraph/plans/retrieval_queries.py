@@ -97,8 +97,7 @@ fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM arms
 
 def arms(read) -> tuple[DataFrame, DataFrame, DataFrame]:
     vectors = read("benchmark").join(read("embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    every = retrieval.vector_topk(read("embeddings"), vectors, None)
-    return bm25_results(read), every.where(F.col("rank") <= retrieval.POOL), every
+    return bm25_results(read), retrieval.vector_topk(read("embeddings"), vectors), vectors
 
 
 @query("rrf_fusion", f"WITH {BM25_CTE}, {VEC_CTE}, {ARMS} SELECT query_id, id, round(score, 8) AS score FROM fused")
@@ -114,8 +113,9 @@ SELECT t.query_id, t.id, round(t.score / top, 6) AS normalised, round(CASE WHEN
 FROM t LEFT JOIN vd USING (query_id, id)""",
 )
 def _rescore(read):
-    words, vectors, every = arms(read)
-    out = retrieval.rescored(retrieval.rrf(words, vectors), every)
+    words, found, vectors = arms(read)
+    fused = retrieval.rrf(words, found)
+    out = retrieval.rescored(fused, retrieval.cosines(fused, read("embeddings"), vectors))
     return out.select("query_id", "id", F.round("normalised", 6).alias("normalised"), F.round("blended", 6).alias("blended"))
 
 
@@ -208,3 +208,21 @@ def _bigrams(read):
     words = read("benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 2)
     terms = T.query_terms(F.col("w"))
     return words.select("item_id", F.size(terms).cast("long").alias("n"), F.element_at(terms, F.size("w") + 1).alias("first_pair"))
+
+
+@query("hybrid_search")
+def _hybrid_search(read):
+    """The composed search over all benchmark items: no SQL, as the last layer of its deduplication compares texts."""
+    from lodegraph.operators import search
+
+    asked = read("benchmark").join(read("embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("vector"))
+    docs = read("documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    return search.hybrid_search(docs, read("embeddings").select(F.col("vec_id").alias("id"), "embedding"), asked, lang="en").select("query_id", "id", "place", F.round("score", 8).alias("score"))
+
+
+@query("hash_dedup_layers", "SELECT conv_id AS query_id, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations) WHERE r = 1 GROUP BY conv_id")
+def _hash_layers(read):
+    from lodegraph.operators import search
+
+    rows = read("conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text", F.lit("").alias("source"), F.lit(None).cast("long").alias("offset"))
+    return search.deduplicated(rows, likeness=1.0, most=None).groupBy("query_id").agg(F.count("*").alias("kept"))

@@ -58,3 +58,15 @@ def test_short_groups_stay():
 
     text = " ".join(f"Line {i}." for i in range(14))
     assert " ".join(semantic.semantic_split(text, Turns())) == text
+
+
+def test_results_lose_duplicates_in_four_layers(spark):
+    from lodegraph.operators import search
+
+    body = "the same words again and again " * 12
+    rows = [
+        (1, 1, "a", body, "f", 1), (1, 2, "a", "other", "g", 1), (1, 3, "b", "third", "f", 1), (1, 4, "c", body, "h", 9), (1, 5, "d", body[:-3] + "x", "h", 10),
+        (1, 6, "e", "quite another text", "h", 11), (2, 1, "d", body, "f", 1), (1, 7, "g", "", "", None), (1, 8, "h", "", "", None),
+    ]
+    frame = spark.createDataFrame(rows, "query_id long, rank int, id string, text string, source string, offset long")
+    assert sorted((r["query_id"], r["id"]) for r in search.deduplicated(frame).collect()) == [(1, "a"), (1, "e"), (1, "g"), (1, "h"), (2, "d")]
