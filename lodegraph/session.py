@@ -25,9 +25,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode where the session names none."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
