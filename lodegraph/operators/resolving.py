@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.entity import title_key
+
 CONTRACT_CHARS, DIRECT_CHARS, LEAST_REST = 48_000, 32_000, 200
 MEMORY_SHARE, CHARS_PER_TOKEN, JOINT = 0.3, 4, "\n\n---\n\n"
 
@@ -171,3 +173,17 @@ def layer_entities(people: DataFrame, families: Mapping[str, tuple[str, str]]) -
     rows = F.concat(*(rows_of(family, kind, rel) for family, (kind, rel) in families.items()))
     slug = F.regexp_replace(F.lower("label"), r"[^a-z0-9]+", "-")
     return people.select("person", F.inline(F.array_distinct(rows))).select("person", F.concat_ws(":", "type", "person", slug).alias("id"), "type", "label", "rel")
+
+
+def file_themes(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """source, kind, name, domain, is_new: what each file names, once per normalised name, as the registry writes it.
+
+    ``mentions``: source, kind (theme, person or role), at, name. ``registry``: kind, alias, canonical, domain; an unknown name
+    keeps the form in which it first stands. Of two aliases that normalise alike the canonical name that sorts first counts.
+    """
+    named = mentions.withColumn("key", F.trim(title_key(F.col("name")))).where("key <> ''")
+    first = named.groupBy("source", "kind", "key").agg(F.min(F.struct("at", "name")).alias("f"))
+    known = registry.groupBy("kind", F.trim(title_key(F.col("alias"))).alias("key")).agg(F.min(F.struct("canonical", "domain")).alias("r"))
+    met = first.join(known, ["kind", "key"], "left")
+    resolved = met.groupBy("source", "kind", F.coalesce("r.canonical", "f.name").alias("name")).agg(F.min("r.domain").alias("domain"), F.every(F.col("r").isNull()).alias("is_new"))
+    return resolved.select("source", "kind", "name", "domain", "is_new")

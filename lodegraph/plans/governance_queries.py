@@ -201,3 +201,14 @@ def _documents(read):
 def _entities(read):
     c = read("customer").select(F.col("c_mktsegment").alias("person"), F.array("c_name", F.lit("")).alias("a"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.concat(F.lit("N "), "c_nationkey"))).alias("b"))
     return R.layer_entities(c, {"a": ("conceito", "USA"), "b": ("valor", "TEM")})
+
+
+@query("file_themes", """WITH m AS (SELECT user_id AS source, CASE event_id % 2 WHEN 0 THEN 'theme' ELSE 'person' END AS kind, event_id, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN ' ' || event_type || '!' ELSE '--' END AS name, event_type AS key FROM events),
+f AS (SELECT source, kind, key, arg_min(name, event_id) AS name FROM m WHERE name <> '--' GROUP BY ALL)
+SELECT source, kind, CASE WHEN kind = 'theme' AND key = 'view' THEN 'Sight' ELSE name END AS name, CASE WHEN kind = 'theme' AND key = 'view' THEN 'optics' END AS domain, NOT (kind = 'theme' AND key = 'view') AS is_new FROM f""")
+def _file_themes(read):
+    k, kind = F.col("event_id"), F.when(F.col("event_id") % 2 == 0, "theme").otherwise("person")
+    name = F.when(k % 3 == 0, F.upper("event_type")).when(k % 3 == 1, F.concat(F.lit(" "), "event_type", F.lit("!"))).otherwise("--")
+    mentions = read("events").select(F.col("user_id").alias("source"), kind.alias("kind"), k.alias("at"), name.alias("name"))
+    registry = mentions.sparkSession.createDataFrame([("theme", "View.", "Sight", "optics"), ("theme", "VIEW", "Vision", "x")], "kind string, alias string, canonical string, domain string")
+    return R.file_themes(mentions, registry)
