@@ -4,14 +4,16 @@ A document is its tokens under a byte-level BPE vocabulary, then an end token. D
 lengths (powers of two, the longest last):
 
 * whole windows of the longest tier are cut from long documents; what is left goes on as a shorter document;
-* a rest that nearly fills a tier (at least ``fill_from`` of it) takes a window of that tier, whose gap is filled from the
-  pool of shorter rests;
-* other rests are cut to the longest tier that they fill; below the shortest tier they wait in the pool;
-* the pool itself is packed to windows of the longest tier as soon as it can fill one.
+* a document waits in the shortest tier that holds it, uncut; one that fills its tier exactly is a window at once;
+* when more than ``most_open`` documents wait, a window of the longest tier in which one waits is packed: that document,
+  then whole documents of the same and of shorter tiers as long as one fits, and at last a cut of one more, whose rest
+  goes on as a shorter document.
 
 Each partition packs what it reads, in the order in which it reads it, so nothing is shuffled, memory is bounded by
-``most_open`` windows and one document, and a lost task is simply run again. Only a partition's last window is padded.
-Full windows of one tier are dealt to step groups of ``step_tokens`` tokens each, so that steps have equal work.
+``most_open`` rests of less than a window and one document, and a lost task is simply run again. Only a partition's last
+window is padded. Windows of all tiers are dealt to step groups of ``step_tokens`` tokens: a window goes to the first open
+group with room for it, and as lengths divide each other, few groups are open at a time and all but a partition's last
+one are full. Steps of full groups have equal work, whatever tiers they mix.
 
 One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (length of its window),
 step_group. Defined results: a null or empty text is the end token alone; repeated rows are packed each on their own
@@ -35,8 +37,9 @@ from .common import map_batches
 from .vocab import encoding, path_of
 
 TIERS = (128, 256, 512, 1024)
-FILL_FROM = 0.75
 MOST_OPEN = 512
+#: Documents of a tier that are looked at for one that fits a gap.
+LOOK = 8
 STEP_TOKENS = 8192
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
@@ -62,15 +65,16 @@ def tokenizer(name: str = VOCABULARY) -> Callable[[str], np.ndarray]:
 
 
 class Packer:
-    """Packs one partition's documents; ``rows`` are the pieces of the windows closed so far."""
-
-    def __init__(self, first_id: int, tiers: tuple[int, ...] = TIERS, fill_from: float = FILL_FROM, most_open: int = MOST_OPEN, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.fill_from, self.most_open, self.step_tokens = sorted(tiers), fill_from, most_open, step_tokens
-        self.next_id, self.first_id = first_id, first_id
-        self.open: deque[tuple[int, list]] = deque()  # windows with a gap: their tier and pieces
-        self.pool: deque[tuple] = deque()  # rests below the shortest tier
-        self.pooled = 0
-        self.made = dict.fromkeys(self.tiers, 0)
+    """Packs one partition's documents; ``rows`` are the pieces of the step groups closed so far."""
+
+    def __init__(self, first_id: int, tiers: tuple[int, ...] = TIERS, most_open: int = MOST_OPEN, step_tokens: int = STEP_TOKENS):
+        self.tiers, self.most_open, self.step_tokens = sorted(tiers), most_open, step_tokens
+        if any(t & (t - 1) for t in self.tiers) or step_tokens % self.tiers[-1]:
+            raise ValueError("tiers are powers of two and a step holds whole windows of the longest")
+        self.next_id = self.next_group = first_id
+        self.waiting: dict[int, deque[tuple]] = {t: deque() for t in self.tiers}
+        self.held = self.held_tokens = 0
+        self.steps: dict[int, tuple[int, list]] = {}  # open step groups: their room and windows
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -78,74 +82,94 @@ class Packer:
         while total - at >= longest:
             self._close(longest, [(doc_id, at, ids[at : at + longest], total)])
             at += longest
-        while at < total:
-            left = total - at
-            above = next((t for t in self.tiers if t >= left), None)
-            if above is not None and (left == above or left >= self.fill_from * above):
-                piece = [(doc_id, at, ids[at:], total)]
-                if left == above:
-                    self._close(above, piece)
+        if at < total:
+            self._wait((doc_id, at, ids[at:].copy() if at else ids, total))  # a copy lets go of a long document
+        while self.held > self.most_open and self.held_tokens >= self._top():
+            self._pack(self._top())
+
+    def _top(self) -> int:
+        return next(t for t in reversed(self.tiers) if self.waiting[t])
+
+    def _wait(self, piece: tuple) -> None:
+        n = len(piece[2])
+        tier = next(t for t in self.tiers if t >= n)
+        if n == tier:
+            self._close(tier, [piece])
+            return
+        self.waiting[tier].append(piece)
+        self.held += 1
+        self.held_tokens += n
+
+    def _next(self, tier: int) -> tuple:
+        piece = self.waiting[tier].popleft()
+        self.held -= 1
+        self.held_tokens -= len(piece[2])
+        return piece
+
+    def _pack(self, tier: int) -> None:
+        """A full window, if as many tokens wait: whole documents first, then one cut."""
+        pieces = [self._next(tier)]
+        gap = tier - len(pieces[0][2])
+        for shorter in reversed(self.tiers[: self.tiers.index(tier) + 1]):
+            queue = self.waiting[shorter]
+            for _ in range(min(LOOK, len(queue)) if gap > shorter // 2 or shorter == self.tiers[0] else 0):
+                if len(queue[0][2]) <= gap:
+                    pieces.append(self._next(shorter))
+                    gap -= len(pieces[-1][2])
                 else:
-                    self.open.append((above, piece))
-                at = total
-            elif below := next((t for t in reversed(self.tiers) if t <= left), None):
-                self._close(below, [(doc_id, at, ids[at : at + below], total)])
-                at += below
-            else:
-                self.pool.append((doc_id, at, ids[at:], total))
-                self.pooled += left
-                at = total
-        self._fill()
-        while len(self.open) > self.most_open:  # too few short rests: the oldest window's own pieces become rests
-            for piece in self.open.popleft()[1]:
-                self.pool.append(piece)
-                self.pooled += len(piece[2])
-            self._fill()
-        while self.pooled >= longest:
-            self._close(longest, self._take(longest))
+                    queue.rotate(-1)
+        self._close(tier, pieces + self._take(gap))
 
     def _take(self, n: int) -> list:
-        """Pieces of n ids in all from the pool, the last one cut if need be."""
+        """Pieces of n ids in all from the shortest tiers, the last one cut if need be."""
         out = []
         while n:
-            doc_id, start, ids, total = self.pool.popleft()
+            doc_id, start, ids, total = self._next(next(t for t in self.tiers if self.waiting[t]))
             if len(ids) > n:
-                self.pool.appendleft((doc_id, start + n, ids[n:], total))
+                self._wait((doc_id, start + n, ids[n:], total))
                 ids = ids[:n]
             out.append((doc_id, start, ids, total))
-            self.pooled -= len(ids)
             n -= len(ids)
         return out
 
-    def _fill(self) -> None:
-        while self.open:
-            tier, pieces = self.open[0]
-            gap = tier - sum(len(p[2]) for p in pieces)
-            if self.pooled < gap:
-                return
-            self.open.popleft()
-            self._close(tier, pieces + self._take(gap))
-
     def _close(self, tier: int, pieces: list) -> None:
-        """Writes a window; only the partition's last may be shorter than its tier."""
-        group = self.made[tier] * tier // self.step_tokens * len(self.tiers) + self.tiers.index(tier)
-        self.made[tier] += 1
-        at = 0
+        """Numbers a window and deals it to a step group; only the partition's last may be shorter than its tier."""
+        at, window = 0, []
         for doc_id, start, ids, total in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, tier, self.first_id + group))
+            window.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, tier))
             at += len(ids)
         self.next_id += 1
+        self._deal(tier, window)
+
+    def _deal(self, tier: int, window: list) -> None:
+        group = next((g for g, (room, _) in self.steps.items() if room >= tier), None)
+        if group is None:
+            group, self.next_group = self.next_group, self.next_group + 1
+            self.steps[group] = (self.step_tokens, [])
+        room, windows = self.steps[group]
+        windows.append((tier, window))
+        if room > tier:
+            self.steps[group] = (room - tier, windows)
+        else:
+            self._write(group)
+
+    def _write(self, group: int) -> None:
+        for _, window in self.steps.pop(group)[1]:
+            self.rows += [(*piece, group) for piece in window]
 
     def end(self) -> None:
-        """Packs all that waits: rests and the pieces of windows with gaps, in windows of the longest tier."""
-        for _, pieces in self.open:
-            for piece in pieces:
-                self.pool.append(piece)
-                self.pooled += len(piece[2])
-        self.open.clear()
-        while self.pooled:
-            tier = next((t for t in reversed(self.tiers) if t <= self.pooled), self.tiers[-1])
-            self._close(tier, self._take(min(tier, self.pooled)))
+        """Packs all that waits; fewer tokens than a window go to shorter ones, the last of them padded."""
+        while self.held and self.held_tokens >= self._top():
+            self._pack(self._top())
+        while self.held:
+            tier = next((t for t in reversed(self.tiers) if t <= self.held_tokens), self.tiers[-1])
+            self._close(tier, self._take(min(tier, self.held_tokens)))
+        left = [w for _, windows in self.steps.values() for w in windows]
+        self.steps.clear()
+        for tier, window in sorted(left, key=lambda w: -w[0]):  # longest first: all groups but the last are filled
+            self._deal(tier, window)
+        for group in list(self.steps):
+            self._write(group)
 
     def drain(self) -> list[tuple]:
         out, self.rows = self.rows, []

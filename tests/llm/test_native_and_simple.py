@@ -123,6 +123,26 @@ def test_packer_without_short_rests():
     assert len({(r[0], r[1] + i) for r in rows for i in range(r[2])}) == 20 * 900
 
 
+def test_packer_balances_steps_and_cuts_few_documents():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(5000, rng.lognormal(5.5, 1.0, 3000).astype(int) + 1)
+    p = packing.Packer(0)
+    rows = []
+    for d, n in enumerate(lengths):
+        p.add(d, np.zeros(n, dtype="<u4"))
+        assert p.held <= packing.MOST_OPEN and len(p.steps) <= len(packing.TIERS)
+    p.end()
+    rows = p.drain()
+    work = Counter()
+    for tier, group in {r[5]: (r[7], r[8]) for r in rows}.values():
+        work[group] += tier
+    assert sum(w != packing.STEP_TOKENS for w in work.values()) <= 1
+    assert {r[7] for r in rows} == set(packing.TIERS)
+    whole = Counter(r[0] for r in rows)
+    short = [d for d, n in enumerate(lengths) if n < 1024]
+    assert np.mean([whole[d] == 1 for d in short]) > 0.6
+
+
 def base_spans(text):
     out = []
     for kind, pattern, ok in (
