@@ -7,7 +7,9 @@ document's pattern is its soft label. A hashed linear scorer is fitted to the so
 documents, the ones with the smallest hash of id and text, and then scores every document; ``kept`` is a score of
 ``threshold`` or more.
 
-Features are hashed shares of word shapes, function words, repeats and variety of the whole text, so work is linear in it.
+Features are hashed shares of word shapes, words, ends of words, function words, repeats and variety of the whole text, so
+work is linear in it. Words and their ends are content that no labeller looks at: they let the scorer tell texts apart
+that the labellers' rules miss. Places are hashed, so a text has at most ``DIMENSIONS`` of them, however long it is.
 Defined results: a null text or one without words scores 0 and is not kept; repeated rows are scored one by one; extra
 columns are ignored; an empty table gives an empty result; a null doc_id stays null.
 """
@@ -19,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import map_batches, saved
 from .quality_rules import STOP_WORDS, SYMBOLS
 
-DIMENSIONS = 4096
+DIMENSIONS = 1 << 15
+#: Weight of content features against the others: one word alone should not decide.
+CONTENT = 0.5
+#: Bytes of a word's end that are a feature.
+END = 3
 #: Bound on the sample of labelled rows that the scorer is fitted to.
 FIT_ROWS = 4000
 THRESHOLD = 0.5
@@ -48,6 +55,7 @@ class Stats:
     shapes: Counter = field(default_factory=Counter)
     share: dict[str, float] = field(default_factory=dict)
     stops: dict[bytes, int] = field(default_factory=dict)
+    known: Counter = field(default_factory=Counter)
 
 
 def stats_of(text: str | None) -> Stats:
@@ -75,7 +83,7 @@ def stats_of(text: str | None) -> Stats:
         "ends": of(lambda s: s[-1:] in b".?"),
         "small": of(lambda s: s[:1] == b"a"),
     }
-    return Stats(n, shapes, share, stops)
+    return Stats(n, shapes, share, stops, known)
 
 
 def _vote(good: bool, bad: bool) -> int:
@@ -136,44 +144,59 @@ def fit_labels(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, flo
     return dict(zip(patterns, good.tolist())), chance, share
 
 
-def features_of(stats: Stats) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: places and values."""
-    from xxhash import xxh3_64_intdigest
-
-    values: dict[int, float] = {}
+def _places(names, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of features of one kind, by a multiplicative hash of their CRCs."""
+    codes = np.fromiter(map(crc32, names), np.uint64, len(names)) + np.uint64(kind << 32)
+    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(40)).astype(np.int64) % DIMENSIONS, np.where(mixed >> np.uint64(39) & np.uint64(1), 1.0, -1.0)
 
-    def add(name: bytes, value: float) -> None:
-        h = xxh3_64_intdigest(name)
-        place = h % DIMENSIONS
-        values[place] = values.get(place, 0.0) + (value if h >> 63 else -value)
 
-    add(b"bias", 1.0)
+def features_of(stats: Stats) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features: places and values; a place may come more than once, its values add up."""
     n = max(1, stats.n)
-    for shape, c in stats.shapes.items():
-        add(b"s:" + shape, (c / n) ** 0.5)
-    for word, c in stats.stops.items():
-        add(b"w:" + word, (c / n) ** 0.5)
+    single = [(b"bias", 1.0)]
+    single += [(b"w:" + word, (c / n) ** 0.5) for word, c in stats.stops.items()]
     for name, value in stats.share.items():
-        add(b"v:" + name.encode(), min(value, 10.0) ** 0.5)
-        add(b"b:%s:%d" % (name.encode(), min(20, int(value * 20 if name != "length" else value * 2))), 1.0)
-    return np.fromiter(values, np.int32, len(values)), np.fromiter(values.values(), np.float32, len(values))
-
-
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer, by gradient steps scaled per weight; the same rows give the same weights."""
+        single.append((b"v:" + name.encode(), min(value, 10.0) ** 0.5))
+        single.append((b"b:%s:%d" % (name.encode(), min(20, int(value * 20 if name != "length" else value * 2))), 1.0))
+    of_shapes = np.fromiter(stats.shapes.values(), float, len(stats.shapes)) / n
+    of_words = np.fromiter(stats.known.values(), float, len(stats.known)) / n
+    parts = (
+        ([name for name, _ in single], np.array([value for _, value in single])),
+        (stats.shapes, of_shapes**0.5),
+        (stats.known, CONTENT * of_words**0.5),
+        ([word[-END:] for word in stats.known], of_words),
+    )
+    found = [(*_places(names, kind), value) for kind, (names, value) in enumerate(parts)]
+    places = np.concatenate([at for at, _, _ in found])
+    values = np.concatenate([sign * value for _, sign, value in found])
+    if len(places) > DIMENSIONS:
+        values = np.bincount(places, values, DIMENSIONS)
+        places = np.arange(DIMENSIONS)
+    return places.astype(np.int32), values.astype(np.float32)
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 400, rate: float = 0.5, penalty: float = 1e-4, blocks: int = 8) -> np.ndarray:
+    """Weights of a logistic scorer, by gradient steps scaled per weight, each over one of ``blocks`` blocks of rows in turn.
+
+    The same rows in the same order give the same weights.
+    """
     weights = np.zeros(DIMENSIONS)
     if not rows:
         return weights
-    lengths = [len(p) for p, _, _ in rows]
-    at = np.concatenate([p for p, _, _ in rows])
-    x = np.concatenate([v for _, v, _ in rows]).astype(float)
-    of = np.repeat(np.arange(len(rows)), lengths)
-    y = np.array([t for _, _, t in rows])
+    parts = []
+    for block in np.array_split(np.arange(len(rows)), min(blocks, len(rows))):
+        lengths = [len(rows[i][0]) for i in block]  # every row has features
+        at = np.concatenate([rows[i][0] for i in block])
+        x = np.concatenate([rows[i][1] for i in block]).astype(float)
+        parts.append((at, x, np.repeat(np.arange(len(block)), lengths), np.cumsum([0, *lengths[:-1]]), np.array([rows[i][2] for i in block])))
     squares = np.full(DIMENSIONS, 1e-6)
-    for _ in range(steps):
-        z = np.bincount(of, x * weights[at], len(rows))
+    for step in range(steps):
+        at, x, of, starts, y = parts[step % len(parts)]
+        z = np.add.reduceat(x * weights[at], starts)
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.bincount(at, x * error[of], DIMENSIONS) / len(rows) + penalty * weights
+        slope = np.bincount(at, x * error[of], DIMENSIONS) / len(y) + penalty * weights
         squares += slope**2
         weights -= rate * slope / np.sqrt(squares)
     return weights
