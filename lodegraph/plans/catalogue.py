@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
     return register
 
 
-from lodegraph.plans import analytics_queries, governance_queries, graph_queries, knowledge_queries, retrieval_queries, row_queries, shape_queries, stream_queries, text_queries  # noqa: E402, F401  they register themselves
+from lodegraph.plans import analytics_queries, governance_queries, graph_queries, knowledge_queries, lookup_queries, retrieval_queries, row_queries, shape_queries, stream_queries, text_queries  # noqa: E402, F401  they register themselves
