@@ -10,7 +10,7 @@ from lodegraph.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = queries.QUERIES[name](spark, sf)
     want = con.sql(queries.ORACLE_SQL[name])
