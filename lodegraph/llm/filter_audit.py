@@ -22,7 +22,7 @@ from hashlib import blake2b
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -84,8 +84,7 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
     )
     # The same doc_id and text may stand in several groups, in parts of their own; a group's first is an original where it is the digest's.
-    least = groups.groupBy("digest").agg(F.min("first").alias("least"))
-    own = groups.join(least, "digest")
+    own = groups.withColumn("least", F.min("first").over(Window.partitionBy("digest")))  # a digest has at most four rows a part
     originals = F.col("n_null") + F.when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0)
     sides = F.array(F.struct(F.col("mask").alias("mask"), originals.alias("n")), F.struct((F.col("mask") + COPY).alias("mask"), (F.col("n") - originals).alias("n")))
     return own.select("part", "good", "toxic", F.inline(sides)).where("n > 0")
