@@ -79,7 +79,18 @@ def saved(frame: DataFrame, what: str) -> DataFrame:
     spark = frame.sparkSession
     path = fresh_dir(spark, what)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes the table of a ``saved`` frame that nothing reads any more."""
+    path = frame._saved_at
+    if path in _made:
+        _made.remove(path)
+    where = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows of a batch that goes to a Python worker at once.
