@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, filter_audit, mixing, packing, partenum, pseudonyms, quality_model, quality_rules, secret_scan, token_alignment, warc, weighted_sampling
+from . import chat_format, filter_audit, mixing, packing, partenum, pseudonyms, quality_model, quality_rules, secret_scan, token_alignment, toxicity, warc, weighted_sampling
 from .common import table
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": lambda spark, sf_dir: warc.op8_warc(spark, table(spark, sf_dir, "pages")),
     "op9_quality_rules": _over("documents", quality_rules.op9_quality_rules),
     "op10_chat_format": _over("conversations", chat_format.op10_chat_format),
+    "op11_toxicity": lambda spark, sf_dir: toxicity.op11_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op12_filter_audit": lambda spark, sf_dir: filter_audit.op12_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_token_alignment": _over("documents", token_alignment.op13_token_alignment),
 }
