@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, map_batches, saved
 from .vocab import encoding, path_of
 
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 23
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: A space between two words; both tokenizers start a token there.
 BOUNDARY = re.compile(r" (?<=\S )(?=\S)")
@@ -95,38 +95,47 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
 
 
-def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-    """For each segment, after a space, the tokens of both sides as (id, byte length) packed into longs; None where they do not spell it."""
+@dataclass(frozen=True)
+class Encoded:
+    """Segments' tokens as (byte length, id) packed into longs, those of the first side and then those of the second: of ``rows[i]`` they are ``first[i]`` and ``sizes[i]`` in all."""
+
+    rows: np.ndarray
+    first: np.ndarray
+    sizes: np.ndarray
+    tokens: np.ndarray
+    #: Whether the tokens of either side spell the segment.
+    sound: np.ndarray
+
+
+def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
+    """The tokens of each segment after a space, many segments at once."""
     coder, lengths, model = encoding(path_a), byte_lengths(path_a), pieces(path_b)
     lengths_b = np.array([len(x) for x in model.spelled], np.int64)
-    regular = [bool(s) and not s[0].isspace() and not s[-1].isspace() for s in segments]
-    out: list = [None] * len(segments)
-    plain = [i for i, r in enumerate(regular) if r]
-    runs = [plain[k : k + _AT_ONCE] for k in range(0, len(plain), _AT_ONCE)] + [[i] for i, r in enumerate(regular) if not r]
-    for run in runs:
+    plain = [i for i, s in enumerate(segments) if not s[0].isspace() and not s[-1].isspace()]
+    others = sorted(set(range(len(segments))).difference(plain))
+    for run in [plain[k : k + _AT_ONCE] for k in range(0, len(plain), _AT_ONCE)] + [[i] for i in others]:
         chunk = [segments[i] for i in run]
         joined = " " + " ".join(chunk)
         data = joined.encode()
+        stops = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in chunk), np.int64, len(chunk)))
         a = np.array(coder.encode_ordinary(joined), np.int64)
-        lists = model.processor.encode(chunk, num_threads=1)
-        b = np.fromiter(chain.from_iterable(lists), np.int64)
-        sizes = np.fromiter((len(s) + 1 for s in chunk) if len(data) == len(joined) else (len(s.encode()) + 1 for s in chunk), np.int64, len(chunk))
-        stops = np.cumsum(sizes)
         ends = np.cumsum(lengths[a])
-        cuts_a = np.searchsorted(ends, stops) + 1
-        if len(a) == 0 or not np.array_equal(ends[cuts_a - 1], stops):
+        to_a = np.searchsorted(ends, stops) + 1
+        if not len(a) or not np.array_equal(ends[np.minimum(to_a, len(a)) - 1], stops):
             raise ValueError("tokens of the first vocabulary cross a boundary of segments")
-        cuts_b = np.cumsum([len(x) for x in lists])
-        spelled = b"".join([model.spelled[i] for i in b.tolist()])
-        whole = spelled == data
-        packed_a, packed_b = a | lengths[a] << 32, b | lengths_b[b] << 32
-        from_a = from_b = 0
-        at = 0
-        for i, to_a, to_b, size in zip(run, cuts_a.tolist(), cuts_b.tolist(), sizes.tolist()):
-            if whole or b"".join([model.spelled[t] for t in b[from_b:to_b].tolist()]) == data[at : at + size]:
-                out[i] = packed_a[from_a:to_a], packed_b[from_b:to_b]
-            from_a, from_b, at = to_a, to_b, at + size
-    return iter(out)
+        lists = model.processor.encode(chunk, num_threads=1)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        sound = np.ones(len(run), bool)
+        if b"".join([model.spelled[i] for i in b.tolist()]) != data:
+            low = [0, *stops[:-1].tolist()]
+            sound[:] = [b"".join([model.spelled[i] for i in x]) == data[k:m] for x, k, m in zip(lists, low, stops.tolist())]
+        n_a = np.diff(to_a, prepend=0)
+        starts = np.concatenate([[0], np.cumsum(n_a + n_b)[:-1]])
+        tokens = np.empty(len(a) + len(b), np.int64)
+        tokens[_ranges(starts, n_a)] = a | lengths[a] << 32
+        tokens[_ranges(starts + n_a, n_b)] = b | lengths_b[b] << 32
+        yield Encoded(np.array(run, np.int32), n_a.astype(np.int32), n_a + n_b, tokens, sound)
 
 
 SEGMENTED = "block long, kind int, row int, doc_id long, n int, refs binary, tokens array<long>"
@@ -141,18 +150,18 @@ def _segmented(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_c
         return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "row", "doc_id", "n", "refs", "tokens"])
 
     def flush(block: int, ids: list, refs: list, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        found = list(encoded(list(known), path_a, path_b))
-        void = np.array([x is None for x in found], bool)
-        refs = [r if not len(r) or not void[r].any() else r[:0] for r in refs]
+        made = list(encoded(list(known), path_a, path_b))
+        void = np.zeros(len(known), bool)
+        for e in made:
+            void[e.rows[~e.sound]] = True
+        some = void.any()
         for k in range(0, len(ids), 1000):
-            part = refs[k : k + 1000]
+            part = [r[:0] if some and void[r].any() else r for r in refs[k : k + 1000]]
             yield table(0, block, range(k, k + len(part)), ids[k : k + 1000], [len(r) for r in part], [_packed(r) for r in part], pa.nulls(len(part), pa.list_(pa.int64())))
-        for k in range(0, len(found), 50_000):
-            part = [(i, x) for i, x in enumerate(found[k : k + 50_000], k) if x is not None]
-            sizes = [len(a) + len(b) for _, (a, b) in part]
-            flat = np.concatenate([y for _, x in part for y in x]) if part else np.zeros(0, np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64()))
-            yield table(1, block, [i for i, _ in part], [None] * len(part), [len(a) for _, (a, _) in part], [None] * len(part), tokens)
+        for e in made:
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int64()))
+            whole = table(1, block, e.rows, [None] * len(e.rows), e.first, [None] * len(e.rows), tokens)
+            yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
