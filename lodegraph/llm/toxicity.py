@@ -208,7 +208,7 @@ def held_out(doc_id: Column) -> Column:
 def _within(rows: int, wanted: int, *key: str) -> Column:
     """About ``wanted`` of ``rows`` rows, by the hash of ``key``."""
     share = min(1.0, wanted / max(1, rows))
-    return F.lit(True) if share == 1.0 else F.xxhash64(F.lit(11), *key) <= F.lit(int(share * (2**64 - 1)) - 2**63)
+    return F.lit(True) if share == 1.0 else F.xxhash64(F.lit(11), *key) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text_col: str = "text") -> DataFrame:
