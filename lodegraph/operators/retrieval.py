@@ -48,10 +48,10 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(counted.alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank) of the best k documents of each query (query_id, query).
 
-    A term that a query repeats counts as often. Postings are cut to the queries' terms before anything is shuffled by
+    A term that a query repeats counts as often. Without k all documents that score come, and no rank. Postings are cut to the queries' terms before anything is shuffled by
     document, and written out; the queries are the small side of that join and Spark checks their size.
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "doc_
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1.0))))
     scored = held.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).withColumn("part", F.col("times") * idf * weight)
     totals = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0")
-    return ranked(totals, "query_id", k)
+    return totals if k is None else ranked(totals, "query_id", k)
 
 
 def ranked(scores: DataFrame, group: str, k: int | None, score: str = "score", tie: str = "id") -> DataFrame:
@@ -137,6 +137,18 @@ def filtered(frame: DataFrame, **wanted: str | None) -> DataFrame:
     return frame
 
 
+#: Columns that a filter may name where it is pushed to the scan.
+FILTERABLE = ("bucket", "person", "layer", "section", "entity_type", "source", "lang")
+
+
+def pushed(frame: DataFrame, allowed: tuple[str, ...] = FILTERABLE, **wanted: str | None) -> DataFrame:
+    """Rows whose columns equal the wishes, case and all, so that the scan can do it; empty wishes and other keys are ignored."""
+    for name, value in wanted.items():
+        if value and name in allowed and name in frame.columns:
+            frame = frame.where(F.col(name) == value)
+    return frame
+
+
 def federated(results: DataFrame, k: int) -> DataFrame:
     """Best score per id over buckets, then the best k of each query; ties by bucket and id."""
     best = results.groupBy("query_id", "id").agg(F.min(F.struct((-F.col("score")).alias("score"), F.col("bucket"))).alias("b"))

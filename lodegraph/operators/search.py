@@ -60,13 +60,17 @@ def deduplicated(results: DataFrame, likeness: float = LIKENESS, most: int | Non
 def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP, strategic: bool = True, **wanted: str | None) -> DataFrame:
     """(query_id, id, score, place): the best k documents (id, text, source, ..) of each query (query_id, query, vector).
 
-    Words and vectors each bring their best; ranks are fused, filtered by ``wanted`` and cleared of duplicates, scores are
-    blended with the cosines, and the best stand at both ends if ``strategic``.
+    Documents are filtered by ``wanted`` before anything else, so a rare value has as many results as a common one, and
+    statistics are those of the filtered documents. Words and vectors each bring their best; ranks are fused and cleared of
+    duplicates, scores are blended with the cosines, and the best stand at both ends if ``strategic``.
     """
+    docs = retrieval.filtered(docs, **wanted)
+    if any(wanted.values()):
+        vectors = vectors.join(docs.select("id"), "id", "left_semi")
     words = retrieval.bm25(docs, queries, id_col="id")
     near = retrieval.vector_topk(vectors, queries, id_col="id")
     fused = retrieval.rrf(words, near).join(docs.select(F.col("id"), "text", *[c for c in docs.columns if c not in ("id", "text")]), "id")
-    pool = retrieval.ranked(retrieval.filtered(fused, **wanted), "query_id", POOL)
+    pool = retrieval.ranked(fused, "query_id", POOL)
     if "offset" not in pool.columns:
         pool = pool.withColumn("offset", F.lit(None).cast("long"))
     kept = deduplicated(pool.select("query_id", "rank", "id", "text", "source", "offset", "score"))

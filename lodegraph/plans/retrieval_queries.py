@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import evals, retrieval
+from lodegraph.operators import evals, retrieval, vector_index
 from lodegraph.plans.catalogue import query
 
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zà-ɏ]{{2,}}')"
@@ -75,6 +75,21 @@ def _cosine(read):
     return vector_results(read).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("indexed_cosine_topk", f"WITH {VEC_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM vec WHERE rank <= 30", ints=("rank",))
+def _indexed_exact(read):
+    """The index with its exact way: lists whose bound reaches the k-th score are looked into."""
+    index = vector_index.build(read("embeddings"))
+    return vector_index.search_exact(index, query_vectors(read)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("indexed_recall")
+def _indexed_recall(read):
+    """Recall of the nearest lists alone against a scan of all vectors, by query; no SQL, as centroids are fitted."""
+    index = vector_index.build(read("embeddings"), recall=vector_index.RECALL)
+    near = vector_index.search(index, query_vectors(read)).select("query_id", "id", F.lit(1).alias("hit"))
+    return vector_results(read).join(near, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
 @query("cosine_floor", f"WITH {VEC_CTE} SELECT query_id, count(*) AS n FROM vec WHERE score > 0.4 GROUP BY query_id")
 def _floor(read):
     return retrieval.vector_topk(read("embeddings"), query_vectors(read), None, retrieval.MATCH_FLOOR).groupBy("query_id").agg(F.count("*").alias("n"))
@@ -139,7 +154,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY round(
 SELECT query_id, id, bucket, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bucket, id) AS rank FROM k WHERE rb <= 10) WHERE rank <= 10""", ints=("rank",))
 def _federated(read):
     docs = read("documents").select(F.col("doc_id").alias("id"), bucket(F.col("source")).alias("bucket"))
-    hits = bm25_results(read, None).drop("rank").join(docs, "id").withColumn("part", F.struct("query_id", "bucket"))
+    hits = bm25_results(read, None).join(docs, "id").withColumn("part", F.struct("query_id", "bucket"))
     per = retrieval.ranked(hits, "part", 10).drop("rank", "part")
     return retrieval.federated(per, 10).select("query_id", "id", "bucket", F.round("score", 6).alias("score"), "rank")
 
@@ -197,6 +212,11 @@ def _precision(read):
     return evals.id_precision(vector_results(read, 10), wanted)
 
 
+@query("pushed_filter", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src0'")
+def _pushed(read):
+    return retrieval.pushed(read("documents"), lang="en", source="src0", person="", unknown="x").select("doc_id", "source", "n_chars")
+
+
 @query("metadata_equality_filter", "SELECT doc_id, source, n_chars FROM documents WHERE lower(lang) = 'en'")
 def _metadata(read):
     return retrieval.filtered(read("documents"), lang="en").select("doc_id", "source", "n_chars")

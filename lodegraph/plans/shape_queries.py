@@ -251,3 +251,15 @@ def _upserted(read):
     table.upsert(c.where("id % 2 = 0").withColumn("v", F.col("v") * 2), ["id"], "bucket")
     table.delete(c.where("id % 5 = 0"), ["id"], "bucket")
     return table.read().select("id", "bucket", "v")
+
+
+@query("bucket_store", """SELECT c_custkey AS id, c_mktsegment AS bucket, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS v
+FROM customer WHERE c_mktsegment <> 'MACHINERY' AND NOT (c_mktsegment = 'FURNITURE' AND c_custkey % 5 = 0)""")
+def _bucket_store(read):
+    c = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("bucket"), F.col("c_acctbal").alias("v"))
+    store = writers.BucketStore(c.sparkSession, _place(c))
+    store.upsert(c, ["id"])
+    store.upsert(c.where("bucket = 'BUILDING' AND id % 2 = 0").withColumn("v", F.col("v") * 2), ["id"])
+    store.delete(c.where("bucket = 'FURNITURE' AND id % 5 = 0"), ["id"])
+    store.clear("MACHINERY")
+    return store.read().select("id", "bucket", "v")

@@ -30,13 +30,14 @@ def whole_texts(spark: SparkSession, *globs: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, catalogue: list[Source], per_file_bucket: Column | None = None) -> DataFrame:
-    """(source, bucket, path, text) of every source of a catalogue."""
+    """(source, bucket, path, text) of every source of a catalogue; a path of several belongs to the first."""
     out = None
-    for s in catalogue:
+    for at, s in enumerate(catalogue):
         bucket = F.lit(s.bucket) if per_file_bucket is None else F.coalesce(per_file_bucket, F.lit(s.bucket))
-        part = whole_texts(spark, s.glob).withColumns({"source": F.lit(s.name), "bucket": bucket})
+        part = whole_texts(spark, s.glob).withColumns({"source": F.lit(s.name), "bucket": bucket, "_at": F.lit(at)})
         out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["path"])
+    first = out.groupBy("path").agg(F.min("_at").alias("_at"))
+    return out.join(first, ["path", "_at"]).select("source", "bucket", "path", "text")
 
 
 def markdown_sections(texts: DataFrame) -> DataFrame:
@@ -70,9 +71,8 @@ def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, folder: str, schema: str, first: str, last: str) -> DataFrame:
-    """Daily files trace-yyyy-mm-dd.jsonl of a range of days."""
-    day = F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.jsonl$", 1)
-    return json_lines(spark, schema, folder).withColumn("day", day).where(F.col("day").between(first, last))
+    """Traces of a range of days (yyyy-mm-dd), as ``append_traces`` writes them: other days' folders are not listed to tasks."""
+    return json_lines(spark, f"{schema}, day date", folder).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
 def yaml_entries(texts: DataFrame) -> DataFrame:
