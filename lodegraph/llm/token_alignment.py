@@ -13,8 +13,11 @@ distinct segments are tokenised once and aligned by relational steps:
    a range join of the tokens within groups would give, in time linear in the tokens.
 
 A document is a list of references to segments of its block; its sums, its groups' text and its distinct pairs are put
-together per block, pairs are counted over all documents, and the counts go back to the blocks. A block's rows are the
-most that one task holds: about ``BLOCK_CHARS`` characters or one longer text.
+together per block and saved as one row, pairs are counted over all documents, and the counts go back to the blocks: as a
+broadcast if there are at most ``MOST_SHIPPED``, else by a join. A block is the most that one task holds: about
+``BLOCK_CHARS`` characters or one longer text. References and segments are made by two passes over the texts, as keeping
+both would take more room than the texts; if the passes see other rows or another order, which a plain scan never does, the
+job fails and says so.
 
 Defined results: a null or empty text, or one whose tokens do not spell it, has no tokens and zeros; repeated rows are
 documents of their own; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, saved
+from .common import map_batches, saved
 from .vocab import encoding, path_of
 
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 25
+#: Pairs whose counts are broadcast, 24 bytes each.
+MOST_SHIPPED = 4_000_000
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: A space between two words; both tokenizers start a token there.
 BOUNDARY = re.compile(r" (?<=\S )(?=\S)")
@@ -97,7 +103,7 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Encoded:
-    """Segments' tokens as (byte length, id) packed into longs, those of the first side and then those of the second: of ``rows[i]`` they are ``first[i]`` and ``sizes[i]`` in all."""
+    """Segments' tokens, those of the first side and then those of the second: of ``rows[i]`` they are ``first[i]`` and ``sizes[i]`` in all."""
 
     rows: np.ndarray
     first: np.ndarray
@@ -110,7 +116,6 @@ class Encoded:
 def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
     """The tokens of each segment after a space, many segments at once."""
     coder, lengths, model = encoding(path_a), byte_lengths(path_a), pieces(path_b)
-    lengths_b = np.array([len(x) for x in model.spelled], np.int64)
     plain = [i for i, s in enumerate(segments) if not s[0].isspace() and not s[-1].isspace()]
     others = sorted(set(range(len(segments))).difference(plain))
     for run in [plain[k : k + _AT_ONCE] for k in range(0, len(plain), _AT_ONCE)] + [[i] for i in others]:
@@ -132,89 +137,96 @@ def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
             sound[:] = [b"".join([model.spelled[i] for i in x]) == data[k:m] for x, k, m in zip(lists, low, stops.tolist())]
         n_a = np.diff(to_a, prepend=0)
         starts = np.concatenate([[0], np.cumsum(n_a + n_b)[:-1]])
-        tokens = np.empty(len(a) + len(b), np.int64)
-        tokens[_ranges(starts, n_a)] = a | lengths[a] << 32
-        tokens[_ranges(starts + n_a, n_b)] = b | lengths_b[b] << 32
+        tokens = np.empty(len(a) + len(b), np.int32)
+        tokens[_ranges(starts, n_a)] = a
+        tokens[_ranges(starts + n_a, n_b)] = b
         yield Encoded(np.array(run, np.int32), n_a.astype(np.int32), n_a + n_b, tokens, sound)
 
 
-SEGMENTED = "block long, kind int, row int, doc_id long, n int, refs binary, tokens array<long>"
+def _blocks(batches: Iterator[pa.RecordBatch], split, block_chars: int) -> Iterator[tuple[int, list, list[np.ndarray], dict[str, int], int]]:
+    """(block, ids, references, segments, checksum) of the rows of one task."""
+    block = TaskContext.get().partitionId() << 32
+    ids, refs, known, size, seen = [], [], {}, 0, 0
+    for batch in batches:
+        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = value.as_py()
+            parts = split(text) if text else []
+            ids.append(doc_id)
+            refs.append(np.fromiter((known.setdefault(s, len(known)) for s in parts), np.int32, len(parts)))
+            seen = crc32(refs[-1].tobytes(), seen)
+            size += len(text or "") + 1
+            if size >= block_chars:
+                yield block, ids, refs, known, seen
+                block, ids, refs, known, size, seen = block + 1, [], [], {}, 0, 0
+    if ids:
+        yield block, ids, refs, known, seen
 
 
-def _segmented(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_chars: int) -> DataFrame:
-    """Rows of kind 0, documents with their references, and of kind 1, a block's distinct segments with n tokens of the first side and then those of the second."""
+def _picked(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def table(kind: int, block: int, rows, ids, ns, refs, tokens) -> pa.RecordBatch:
-        n = len(ns)
-        columns = [pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(rows, pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(refs, pa.binary()), tokens]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "row", "doc_id", "n", "refs", "tokens"])
 
-    def flush(block: int, ids: list, refs: list, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        made = list(encoded(list(known), path_a, path_b))
-        void = np.zeros(len(known), bool)
-        for e in made:
-            void[e.rows[~e.sound]] = True
-        some = void.any()
-        for k in range(0, len(ids), 1000):
-            part = [r[:0] if some and void[r].any() else r for r in refs[k : k + 1000]]
-            yield table(0, block, range(k, k + len(part)), ids[k : k + 1000], [len(r) for r in part], [_packed(r) for r in part], pa.nulls(len(part), pa.list_(pa.int64())))
-        for e in made:
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int64()))
-            whole = table(1, block, e.rows, [None] * len(e.rows), e.first, [None] * len(e.rows), tokens)
-            yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
+def _splitter(path_b: str):
+    return BOUNDARY.split if pieces(path_b).separable else (lambda text: [text])
+
+
+def references(docs: DataFrame, text_col: str, path_b: str, block_chars: int) -> DataFrame:
+    """block, row, doc_id, n and its n references to segments, packed; seen: a checksum of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        split = BOUNDARY.split if pieces(path_b).separable else (lambda text: [text])
-        ids, refs, known, size = [], [], {}, 0
-        for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = value.as_py()
-                ids.append(doc_id)
-                parts = split(text) if text else []
-                refs.append(np.fromiter((known.setdefault(s, len(known)) for s in parts), np.int32, len(parts)))
-                size += len(text or "") + 1
-                if size >= block_chars:
-                    yield from flush(block, ids, refs, known)
-                    block, ids, refs, known, size = block + 1, [], [], {}, 0
-        if ids:
-            yield from flush(block, ids, refs, known)
+        for block, ids, refs, _, seen in _blocks(batches, _splitter(path_b), block_chars):
+            for k in range(0, len(ids), 1000):
+                part = refs[k : k + 1000]
+                n = len(part)
+                columns = [pa.array([block] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(ids[k : k + n], pa.int64()), pa.array([len(r) for r in part], pa.int32()), pa.array([_packed(r) for r in part], pa.binary()), pa.array([seen] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "doc_id", "n", "refs", "seen"])
+
+    return map_batches(_picked(docs, text_col), run, "block long, row int, doc_id long, n int, refs binary, seen long")
+
+
+def segments(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_chars: int) -> DataFrame:
+    """block, row, n tokens of the first side and then those of the second, of each segment that they spell; seen as above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _, known, seen in _blocks(batches, _splitter(path_b), block_chars):
+            for e in encoded(list(known), path_a, path_b):
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int32()))
+                n = len(e.rows)
+                whole = pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.first, pa.int32()), tokens, pa.array([seen] * n, pa.int64())], names=["block", "row", "n", "tokens", "seen"])
+                yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SEGMENTED)
+    return map_batches(_picked(docs, text_col), run, "block long, row int, n int, tokens array<int>, seen long")
 
 
-def segment_links(segments: DataFrame) -> DataFrame:
-    """block, row and the links of each segment by end: (end, group counted from the segment's end, code).
+def token_lengths(spark, path_a: str, path_b: str) -> DataFrame:
+    """first, id, length: the bytes of each token of both vocabularies, and so as many rows as they have."""
+    both = [(True, i, n) for i, n in enumerate(byte_lengths(path_a).tolist())] + [(False, i, len(x)) for i, x in enumerate(pieces(path_b).spelled)]
+    return spark.createDataFrame(pa.table({"first": [f for f, _, _ in both], "id": pa.array([i for _, i, _ in both], pa.int32()), "length": pa.array([n for _, _, n in both], pa.int32())}))
 
-    code holds the ids of both sides and in its last bits whether the first or the second side's token ends here.
+
+def segment_links(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """block, row, seen and the links of each segment by their ends, as codes.
+
+    A code holds the ids of both sides and in its last bits whether the first or the second side's token ends there; both
+    do at the end of a group.
     """
-    dealt = segments.select("block", "row", "n", "tokens").repartition("block")
-    tokens = dealt.select("block", "row", "n", F.posexplode("tokens").alias("pos", "token")).select(
-        "block", "row", (F.col("pos") < F.col("n")).alias("first"), "pos", F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id"), F.shiftright("token", 32).alias("length")
-    )
+    dealt = found.repartition("block")
+    tokens = dealt.select("block", "row", "seen", "n", F.posexplode("tokens").alias("pos", "id")).withColumn("first", F.col("pos") < F.col("n"))
     so_far = Window.partitionBy("row", "block", "first").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = tokens.withColumn("end", F.sum("length").over(so_far))
-    met = ended.groupBy("row", "block", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
+    ended = tokens.join(F.broadcast(lengths), ["first", "id"]).withColumn("end", F.sum("length").over(so_far))
+    met = ended.groupBy("row", "block", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"), F.max("seen").alias("seen"))
     onward = Window.partitionBy("row", "block").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    linked = met.select(
-        "row", "block", "end",
-        F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).over(onward).alias("group"),
-        F.last("a", ignorenulls=True).over(onward).alias("to_a"),
-        F.last("b", ignorenulls=True).over(onward).alias("to_b"),
-        (F.col("a").isNotNull().cast("long") + 2 * F.col("b").isNotNull().cast("long")).alias("ends"),
-    )
+    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
+    linked = met.select("row", "block", "seen", "end", F.sum(cut).over(onward).alias("group"), F.last("a", ignorenulls=True).over(onward).cast("long").alias("to_a"), F.last("b", ignorenulls=True).over(onward).cast("long").alias("to_b"), (F.col("a").isNotNull().cast("long") + 2 * F.col("b").isNotNull().cast("long")).alias("ends"))
     code = F.shiftleft("to_a", 26).bitwiseOR(F.shiftleft("to_b", 2)).bitwiseOR(F.col("ends"))
-    link = F.struct(F.col("end").cast("int").alias("end"), F.col("group").cast("int").alias("group"), code.alias("code"))
-    return linked.groupBy("block", "row").agg(F.sort_array(F.collect_list(link)).alias("links"))
-
-
-#: kind 0: documents (data: their references); 1: first links of a block's segments; 2: a block's pairs; 3: pairs of a block's links.
-PUT_TOGETHER = "block long, kind int, row int, doc_id long, n int, data binary, code long, n_docs long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_PUT = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (c.split() for c in PUT_TOGETHER.split(", "))])
+    links = F.sort_array(F.collect_list(F.struct(F.col("end").alias("end"), code.alias("code"))))
+    return linked.groupBy("block", "row").agg(F.transform(links, lambda x: x["code"]).alias("codes"), F.max("group").cast("int").alias("groups"), F.max("seen").alias("seen"))
 
 
-def _rows(count: int, **columns) -> pa.Table:
-    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _PUT], schema=_PUT)
+#: A block: its documents in order (refs: all references), the number of links of each segment, their pairs by place in ``pairs``.
+BLOCK = "block long, doc_id array<long>, n array<int>, refs binary, per binary, n_segments int, pair_of binary, n_links int, pairs array<long>, n_docs array<long>, a array<long>, b array<long>, groups array<long>, links array<long>, digests array<string>"
+_FIELDS = [c.split() for c in BLOCK.split(", ")]
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def _joined(lists: np.ndarray, values: pa.Array, by: str) -> pa.Array:
@@ -234,41 +246,37 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(len(shift)) + shift
 
 
-def _references(docs: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    ns = docs.column("n").to_numpy()
-    each = [_unpacked(data, n) for data, n in zip(docs.column(column).to_pylist(), ns.tolist())]
-    return np.concatenate([[0], np.cumsum(ns)]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *each])
-
-
 def put_together(links: pa.Table, docs: pa.Table) -> pa.Table:
-    """The documents of one block, its pairs and in how many of its documents they are."""
+    """One block: its documents, its pairs and in how many of its documents they are."""
     docs = docs.sort_by("row")
+    if len(pc.unique(pa.chunked_array([*docs.column("seen").chunks, *links.column("seen").chunks], pa.int64()))) > 1:
+        raise RuntimeError("two passes over the documents saw other rows or another order: save the documents before they are aligned")
     rows = links.column("row").to_numpy()
     order = np.argsort(rows, kind="stable")
-    lists = links.column("links").combine_chunks().take(pa.array(order)) if len(rows) else pa.array([], links.schema.field("links").type)
-    flat = lists.flatten()
-    group, code = flat.field("group").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("code").to_numpy(zero_copy_only=False).astype(np.int64)
-    n_segments = int(rows.max()) + 1 if len(rows) else 0
-    per = np.zeros(n_segments, np.int64)
-    per[rows[order]] = np.asarray(pc.list_value_length(lists))
+    lists = links.column("codes").combine_chunks().take(pa.array(order)) if len(rows) else pa.array([], pa.list_(pa.int64()))
+    code = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ns = docs.column("n").to_numpy()
+    each = [_unpacked(data, n) for data, n in zip(docs.column("refs").to_pylist(), ns.tolist())]
+    n_segments = 1 + max([int(rows.max(initial=-1)), *(int(r.max(initial=-1)) for r in each)])
+    per, groups_of = np.zeros(n_segments, np.int64), np.zeros(n_segments, np.int64)
+    per[rows], groups_of[rows[order]] = pc.list_value_length(links.column("codes")).to_numpy(), links.column("groups").to_numpy()[order]
+    sound = per > 0  # of other segments the tokens do not spell them
+    each = [r if not len(r) or sound[r].all() else r[:0] for r in each]
+    at, refs = np.concatenate([[0], np.cumsum([len(r) for r in each])]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *each])
+
     starts = np.concatenate([[0], np.cumsum(per)])
-    segment = np.repeat(np.arange(n_segments), per)
-    new_group = np.ones(len(code), bool)
-    new_group[1:] = (group[1:] != group[:-1]) | (segment[1:] != segment[:-1])
-    of_group = np.cumsum(new_group) - 1
     ends_a, ends_b = code & 1 == 1, code & 2 == 2
-    n_groups = int(of_group[-1]) + 1 if len(code) else 0
+    after = np.cumsum(ends_a & ends_b)  # groups that have ended with each link
+    of_group = after - (ends_a & ends_b)
+    n_groups = int(after[-1]) if len(code) else 0
 
     def side(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         return _joined(np.bincount(of_group[ends], minlength=n_groups), pa.array(ids[ends]).cast(pa.string()), ",")
 
     groups = pc.binary_join_element_wise(side(code >> 26, ends_a), side(code >> 2 & 0xFFFFFF, ends_b), "|")
-    groups_of = _sums(new_group, starts)
     texts = _joined(groups_of, groups, ";")
     pairs, pair_of = np.unique(code >> 2, return_inverse=True)
-
-    at, refs = _references(docs, "refs")
-    sums = [_sums(x[refs], at) for x in (_sums(ends_a, starts), _sums(ends_b, starts), groups_of, per)]
+    sums = {name: _sums(x[refs], at) for name, x in (("a", _sums(ends_a, starts)), ("b", _sums(ends_b, starts)), ("groups", groups_of), ("links", per))}
     digests, counts = [], np.zeros(len(pairs), np.int64)
     low = 0
     while low < docs.num_rows:  # a few documents at once: their groups' texts are long
@@ -279,34 +287,51 @@ def put_together(links: pa.Table, docs: pa.Table) -> pa.Table:
             own = np.unique(refs[at[doc] : at[doc + 1]])
             counts[np.unique(pair_of[_ranges(starts[own], per[own])])] += 1
         low = high
-
-    block = docs.column("block")[0].as_py()
-    n, m = docs.num_rows, len(pairs)
-    made = _rows(
-        n, block=[block] * n, kind=[0] * n, row=docs.column("row").to_numpy(), doc_id=docs.column("doc_id").combine_chunks(), n=docs.column("n").to_numpy(), data=docs.column("refs").combine_chunks(),
-        n_a=sums[0], n_b=sums[1], n_groups=sums[2], n_links=sums[3], groups_sha256=digests,
-    )
-    own = _rows(m, block=[block] * m, kind=[2] * m, row=np.arange(m), code=pairs, n_docs=counts)
-    blobs = _rows(2, block=[block] * 2, kind=[1, 3], n=[len(per), len(pair_of)], data=[_packed(per), _packed(pair_of)])
-    return pa.concat_tables([made, own, blobs])
+    made = sums | {
+        "block": docs.column("block")[0].as_py(), "doc_id": docs.column("doc_id").combine_chunks(), "n": np.diff(at), "refs": _packed(refs), "per": _packed(per), "n_segments": n_segments,
+        "pair_of": _packed(pair_of), "n_links": len(pair_of), "pairs": pairs, "n_docs": counts, "digests": digests,
+    }
+    return pa.table([pa.array([made[name]], _TYPES[kind]) if not isinstance(made[name], pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(made[name])], pa.int32()), made[name]) for name, kind in _FIELDS], names=[name for name, _ in _FIELDS])
 
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _priced(prices: pa.Table, made: pa.Table) -> pa.Table:
-    """The documents of one block with the counts of their links."""
-    docs = made.filter(pc.equal(made.column("kind"), 0))
-    blobs = {r["kind"]: _unpacked(r["data"], r["n"]) for r in made.filter(pc.is_in(made.column("kind"), pa.array([1, 3], pa.int32()))).select(["kind", "n", "data"]).to_pylist()}
-    count, best = np.zeros(prices.num_rows, np.int64), np.zeros(prices.num_rows, np.int64)
-    rows = prices.column("row").to_numpy()
-    count[rows], best[rows] = prices.column("total").to_numpy(), prices.column("best").to_numpy()
-    starts = np.concatenate([[0], np.cumsum(blobs[1])])
-    at, refs = _references(docs, "data")
-    out = {name: docs.column(name) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-    out["n_best"] = pa.array(_sums(_sums(best[blobs[3]], starts)[refs], at), pa.int64())
-    out["count_sum"] = pa.array(_sums(_sums(count[blobs[3]], starts)[refs], at), pa.int64())
-    return pa.table(out | {"groups_sha256": docs.column("groups_sha256")})
+def _priced(block: dict, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """The documents of one block, given the count of each of its pairs and whether it is its first id's best."""
+    at = np.concatenate([[0], np.cumsum(np.asarray(block["n"].values))]).astype(np.int64)
+    refs = _unpacked(block["refs"].as_py(), int(at[-1]))
+    starts = np.concatenate([[0], np.cumsum(_unpacked(block["per"].as_py(), block["n_segments"].as_py()))])
+    pair_of = _unpacked(block["pair_of"].as_py(), block["n_links"].as_py())
+    sums = [pa.array(_sums(_sums(x[pair_of], starts)[refs], at), pa.int64()) for x in (best.astype(np.int64), counts)]
+    return pa.RecordBatch.from_arrays([*(block[c].values for c in ("doc_id", "a", "b", "groups", "links")), *sums, block["digests"].values], names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def _by_broadcast(made: DataFrame, counted: DataFrame) -> DataFrame:
+    found = counted.orderBy("code").toArrow()
+    codes, totals, best = (found.column(c).to_numpy() for c in ("code", "total", "best"))
+    shipped = made.sparkSession.sparkContext.broadcast((codes, totals, best))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, totals, best = shipped.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {name: batch.column(name)[i] for name in batch.schema.names}
+                places = np.searchsorted(codes, block["pairs"].values.to_numpy(zero_copy_only=False))
+                yield _priced(block, totals[places], best[places])
+
+    return map_batches(made, run, RESULT)
+
+
+def _by_join(made: DataFrame, counted: DataFrame) -> DataFrame:
+    prices = made.select("block", F.posexplode("pairs").alias("row", "code")).join(counted, "code").select("block", "row", "total", "best")
+
+    def run(prices: pa.Table, blocks: pa.Table) -> pa.Table:
+        prices = prices.sort_by("row")
+        block = {name: blocks.column(name)[0] for name in blocks.schema.names}
+        return pa.Table.from_batches([_priced(block, prices.column("total").to_numpy(), prices.column("best").to_numpy())])
+
+    return prices.groupBy("block").cogroup(made.withColumn("block", F.col("block") + 0).groupBy("block")).applyInArrow(run, RESULT)
 
 
 @dataclass(frozen=True)
@@ -317,21 +342,16 @@ class Alignment:
     pairs: DataFrame
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Alignment:
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text", block_chars: int = BLOCK_CHARS, most_shipped: int = MOST_SHIPPED) -> Alignment:
     """``path_a``: a file of tiktoken ranks; ``path_b``: a sentencepiece model; every executor can read them."""
     path_a, path_b = path_a or path_of(VOCABULARY_A), path_b or path_of(VOCABULARY_B)
-    cut = saved(_segmented(docs, text_col, path_a, path_b, block_chars), "alignment-segments")
-    links = segment_links(cut.where("kind = 1"))
-    texts = cut.where("kind = 0").select(F.col("block").alias("block"), "row", "doc_id", "n", "refs")
-    made = saved(links.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(put_together, PUT_TOGETHER), "alignment-blocks")
-    discard(cut)
-    own = made.where("kind = 2").select("block", "row", "code", "n_docs")
-    totals = own.groupBy("code").agg(F.sum("n_docs").alias("total"))
+    links = segment_links(segments(docs, text_col, path_a, path_b, block_chars), token_lengths(docs.sparkSession, path_a, path_b))
+    texts = references(docs, text_col, path_b, block_chars)
+    made = saved(links.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(put_together, BLOCK), "alignment-blocks")
+    totals = made.select(F.inline(F.arrays_zip("pairs", "n_docs"))).groupBy(F.col("pairs").alias("code")).agg(F.sum("n_docs").alias("total"))
     most = Window.partitionBy(F.shiftright("code", 24))
-    counted = totals.withColumn("best", (F.col("total") == F.max("total").over(most)).cast("long"))
-    prices = own.select("block", "row", "code").join(counted, "code").select("block", "row", "total", "best")
-    rest = made.where("kind <> 2").select(F.col("block").alias("block"), "kind", "doc_id", "n", "data", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    documents = prices.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_priced, RESULT)
+    counted = saved(totals.withColumn("best", (F.col("total") == F.max("total").over(most)).cast("long")), "alignment-pairs")
+    documents = (_by_broadcast if counted.count() <= most_shipped else _by_join)(made, counted)
     pairs = counted.select(F.shiftright("code", 24).alias("a"), F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("b"), F.col("total").alias("n_docs"), "best")
     return Alignment(documents, pairs)
 

@@ -88,7 +88,7 @@ def test_equals_brute_force(spark, coders, which, chars, request):
     docs = request.getfixturevalue(which)
     if which == "odd":
         docs = docs.unionByName(spark.createDataFrame([(100 + i, t, "en", "s", 1, 2) for i, t in enumerate(HARD + HARD[:5])], docs.schema))
-    got = token_alignment.align(docs, block_chars=chars).documents.collect()
+    got = token_alignment.align(docs, block_chars=chars, most_shipped=0 if chars == 3_000 else 1 << 20).documents.collect()
     assert Counter(map(tuple, got)) == brute(docs.select("doc_id", "text").collect(), coders)
 
 
