@@ -16,8 +16,8 @@ A document is a list of references to segments of its block; its sums, its group
 together per block and saved as one row, pairs are counted over all documents, and the counts go back to the blocks: as a
 broadcast if there are at most ``MOST_SHIPPED``, else by a join. A block is the most that one task holds: about
 ``BLOCK_CHARS`` characters or one longer text. References and segments are made by two passes over the texts, as keeping
-both would take more room than the texts; if the passes see other rows or another order, which a plain scan never does, the
-job fails and says so.
+both would take more room than the texts. A block's id holds a checksum of its references: if the passes see other rows or
+another order, which a plain scan never does, blocks stay without their other half, and the job fails and says so.
 
 Defined results: a null or empty text, or one whose tokens do not spell it, has no tokens and zeros; repeated rows are
 documents of their own; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, saved
 from .vocab import encoding, path_of
 
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 #: Pairs whose counts are broadcast, 24 bytes each.
 MOST_SHIPPED = 4_000_000
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -143,9 +143,9 @@ def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
         yield Encoded(np.array(run, np.int32), n_a.astype(np.int32), n_a + n_b, tokens, sound)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], split, block_chars: int) -> Iterator[tuple[int, list, list[np.ndarray], dict[str, int], int]]:
-    """(block, ids, references, segments, checksum) of the rows of one task."""
-    block = TaskContext.get().partitionId() << 32
+def _blocks(batches: Iterator[pa.RecordBatch], split, block_chars: int) -> Iterator[tuple[int, list, list[np.ndarray], dict[str, int]]]:
+    """(block, ids, references, segments) of the rows of one task; a block's id is made of the task's place, its own and a checksum."""
+    first = TaskContext.get().partitionId() << 12
     ids, refs, known, size, seen = [], [], {}, 0, 0
     for batch in batches:
         for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -155,11 +155,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], split, block_chars: int) -> Itera
             refs.append(np.fromiter((known.setdefault(s, len(known)) for s in parts), np.int32, len(parts)))
             seen = crc32(refs[-1].tobytes(), seen)
             size += len(text or "") + 1
-            if size >= block_chars:
-                yield block, ids, refs, known, seen
-                block, ids, refs, known, size, seen = block + 1, [], [], {}, 0, 0
+            if size >= block_chars and (first + 1) % 4096:
+                yield first << 27 | seen >> 5, ids, refs, known
+                first, ids, refs, known, size, seen = first + 1, [], [], {}, 0, 0
     if ids:
-        yield block, ids, refs, known, seen
+        yield first << 27 | seen >> 5, ids, refs, known
 
 
 def _picked(docs: DataFrame, text_col: str) -> DataFrame:
@@ -171,56 +171,61 @@ def _splitter(path_b: str):
 
 
 def references(docs: DataFrame, text_col: str, path_b: str, block_chars: int) -> DataFrame:
-    """block, row, doc_id, n and its n references to segments, packed; seen: a checksum of the block."""
+    """block, row, doc_id, n and its n references to segments, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, refs, _, seen in _blocks(batches, _splitter(path_b), block_chars):
+        for block, ids, refs, _ in _blocks(batches, _splitter(path_b), block_chars):
             for k in range(0, len(ids), 1000):
                 part = refs[k : k + 1000]
                 n = len(part)
-                columns = [pa.array([block] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(ids[k : k + n], pa.int64()), pa.array([len(r) for r in part], pa.int32()), pa.array([_packed(r) for r in part], pa.binary()), pa.array([seen] * n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "doc_id", "n", "refs", "seen"])
+                columns = [pa.array([block] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(ids[k : k + n], pa.int64()), pa.array([len(r) for r in part], pa.int32()), pa.array([_packed(r) for r in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "doc_id", "n", "refs"])
 
-    return map_batches(_picked(docs, text_col), run, "block long, row int, doc_id long, n int, refs binary, seen long")
+    return map_batches(_picked(docs, text_col), run, "block long, row int, doc_id long, n int, refs binary")
 
 
 def segments(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_chars: int) -> DataFrame:
-    """block, row, n tokens of the first side and then those of the second, of each segment that they spell; seen as above."""
+    """block, row, n tokens of the first side and then those of the second, of each segment that they spell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, known, seen in _blocks(batches, _splitter(path_b), block_chars):
+        for block, _, _, known in _blocks(batches, _splitter(path_b), block_chars):
             for e in encoded(list(known), path_a, path_b):
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int32()))
                 n = len(e.rows)
-                whole = pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.first, pa.int32()), tokens, pa.array([seen] * n, pa.int64())], names=["block", "row", "n", "tokens", "seen"])
+                whole = pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.first, pa.int32()), tokens], names=["block", "row", "n", "tokens"])
                 yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
 
-    return map_batches(_picked(docs, text_col), run, "block long, row int, n int, tokens array<int>, seen long")
+    return map_batches(_picked(docs, text_col), run, "block long, row int, n int, tokens array<int>")
 
 
 def token_lengths(spark, path_a: str, path_b: str) -> DataFrame:
-    """first, id, length: the bytes of each token of both vocabularies, and so as many rows as they have."""
-    both = [(True, i, n) for i, n in enumerate(byte_lengths(path_a).tolist())] + [(False, i, len(x)) for i, x in enumerate(pieces(path_b).spelled)]
-    return spark.createDataFrame(pa.table({"first": [f for f, _, _ in both], "id": pa.array([i for _, i, _ in both], pa.int32()), "length": pa.array([n for _, _, n in both], pa.int32())}))
+    """first (1 or 0), id, length: the bytes of each token of both vocabularies, and so as many rows as they have."""
+    both = [(1, i, n) for i, n in enumerate(byte_lengths(path_a).tolist())] + [(0, i, len(x)) for i, x in enumerate(pieces(path_b).spelled)]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*both)], names=["first", "id", "length"]))
 
 
 def segment_links(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """block, row, seen and the links of each segment by their ends, as codes.
+    """block, row, the links of each segment by their ends, as codes, and its number of groups.
 
     A code holds the ids of both sides and in its last bits whether the first or the second side's token ends there; both
-    do at the end of a group.
+    do at the end of a group. Blocks are dealt to more tasks than usual, as four steps hold a task's tokens at once.
     """
-    dealt = found.repartition("block")
-    tokens = dealt.select("block", "row", "seen", "n", F.posexplode("tokens").alias("pos", "id")).withColumn("first", F.col("pos") < F.col("n"))
-    so_far = Window.partitionBy("row", "block", "first").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = tokens.join(F.broadcast(lengths), ["first", "id"]).withColumn("end", F.sum("length").over(so_far))
-    met = ended.groupBy("row", "block", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"), F.max("seen").alias("seen"))
+    tasks = 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(tasks, "block").select("block", "row", "n", F.posexplode("tokens").alias("pos", "id"))
+    first = (F.col("pos") < F.col("n")).cast("int")
+    tokens = dealt.select("block", (2 * F.col("row") + first).alias("side"), "pos", "id", first.alias("first")).join(F.broadcast(lengths), ["first", "id"])
+    so_far = Window.partitionBy("side", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = tokens.select("block", "side", "id", F.sum("length").over(so_far).alias("end"))
+    of = lambda side: F.max(F.when(F.col("side") % 2 == side, F.col("id")))
+    met = ended.groupBy(F.shiftright("side", 1).alias("row"), "block", "end").agg(of(1).alias("a"), of(0).alias("b"))
     onward = Window.partitionBy("row", "block").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    linked = met.select("row", "block", "seen", "end", F.sum(cut).over(onward).alias("group"), F.last("a", ignorenulls=True).over(onward).cast("long").alias("to_a"), F.last("b", ignorenulls=True).over(onward).cast("long").alias("to_b"), (F.col("a").isNotNull().cast("long") + 2 * F.col("b").isNotNull().cast("long")).alias("ends"))
-    code = F.shiftleft("to_a", 26).bitwiseOR(F.shiftleft("to_b", 2)).bitwiseOR(F.col("ends"))
-    links = F.sort_array(F.collect_list(F.struct(F.col("end").alias("end"), code.alias("code"))))
-    return linked.groupBy("block", "row").agg(F.transform(links, lambda x: x["code"]).alias("codes"), F.max("group").cast("int").alias("groups"), F.max("seen").alias("seen"))
+    nearest = lambda side: F.last(side, ignorenulls=True).over(onward).cast("long")
+    ends = F.col("a").isNotNull().cast("long") + 2 * F.col("b").isNotNull().cast("long")
+    code = F.shiftleft(nearest("a"), 26).bitwiseOR(F.shiftleft(nearest("b"), 2)).bitwiseOR(ends)
+    linked = met.select("row", "block", "end", F.sum(cut).over(onward).alias("group"), code.alias("code"))
+    links = F.sort_array(F.collect_list(F.struct(F.col("end").alias("end"), F.col("code").alias("code"))))
+    return linked.groupBy("block", "row").agg(F.transform(links, lambda x: x["code"]).alias("codes"), F.max("group").cast("int").alias("groups"))
 
 
 #: A block: its documents in order (refs: all references), the number of links of each segment, their pairs by place in ``pairs``.
@@ -249,7 +254,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def put_together(links: pa.Table, docs: pa.Table) -> pa.Table:
     """One block: its documents, its pairs and in how many of its documents they are."""
     docs = docs.sort_by("row")
-    if len(pc.unique(pa.chunked_array([*docs.column("seen").chunks, *links.column("seen").chunks], pa.int64()))) > 1:
+    if not docs.num_rows:
         raise RuntimeError("two passes over the documents saw other rows or another order: save the documents before they are aligned")
     rows = links.column("row").to_numpy()
     order = np.argsort(rows, kind="stable")
