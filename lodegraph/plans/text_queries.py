@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import chunking, entity, memory, rules, windows
+from lodegraph.operators import chunking, entity, memory, mentions, rules, windows
 from lodegraph.plans.catalogue import query
 from lodegraph.plans.retrieval_queries import TOK
 
@@ -251,3 +251,33 @@ def _answers(read):
     from lodegraph import plugins
 
     return plugins.with_answers(read("benchmark").select("item_id", F.col("text").alias("prompt")), plugins.ExtractiveModel(200)).select("item_id", "answer")
+
+
+_FIRST_TWO = "SELECT item_id, w[1] || ' ' || w[2] AS gram FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9à-ɏ]+') AS w FROM benchmark) WHERE len(w) >= 2"
+
+
+def _named(read):
+    words = mentions.words_of(F.col("text"))
+    return read("benchmark").where(F.size(words) >= 2).select(F.array_join(F.slice(words, 1, 2), " ").alias("alias"), F.col("item_id").alias("entity"))
+
+
+@query("name_mentions", f"""WITH al AS ({_FIRST_TWO}), w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9à-ɏ]+') AS w FROM documents),
+g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w))
+SELECT doc_id, item_id, count(*) AS n FROM g JOIN al USING (gram) GROUP BY ALL""")
+def _mentions(read):
+    return mentions.mentions(read("documents"), _named(read), "doc_id").groupBy(F.col("id").alias("doc_id"), F.col("entity").alias("item_id")).agg(F.count("*").alias("n"))
+
+
+_KINDS = " ".join(f"WHEN {' OR '.join(f'contains(q, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in mentions.ARTIFACTS.items())
+
+
+@query("resolved_files", f"""WITH al AS (SELECT gram, min('src' || (item_id % 20)) AS entity FROM ({_FIRST_TWO}) GROUP BY gram), q AS (SELECT item_id, trim(lower('transcript of ' || text)) AS q, regexp_extract_all(lower('transcript of ' || text), '[a-z0-9à-ɏ]+') AS w FROM benchmark),
+m AS (SELECT item_id, q, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM q)), b AS (SELECT item_id, q, entity, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM m JOIN al USING (gram)),
+f AS (SELECT item_id, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY item_id ORDER BY doc_id) - length(text) AS before FROM b JOIN documents d ON d.source = b.entity
+WHERE r = 1 AND text IS NOT NULL AND CASE {_KINDS} END = 'source')
+SELECT item_id, doc_id, CASE WHEN n <= 32000 - before THEN n ELSE 32000 - before END::BIGINT AS chars FROM f WHERE n <= 32000 - before OR 32000 - before > 200""")
+def _resolved(read):
+    questions = read("benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("transcript of "), "text").alias("query"))
+    aliases = _named(read).select("alias", F.concat(F.lit("src"), (F.col("entity") % 20).cast("string")).alias("entity"))
+    files = read("documents").select(F.col("source").alias("entity"), F.lit("source").alias("artifact"), F.col("doc_id").alias("place"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    return mentions.resolved(questions, aliases, files).select(F.col("query_id").alias("item_id"), F.col("place").alias("doc_id"), F.length("text").cast("long").alias("chars"))
