@@ -87,14 +87,19 @@ BATCH_ROWS = 512
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def trim() -> None:
+    """Gives back what a worker no longer needs; it lives on after its task and would keep what it once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def _trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # a worker lives on after its task and would keep what it once held
-        except OSError:
-            pass
+        trim()
 
     return run
 

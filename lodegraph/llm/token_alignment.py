@@ -40,10 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved
+from .common import map_batches, saved, trim
 from .vocab import encoding, path_of
 
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 #: Pairs whose counts are broadcast, 24 bytes each.
 MOST_SHIPPED = 4_000_000
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -54,7 +54,8 @@ MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Segments that are encoded by one call.
 _AT_ONCE = 20_000
-_SLICE = 500_000
+#: References whose groups are joined to text at once.
+_SLICE = 100_000
 
 
 @dataclass(frozen=True)
@@ -166,15 +167,16 @@ def _picked(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _splitter(path_b: str):
-    return BOUNDARY.split if pieces(path_b).separable else (lambda text: [text])
+def _splitter(separable: bool):
+    return BOUNDARY.split if separable else (lambda text: [text])
 
 
 def references(docs: DataFrame, text_col: str, path_b: str, block_chars: int) -> DataFrame:
     """block, row, doc_id, n and its n references to segments, packed."""
+    separable = pieces(path_b).separable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, refs, _ in _blocks(batches, _splitter(path_b), block_chars):
+        for block, ids, refs, _ in _blocks(batches, _splitter(separable), block_chars):
             for k in range(0, len(ids), 1000):
                 part = refs[k : k + 1000]
                 n = len(part)
@@ -186,14 +188,17 @@ def references(docs: DataFrame, text_col: str, path_b: str, block_chars: int) ->
 
 def segments(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_chars: int) -> DataFrame:
     """block, row, n tokens of the first side and then those of the second, of each segment that they spell."""
+    separable = pieces(path_b).separable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, known in _blocks(batches, _splitter(path_b), block_chars):
+        for block, _, _, known in _blocks(batches, _splitter(separable), block_chars):
             for e in encoded(list(known), path_a, path_b):
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int32()))
                 n = len(e.rows)
                 whole = pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.first, pa.int32()), tokens], names=["block", "row", "n", "tokens"])
                 yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
+        for held in (pieces, byte_lengths, encoding):  # workers live on, and the next steps need no vocabulary
+            held.cache_clear()
 
     return map_batches(_picked(docs, text_col), run, "block long, row int, n int, tokens array<int>")
 
@@ -292,6 +297,7 @@ def put_together(links: pa.Table, docs: pa.Table) -> pa.Table:
             own = np.unique(refs[at[doc] : at[doc + 1]])
             counts[np.unique(pair_of[_ranges(starts[own], per[own])])] += 1
         low = high
+    trim()
     made = sums | {
         "block": docs.column("block")[0].as_py(), "doc_id": docs.column("doc_id").combine_chunks(), "n": np.diff(at), "refs": _packed(refs), "per": _packed(per), "n_segments": n_segments,
         "pair_of": _packed(pair_of), "n_links": len(pair_of), "pairs": pairs, "n_docs": counts, "digests": digests,
