@@ -5,13 +5,15 @@ lengths (powers of two, the longest last):
 
 * whole windows of the longest tier are cut from long documents; what is left goes on as a shorter document;
 * a document waits in the shortest tier that holds it, uncut; one that fills its tier exactly is a window at once;
-* when more than ``most_open`` documents wait, a window of the longest tier in which one waits is packed: that document,
-  then whole documents of the same and of shorter tiers as long as one fits, and at last a cut of one more, whose rest
-  goes on as a shorter document.
+* a tier in which more than its part of ``most_open`` documents wait packs a window: one of its own documents (several in
+  the shortest tier), then whole documents of shorter tiers for the gap, and at last a cut of another document of its own,
+  whose rest goes on in the tier of its length;
+* a tier gives no more tokens to longer windows' gaps than it has received as rests of cut documents, so each tier packs as
+  many tokens into windows of its own as were routed to it.
 
 Each partition packs what it reads, in the order in which it reads it, so nothing is shuffled, memory is bounded by
-``most_open`` rests of less than a window and one document, and a lost task is simply run again. Only a partition's last
-window is padded. Windows of all tiers are dealt to step groups of ``step_tokens`` tokens: a window goes to the first open
+``most_open`` documents of less than a window (128 a tier at least) and one more, and a lost task is simply run again. Only a
+partition's last window is padded. Windows of all tiers are dealt to step groups of ``step_tokens`` tokens: a window goes to the first open
 group with room for it, and as lengths divide each other, few groups are open at a time and all but a partition's last
 one are full. Steps of full groups have equal work, whatever tiers they mix.
 
@@ -73,10 +75,20 @@ class Packer:
             raise ValueError("tiers are powers of two and a step holds whole windows of the longest")
         self.next_id = self.next_group = first_id
         self.waiting: dict[int, deque[tuple]] = {t: deque() for t in self.tiers}
-        self.held = self.held_tokens = 0
+        self.tokens = dict.fromkeys(self.tiers, 0)  # that wait in each tier
+        self.spare = dict.fromkeys(self.tiers, 0)  # rests received less what was given to longer windows
+        self.most = max(2, most_open // len(self.tiers))
         self.steps: dict[int, tuple[int, list]] = {}  # open step groups: their room and windows
         self.rows: list[tuple] = []
 
+    @property
+    def held(self) -> int:
+        return sum(map(len, self.waiting.values()))
+
+    @property
+    def held_tokens(self) -> int:
+        return sum(self.tokens.values())
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         total, at, longest = len(ids), 0, self.tiers[-1]
         while total - at >= longest:
@@ -84,41 +96,57 @@ class Packer:
             at += longest
         if at < total:
             self._wait((doc_id, at, ids[at:].copy() if at else ids, total))  # a copy lets go of a long document
-        while self.held > self.most_open and self.held_tokens >= self._top():
-            self._pack(self._top())
+        self._pack_while(self.most)
 
-    def _top(self) -> int:
-        return next(t for t in reversed(self.tiers) if self.waiting[t])
+    def _pack_while(self, more: int) -> None:
+        """Packs tiers in which more than so many documents wait, the longest first; rests only go to shorter tiers or stay."""
+        for tier in reversed(self.tiers):
+            while len(self.waiting[tier]) > more and self.tokens[tier] >= tier:
+                self._pack(tier)
 
-    def _wait(self, piece: tuple) -> None:
+    def _wait(self, piece: tuple, rest_of: int = 0) -> None:
         n = len(piece[2])
         tier = next(t for t in self.tiers if t >= n)
         if n == tier:
             self._close(tier, [piece])
             return
         self.waiting[tier].append(piece)
-        self.held += 1
-        self.held_tokens += n
+        self.tokens[tier] += n
+        if tier < rest_of:
+            self.spare[tier] += n
 
     def _next(self, tier: int) -> tuple:
         piece = self.waiting[tier].popleft()
-        self.held -= 1
-        self.held_tokens -= len(piece[2])
+        self.tokens[tier] -= len(piece[2])
         return piece
 
+    def _fitting(self, tier: int, gap: int, most: int) -> tuple | None:
+        """One of the tier's first documents that fits the gap and ``most``, whole."""
+        queue = self.waiting[tier]
+        for _ in range(min(LOOK, len(queue))):
+            if len(queue[0][2]) <= min(gap, most):
+                return self._next(tier)
+            queue.rotate(-1)
+        return None
+
     def _pack(self, tier: int) -> None:
-        """A full window, if as many tokens wait: whole documents first, then one cut."""
+        """A full window of a tier in which at least as many tokens wait."""
         pieces = [self._next(tier)]
         gap = tier - len(pieces[0][2])
-        for shorter in reversed(self.tiers[: self.tiers.index(tier) + 1]):
-            queue = self.waiting[shorter]
-            for _ in range(min(LOOK, len(queue)) if gap > shorter // 2 or shorter == self.tiers[0] else 0):
-                if len(queue[0][2]) <= gap:
-                    pieces.append(self._next(shorter))
-                    gap -= len(pieces[-1][2])
-                else:
-                    queue.rotate(-1)
-        self._close(tier, pieces + self._take(gap))
+        for source in reversed(self.tiers[: self.tiers.index(tier) + 1]):
+            own = source == tier
+            while gap > (source // 2 if source > self.tiers[0] else 0) and (piece := self._fitting(source, gap, gap if own else self.spare[source])):
+                pieces.append(piece)
+                gap -= len(piece[2])
+                self.spare[source] -= 0 if own else len(piece[2])
+        while gap:
+            doc_id, start, ids, total = self._next(tier)
+            if len(ids) > gap:
+                self._wait((doc_id, start + gap, ids[gap:], total), tier)
+                ids = ids[:gap]
+            pieces.append((doc_id, start, ids, total))
+            gap -= len(ids)
+        self._close(tier, pieces)
 
     def _take(self, n: int) -> list:
         """Pieces of n ids in all from the shortest tiers, the last one cut if need be."""
@@ -158,9 +186,8 @@ class Packer:
             self.rows += [(*piece, group) for piece in window]
 
     def end(self) -> None:
-        """Packs all that waits; fewer tokens than a window go to shorter ones, the last of them padded."""
-        while self.held and self.held_tokens >= self._top():
-            self._pack(self._top())
+        """Packs all that waits: each tier its own, and what is too little for a window of its own together, the last window padded."""
+        self._pack_while(1)
         while self.held:
             tier = next((t for t in reversed(self.tiers) if t <= self.held_tokens), self.tiers[-1])
             self._close(tier, self._take(min(tier, self.held_tokens)))
