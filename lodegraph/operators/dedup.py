@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,35 +60,40 @@ def near_words(text: Column) -> Column:
     return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
 
+#: Shingles whose votes fit into lanes of eight bits, the highest of which holds the sign.
+LANE = 127
+#: A bit in each lane of eight bits.
+LANES = 0x0101010101010101
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_BODY_WORDS) -> DataFrame:
     """(id, simhash): 64 bits, each the majority of the bits of md5 over 3-word shingles, repeats included.
 
-    Bits are voted by sums over exploded shingles, so no function of Python runs. Short bodies have none.
+    Votes are counted within the row, so nothing is shuffled: the k-th of eight counters adds up every eighth bit of the
+    hashes from the k-th on, each in a lane of eight bits, and is put by after 127 hashes. Short bodies have none.
     """
     words = docs.select(F.col(id_col).alias("id"), near_words(F.col(text_col)).alias("w")).where(F.size("w") >= F.greatest(F.lit(1), F.lit(least_words)))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2))
-    shingles = words.select("id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("s"))
-    digest = F.md5("s")
-    halves = shingles.select("id", *(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(2)))
-    votes = halves.groupBy("id").agg(*(F.sum(F.shiftright(f"h{k}", 31 - b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{32 * k + b}") for k in range(2) for b in range(32)))
-    bits = None
-    for i in range(64):
-        bit = F.shiftleft((F.col(f"v{i}") > 0).cast("long"), 63 - i)
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return votes.select("id", bits.alias("simhash"))
+    hashes = "transform(sequence(1, greatest(1, size(w) - 2)), i -> cast(conv(substring(md5(array_join(slice(w, i, 3), ' ')), 1, 16), 16, -10) AS BIGINT))"
+    votes = f"transform(sequence(0, (size(h) - 1) div {LANE}), s -> aggregate(slice(h, cast(s * {LANE} + 1 AS INT), {LANE}), array_repeat(0L, 8), (c, x) -> transform(c, (v, k) -> v + (shiftrightunsigned(x, k) & {LANES}L))))"
+    ones = "aggregate(votes, 0L, (n, c) -> n + (shiftrightunsigned(element_at(c, b % 8 + 1), cast(8 * (b div 8) AS INT)) & 255L))"
+    bits = f"aggregate(sequence(0, 63), 0L, (r, b) -> r | if(2 * {ones} > size(h), shiftleft(1L, b), 0L))"
+    # A lambda over an array of one computes its value once, however often its body uses it and wherever a filter is pushed.
+    return words.select("id", F.expr(f"transform(array(w), w -> transform(array({hashes}), h -> transform(array({votes}), votes -> {bits})[0])[0])[0]").alias("simhash"))
 
 
 def hamming_pairs(prints: DataFrame, most: int = MAX_HAMMING) -> DataFrame:
-    """(a, b, distance) of distinct fingerprints within ``most`` bits: one of most + 1 bands must agree.
+    """(a, b, distance) of distinct fingerprints within ``most`` bits: of most + 3 blocks three must agree.
 
-    Equal fingerprints are one row, so copies are never paired; 0 never matches.
+    Each choice of three blocks is a key of about half the bits, so few prints share one by chance. Equal fingerprints are
+    one row, so copies are never paired; 0 never matches.
     """
-    distinct = prints.where("simhash <> 0").groupBy("simhash").agg(F.min("id").alias("id"))
-    width = 64 // (most + 1)
-    band = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("simhash", width * k).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for k in range(most + 1)))
-    banded = distinct.select("id", "simhash", F.explode(band).alias("band"))
+    distinct = prints.groupBy("simhash").agg(F.min("id").alias("id"), F.max("simhash").alias("own")).where("own <> 0")  # a filter of the key would compute prints twice
+    edges = [64 * k // (most + 3) for k in range(most + 4)]
+    masks = [((1 << b) - (1 << a)) for a, b in pairwise(edges)]
+    keys = [sum(m) - (1 << 64 if sum(m) >> 63 else 0) for m in combinations(masks, 3)]
+    banded = distinct.select("id", "simhash", F.posexplode(F.array(*(F.col("simhash").bitwiseAND(F.lit(k)) for k in keys))).alias("k", "v"))
     left, right = banded.alias("l"), banded.alias("r")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")))
+    met = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id")))
     pairs = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), T.hamming(F.col("l.simhash"), F.col("r.simhash")).alias("distance"))
     return pairs.where(F.col("distance") <= most).distinct()
 

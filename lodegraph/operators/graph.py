@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.session import cut
@@ -96,6 +96,43 @@ def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return rank
 
 
+#: Mass of a question that may be left unsent.
+EPSILON = 1e-3
+
+
+def batched_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, epsilon: float = EPSILON, alpha: float = ALPHA, most_rounds: int = 200, every: int = 4) -> DataFrame:
+    """(query_id, id, score) of many walks at once, by forward push from seeds (query_id, id, mass).
+
+    Each question holds mass that is not yet sent. In a round every node that holds more than half of ``epsilon`` by the
+    number of nodes keeps the share ``alpha`` and sends the rest to its neighbours, by the same weights as
+    ``personalised_pagerank`` and, without neighbours, back to the question's seeds. Rounds end when no question holds more
+    than ``epsilon``, so its scores sum to at least 1 - epsilon and are each at most epsilon below the walk's. Rows are
+    those that a question has reached, keyed by question and node, so one question or one hub is spread as the joins are;
+    they are written out after each round.
+    """
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    out = edges.select("source", "target", weight.alias("weight")).union(edges.select("target", "source", weight)).toDF("source", "target", "weight")
+    total = out.groupBy("source").agg(F.greatest(F.sum("weight"), F.lit(1e-9)).alias("total"))
+    links = cut(out.groupBy("source", "target").agg(F.sum("weight").alias("weight")).join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
+    ends = cut(links.select(F.col("source").alias("id")).distinct())
+    known = seeds.join(nodes.select("id").distinct(), "id", "left_semi").where("mass > 0").groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
+    start = known.withColumn("seed", F.col("mass") / F.sum("mass").over(Window.partitionBy("query_id"))).select("query_id", "id", "seed")
+    start = cut(start)
+    least = epsilon / 2 / max(1, nodes.select("id").distinct().count())
+    state = start.select("query_id", "id", F.lit(0.0).alias("score"), F.col("seed").alias("held"))
+    for i in range(1, most_rounds + 1):
+        full = F.col("held") > least
+        sending = state.where(full).select("query_id", "id", ((1 - alpha) * F.col("held")).alias("sent"))
+        sent = sending.join(links, F.col("id") == F.col("source")).select("query_id", F.col("target").alias("id"), F.lit(0.0).alias("score"), (F.col("sent") * F.col("share")).alias("held"))
+        back = sending.join(ends, "id", "left_anti").groupBy("query_id").agg(F.sum("sent").alias("back")).join(start, "query_id")
+        returned = back.select("query_id", "id", F.lit(0.0).alias("score"), (F.col("back") * F.col("seed")).alias("held"))
+        kept = state.select("query_id", "id", (F.col("score") + F.when(full, alpha * F.col("held")).otherwise(0.0)).alias("score"), F.when(full, 0.0).otherwise(F.col("held")).alias("held"))
+        state = cut(kept.unionByName(sent).unionByName(returned).groupBy("query_id", "id").agg(F.sum("score").alias("score"), F.sum("held").alias("held")))
+        if i % every == 0 and state.groupBy("query_id").agg(F.sum("held").alias("held")).where(F.col("held") > epsilon).isEmpty():
+            break
+    return state.where("score > 0").select("query_id", "id", "score")
+
+
 def trace(edges: DataFrame, start: DataFrame, depth: int = DEPTH, decay: float = HOP_DECAY) -> DataFrame:
     """(id, hops, score) of nodes within ``depth`` hops along edges from ``start`` (id); shortest path first, then best score."""
     found = start.select("id", F.lit(0).alias("hops"), F.lit(1.0).alias("score"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
 from lodegraph.functions.fuzzy import sequence_ratio
+from lodegraph.operators.graph import batched_pagerank
+from lodegraph.session import cut
 
 #: Confidence words as numbers.
 CONFIDENCE = {"HIGH": 0.9, "MEDIUM": 0.7, "LOW": 0.5}
@@ -147,6 +149,27 @@ def seeds(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.select("id", mass.alias("mass")).where("mass > 0")
 
 
+def seeds_of(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, id, mass) of many questions (query_id, query): the share of a label's distinct words that a question has."""
+    labels = nodes.select("id", F.array_distinct(T.tokens(F.col("label"))).alias("words")).where(F.size("words") > 0)
+    held = labels.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("word"))
+    return asked.join(held, "word").groupBy("query_id", "id").agg((F.count("*") / F.max("n")).alias("mass"))
+
+
+def associative_many(questions: DataFrame, nodes: DataFrame, edges: DataFrame, hidden: tuple[str, ...] = ("domain", "agent"), exclude_seeds: bool = False, person: str | None = None, k: int = 15, **push) -> DataFrame:
+    """(query_id, id, score, is_seed, rank): the k nodes of each question (query_id, query) that a walk from its seeds reaches most."""
+    seeds = cut(seeds_of(nodes, questions))
+    ranks = batched_pagerank(nodes, edges, seeds, **push).join(seeds.select("query_id", "id", F.lit(True).alias("seed")), ["query_id", "id"], "left")
+    met = ranks.join(nodes, "id").where(~F.col("type").isin(*hidden))
+    if exclude_seeds:
+        met = met.where("seed IS NULL")
+    if person is not None:
+        met = met.where(F.lower("person") == person.lower())
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return met.select("query_id", "id", "score", F.col("seed").isNotNull().alias("is_seed"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
 def associative(ranks: DataFrame, nodes: DataFrame, hidden: tuple[str, ...] = ("domain", "agent"), person: str | None = None, k: int = 15) -> DataFrame:
     """The k nodes with the highest rank that are not of hidden types, of one person if asked."""
     met = ranks.join(nodes, "id").where(~F.col("type").isin(*hidden))

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "bm25_topk"
+#: Tables whose rows take long to work on.
+TEXTS = ("documents", "pages", "embeddings")
 
 Tables = Callable[[str], DataFrame]
 
@@ -20,7 +24,11 @@ def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
     """
 
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def tables(spark: SparkSession, sf_dir: str) -> Tables:
+            found = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            return lambda table: spread(found(table)) if table in TEXTS else found(table)
+
+        QUERIES[name] = lambda spark, sf_dir: fn(tables(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::INTEGER AS {c}' for c in ints)}) FROM ({sql})" if ints else sql
         return fn

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import graph, plan
+from lodegraph.operators import graph, knowledge, plan
 from lodegraph.plans.catalogue import query
 
 NODES = """nodes AS (SELECT 'region:' || r_regionkey AS id, 'region' AS type, 'Place' AS domain FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation', 'place' FROM nation
@@ -98,6 +98,15 @@ def _ppr_converging(read):
     return graph.personalised_pagerank(nodes, edges, seeds).select("id", F.round("score", 8).alias("score")).where("score > 0")
 
 
+@query("associative_many")
+def _associative_many(read):
+    """The nations as questions, all in one job; no SQL, as rounds go on until little mass is unsent. Tests hold it to each walk."""
+    nodes, edges = star(read)
+    questions = read("nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("query"))
+    found = knowledge.associative_many(questions, nodes.where("label IS NOT NULL"), edges, ("region",), epsilon=0.05)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "is_seed", "rank")
+
+
 @query("hierarchy_trace", f"""WITH RECURSIVE {EDGES}, t AS (SELECT 'supplier:5' AS id, 0 AS hops UNION SELECT target, hops + 1 FROM t JOIN edges ON source = id WHERE hops < 2)
 SELECT id, hops, round(CASE WHEN hops = 0 THEN 1.0 ELSE 0.8 ** hops END, 6)::DOUBLE AS score FROM t""")
 def _trace(read):

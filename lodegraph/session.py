@@ -49,3 +49,12 @@ def importable(spark: SparkSession) -> None:
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(p for p in (root, known.get("PYTHONPATH", "")) if p)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame over at least as many partitions as there are cores: an input of one small file would keep all but one idle.
+
+    Larger inputs have more partitions by themselves and stay as they are; filters and column selections still reach the scan.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
