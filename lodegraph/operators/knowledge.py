@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.functions.fuzzy import sequence_ratio
+from lodegraph.operators.citing import fuzzy_citations  # noqa: F401  one of the joins of this module, kept apart for its length
 from lodegraph.operators.graph import batched_pagerank
 from lodegraph.session import cut
 
 #: Confidence words as numbers.
 CONFIDENCE = {"HIGH": 0.9, "MEDIUM": 0.7, "LOW": 0.5}
-MATCH_FLOOR, KEYWORD_FLOOR, CITATIONS = 0.45, 0.35, 3
+KEYWORD_FLOOR = 0.35
 
 
 def confidence(value: Column) -> Column:
@@ -61,21 +61,6 @@ def ground_truth(rows: DataFrame, least: float = 0.7, most: int = 200) -> DataFr
 # -- joins ----------------------------------------------------------------------------------------------------------
 
 
-def fuzzy_citations(paragraphs: DataFrame, entries: DataFrame, owner: str, cited: DataFrame | None = None, floor: float = MATCH_FLOOR, k: int = CITATIONS) -> DataFrame:
-    """The k best entries of each paragraph: the higher of sequence ratio and 0.9 times word overlap, at least ``floor``.
-
-    Paragraphs (owner, paragraph, text) and entries (owner, entry, text) meet on a shared longer word.
-    """
-    words = lambda f, i: f.select(owner, i, F.explode(F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda t: F.length(t) >= 4)).alias("t"))
-    met = words(paragraphs, "paragraph").join(words(entries, "entry"), [owner, "t"]).select(owner, "paragraph", "entry").distinct()
-    if cited is not None:
-        met = met.join(cited.select("paragraph", "entry"), ["paragraph", "entry"], "left_anti")
-    full = met.join(paragraphs.select(owner, "paragraph", F.col("text").alias("p")), [owner, "paragraph"]).join(entries.select(owner, "entry", F.col("text").alias("e")), [owner, "entry"])
-    score = F.greatest(sequence_ratio(F.lower("p"), F.lower("e")), 0.9 * T.jaccard(F.array_distinct(T.tokens(F.col("p"))), F.array_distinct(T.tokens(F.col("e")))))
-    order = Window.partitionBy(owner, "paragraph").orderBy(F.col("score").desc(), "entry")
-    return full.select(owner, "paragraph", "entry", score.alias("score")).where(F.col("score") >= floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def keyword_citations(sections: DataFrame, entries: DataFrame, floor: float = KEYWORD_FLOOR) -> DataFrame:
     """Sections (section, text) against entries (entry, keywords): twice the share of keywords, 0.9 at least where the id is named."""
     held = sections.select("section", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\w-]+"), F.lit(0)))).alias("word"))

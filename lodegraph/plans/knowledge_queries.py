@@ -124,3 +124,10 @@ def _classifier(read):
 
     docs = read("documents").select("doc_id", "text", F.col("lang").alias("label"))
     return catalog.predict_buckets(catalog.fit_buckets(docs), docs.select("doc_id", "text")).select("doc_id", "bucket", "confidence")
+
+
+@query("paragraph_citations")
+def _paragraph_citations(read):
+    paragraphs = read("conversations").where("text IS NOT NULL").select(F.lit("all").alias("owner"), F.concat_ws(":", "conv_id", "turn").alias("paragraph"), "text")
+    entries = read("benchmark").select(F.lit("all").alias("owner"), F.col("item_id").alias("entry"), "text")
+    return knowledge.fuzzy_citations(paragraphs, entries, "owner").select("paragraph", "entry", F.round("score", 6).alias("score"), "rank")
