@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodegraph.plans.catalogue import ORACLE_SQL, QUERIES
 from lodegraph.session import shared_dir
 from lodegraph.streaming import events as streams
+from lodegraph.streaming import registry
 
 
 def stream_query(name: str, sql: str | None = None):
@@ -22,10 +23,10 @@ def stream_query(name: str, sql: str | None = None):
     return register
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 100) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, as the table may be one file and streams read folders or patterns.
-    return streams.table_stream(spark, f"{sf_dir}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.table_stream(spark, f"{sf_dir}/event[s].parquet", schema, per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finished(frame: DataFrame, mode: str) -> DataFrame:
@@ -70,3 +71,17 @@ def _jobs(spark, sf_dir):
     event = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "view", "beat").when(F.col("event_type") == "purchase", "finish").otherwise("tick")
     rows = events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), event.alias("event"), F.unix_millis("ts").alias("at"))
     return finished(streams.job_states(rows, 3_600_000), "update")
+
+
+#: All files in one batch: files are not in the order of their times, so rows of a second batch could be behind the watermark.
+ALL_FILES = 1_000_000
+
+
+@stream_query("stream_registry_by_time", """WITH o AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS at_ms, md5(event_type || ' ' || floor(value)::BIGINT) AS body_hash, floor(value)::INT AS words FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, words, body_hash) AS i FROM o WHERE at_ms <= (SELECT max(at_ms) - 3600000 FROM o)),
+p AS (SELECT *, max(words) OVER w AS previous_words, arg_max(body_hash, words::BIGINT * 10000000000 + i) OVER w AS h FROM n WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT key, at_ms, body_hash, words, previous_words, CASE WHEN h IS NULL THEN 'process' WHEN h = body_hash OR words < previous_words THEN 'skip' WHEN words > previous_words THEN 'incremental' ELSE 'process' END AS verdict FROM p""")
+def _registry_by_time(spark, sf_dir):
+    spark.conf.set(*registry.STATE_STORE)
+    rows = events_stream(spark, sf_dir, ALL_FILES).select(F.col("user_id").cast("string").alias("key"), "ts", F.md5(F.concat_ws(" ", "event_type", F.floor("value").cast("string"))).alias("body_hash"), F.floor("value").cast("int").alias("words"))
+    return finished(registry.registry_by_time(rows), "append").withColumnRenamed("at", "at_ms")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from lodegraph.operators.dedup import hour_key
+from lodegraph.streaming.registry import verdict
 
 IGNORED = r"(^|/)([._~].*|.*\.(tmp|part|crdownload|swp))$"
 
@@ -54,16 +55,19 @@ REGISTRY_STATE = "body_hash string, words int"
 
 
 def registry_verdicts(incoming: DataFrame) -> DataFrame:
-    """Stream of (key, body_hash, words) with the verdict against the key's state: process, skip or incremental."""
+    """Stream of (key, body_hash, words) with the verdict against the key's state: process, skip or incremental.
+
+    Rows have no time, so they go by words within a batch; with times use ``registry.registry_by_time``.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         out = []
         for batch in batches:
             for row in batch.sort_values(["words", "body_hash"]).itertuples(index=False):
-                verdict = "process" if last is None else "skip" if last[0] == row.body_hash else "incremental" if row.words > last[1] else "process"
-                last = (row.body_hash, int(row.words))
-                out.append((key[0], row.body_hash, int(row.words), verdict))
+                found = verdict(last, row.body_hash, int(row.words))
+                last = last if found == "skip" else (row.body_hash, int(row.words))
+                out.append((key[0], row.body_hash, int(row.words), found))
         state.update(last)
         yield pd.DataFrame(out, columns=["key", "body_hash", "words", "verdict"])
 
