@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegraph.operators import analytics, catalog, extraction, knowledge, matching, memory, rules, transcripts
 from lodegraph.plans.catalogue import query
 from lodegraph.session import shared_dir
-from lodegraph.sources import readers, remote, writers
+from lodegraph.sources import office, readers, remote, writers
 from lodegraph.streaming import machines
 
 
@@ -263,3 +263,11 @@ def _bucket_store(read):
     store.delete(c.where("bucket = 'FURNITURE' AND id % 5 = 0"), ["id"])
     store.clear("MACHINERY")
     return store.read().select("id", "bucket", "v")
+
+
+@query("docx_round_trip", r"""WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM documents)
+SELECT doc_id, length(t) - length(replace(t, chr(10), '')) + 1 AS paragraphs, sha256(replace(t, chr(10), chr(10) || chr(10))) AS text_sha256 FROM c""")
+def _docx_round_trip(read):
+    files = office.as_docx(read("documents").select(F.concat(F.lit("inbox/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text"))
+    lines = F.regexp_count("text", F.lit("\n\n"))
+    return office.extracted(files).select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("doc_id"), (lines + 1).cast("long").alias("paragraphs"), F.sha2("text", 256).alias("text_sha256"))
