@@ -85,3 +85,25 @@ def _registry_by_time(spark, sf_dir):
     spark.conf.set(*registry.STATE_STORE)
     rows = events_stream(spark, sf_dir, ALL_FILES).select(F.col("user_id").cast("string").alias("key"), "ts", F.md5(F.concat_ws(" ", "event_type", F.floor("value").cast("string"))).alias("body_hash"), F.floor("value").cast("int").alias("words"))
     return finished(registry.registry_by_time(rows), "append").withColumnRenamed("at", "at_ms")
+
+
+@stream_query("stream_bursts", """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM o)
+SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, burst
+HAVING epoch_us(max(ts)) + 7200000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 10000000""")
+def _bursts(spark, sf_dir):
+    out = finished(streams.debounced(events_stream(spark, sf_dir, ALL_FILES), "user_id", "ts", "2 hours"), "append")
+    return out.select("user_id", "n", F.unix_micros("session_window.start").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@stream_query("stream_late_rows", """WITH o AS (SELECT event_id, ts, event_id % 3 AS part FROM events),
+m AS (SELECT part, max(ts) AS newest FROM o GROUP BY part)
+SELECT event_id, coalesce(ts < (SELECT max(newest) FROM m WHERE m.part < o.part) - INTERVAL 3 DAY, false) AS late FROM o""")
+def _late(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{shared_dir(spark)}/late_{uuid.uuid4().hex}"
+    for part in range(3):  # what comes in three runs of the stream
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        streams.split_late(streams.table_stream(spark, f"{folder}/in", events.schema, ALL_FILES), "ts", "3 DAYS", folder).awaitTermination()
+    read = lambda kind: spark.read.schema(events.schema).parquet(f"{folder}/{kind}").select("event_id", F.lit(kind == "late").alias("late"))
+    return read("on_time").union(read("late"))

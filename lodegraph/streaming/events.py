@@ -116,3 +116,27 @@ def job_states(events: DataFrame, lease_ms: int = 30_000) -> DataFrame:
 def reindex(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs a sink function for each micro-batch of what is there, then stops."""
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_late(stream: DataFrame, ts: str, late: str, folder: str) -> StreamingQuery:
+    """Runs over what is there and stops: rows in time to ``folder``/on_time, rows behind the watermark to ``folder``/late.
+
+    Spark's own operators drop late rows without a trace; here they are kept. The watermark of a batch is ``late`` behind the newest
+    time of the batches before it. Every batch writes tables of its own number, its newest time among them, and overwrites them
+    when it is run again, so failures neither lose nor repeat rows. Rows without a time are late. Extra columns are kept; the name ``batch`` is taken.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        spark.createDataFrame([(batch,)], "batch long").write.mode("overwrite").parquet(f"{folder}/known/first")  # so that there is always a table
+        marks = spark.read.schema("batch long, newest timestamp").parquet(f"{folder}/known/*").where(F.col("batch") < batch)
+        mark = marks.agg(F.max("newest").alias("newest")).first().newest
+        behind = F.lit(False) if mark is None else F.col(ts) < F.lit(mark) - F.expr(f"INTERVAL {late}")
+        held = rows.persist()
+        split = held.withColumn("_late", F.coalesce(behind, F.lit(True)) if mark is not None else F.col(ts).isNull())
+        split.where("NOT _late").drop("_late").write.mode("overwrite").parquet(f"{folder}/on_time/batch={batch}")
+        split.where("_late").drop("_late").write.mode("overwrite").parquet(f"{folder}/late/batch={batch}")
+        held.agg(F.lit(batch).cast("long").alias("batch"), F.max(ts).cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{folder}/known/batch-{batch}")
+        held.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
