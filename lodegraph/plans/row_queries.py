@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import dedup, entity, evals, extraction, graph, knowledge, retrieval, rules, upkeep, windows
+from lodegraph.operators import dedup, entity, evals, extraction, graph, knowledge, retrieval, reviews, rules, upkeep, windows
 from lodegraph.plans.catalogue import query
 
 
@@ -299,3 +299,12 @@ def _step_turns(read):
     found = windows.step_groups(read("events"), "user_id", "event_id", "event_type")
     new = [c for c in found.columns if c not in read("events").columns][0]
     return found.groupBy("user_id").agg(F.count_distinct(new).alias("turns"))
+
+
+@query("review_verdicts", r"""WITH s AS (SELECT doc_id, n_chars, lang, text, (n_chars % 21)::BIGINT AS a, (n_chars % 13)::BIGINT AS b FROM documents)
+SELECT doc_id, 'document ' || doc_id AS evaluated, 2 * (a + b) AS total, CASE WHEN 2 * (a + b) >= 70 THEN 'APROVAR' WHEN 2 * (a + b) >= 50 THEN 'REVISAR' ELSE 'REJEITAR' END AS verdict, coalesce(lang, 'none') AS gap FROM s""")
+def _review_verdicts(read):
+    a, b = (F.col("n_chars") % 21).cast("string"), (F.col("n_chars") % 13).cast("string")
+    parts = ("Input Evaluated: document ", F.col("doc_id").cast("string"), "\n[PREMISE AUDIT]\n", a, "/20\n[EVIDENCE CHAIN] see [AB-001]\nScore: ", b, "\n[LOGIC GAPS]\n", a, "/20 fine\n[VERDICT + SCORE]\n", b, "/20\nGaps found:\n 1. ", F.coalesce("lang", F.lit("none")), "\n\nend\n2. not one")
+    docs = read("documents").select("doc_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+    return reviews.verdicts(docs, "doc_id").select("doc_id", "evaluated", "total", "verdict", F.concat_ws("|", "gaps").alias("gap"))
