@@ -70,9 +70,12 @@ def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(list(paths))
 
 
-def traces(spark: SparkSession, folder: str, schema: str, first: str, last: str) -> DataFrame:
-    """Traces of a range of days (yyyy-mm-dd), as ``append_traces`` writes them: other days' folders are not listed to tasks."""
-    return json_lines(spark, f"{schema}, day date", folder).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def traces(spark: SparkSession, folder: str, schema: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Traces as ``append_traces`` writes them, from the first to the last day (yyyy-mm-dd): other days' folders are not listed to tasks. Without either bound all of them, those without a time too."""
+    found = json_lines(spark, f"{schema}, day date", folder)
+    if first is not None:
+        found = found.where(F.col("day") >= F.lit(first).cast("date"))
+    return found if last is None else found.where(F.col("day") <= F.lit(last).cast("date"))
 
 
 def yaml_entries(texts: DataFrame) -> DataFrame:

@@ -105,3 +105,12 @@ def test_best_match_is_the_best_of_all(spark):
                 want[x] = (best, ratio)
         assert {r["name"]: (r["candidate"], r["ratio"]) for r in entity.best_match(n, c, floor).collect()} == want
         assert want["Schwarzkopff"][0] == "Shwarzkopf" and want["Yekaterina"][0] == "Ekaterinah"
+
+
+def test_traces_of_the_first_day_and_of_none_are_counted(spark, tmp_path):
+    events = spark.sql("SELECT id AS event_id, CASE WHEN id < 6 THEN timestamp'2026-01-30 23:00:00' + make_dt_interval(0, 12 * int(id)) END AS ts FROM range(8)")
+    got = catalogue.QUERIES["traces_by_day"](spark, tables(spark, tmp_path, events=events)).collect()
+    assert {tuple(r) for r in got} == {("2026-01-30", 1, 0), ("2026-01-31", 2, 3), ("2026-02-01", 2, 7), ("2026-02-02", 1, 5), (None, 2, 13)}
+    alone = events.where("event_id = 0").union(events.where("event_id = 1").selectExpr("event_id", "timestamp'2026-01-30 01:00:00'"))
+    got = catalogue.QUERIES["traces_by_day"](spark, tables(spark, tmp_path / "one", events=alone)).collect()
+    assert [tuple(r) for r in got] == [("2026-01-30", 2, 1)]
