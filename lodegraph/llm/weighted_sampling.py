@@ -57,27 +57,39 @@ def weighted_terms(text: Column) -> Column:
     return let(shingle_hashes(text), lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), once(s)).otherwise(let(F.sort_array(s), runs)))
 
 
-def _rank(term: Column, weight: Column, sample: int) -> Column:
-    """The rank a as 1 - exp(-a), a uniform number, times 2^63."""
-    first = F.shiftrightunsigned(F.xxhash64(term, F.lit(sample)), 1)
-    bits = F.xxhash64(term, F.lit(-1 - sample))
-    uniform = lambda x: (x + F.lit(0.5)) / F.lit(float(1 << 32))
-    e, w = -F.ln(uniform(F.shiftrightunsigned(bits, 32))), -F.ln(uniform(bits.bitwiseAND(F.lit((1 << 32) - 1))))
-    a1 = -F.log1p(-(first + F.lit(0.5)) / F.lit(_RANKS))
-    r = F.log1p(e / a1) + w
-    step = F.floor((F.ln(weight.cast("double")) + w) / r)
-    often = F.when(step == 0, first).otherwise((-F.expm1(-a1 * F.exp(-r * step)) * F.lit(_RANKS)).cast("long"))
-    return F.when(weight == 1, first).otherwise(often)
+def _first(term: Column, sample: Column) -> Column:
+    """The rank of a term that occurs once: a1 as 1 - exp(-a1), a uniform number, times 2^63."""
+    return F.shiftrightunsigned(F.xxhash64(term, sample), 1)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows of terms (_h, _s) with _rank, the rank a in sample _k as 1 - exp(-a) times 2^63; null where _k is.
+
+    Column by column, so that what is used twice is planned and computed once.
+    """
+    asked, uniform = F.col("_k").isNotNull(), lambda x: (x + F.lit(0.5)) / F.lit(float(1 << 32))
+    rows = rows.withColumns({"_first": F.when(asked, _first(F.col("_h"), F.col("_k"))), "_bits": F.when(asked, F.xxhash64("_h", -1 - F.col("_k")))})
+    e, w = -F.ln(uniform(F.shiftrightunsigned("_bits", 32))), -F.ln(uniform(F.col("_bits").bitwiseAND(F.lit((1 << 32) - 1))))
+    rows = rows.withColumns({"_a1": -F.log1p(-(F.col("_first") + F.lit(0.5)) / F.lit(_RANKS)), "_w": w, "_x": e})
+    rows = rows.withColumn("_r", F.log1p(F.col("_x") / F.col("_a1")) + F.col("_w"))
+    rows = rows.withColumn("_step", F.floor((F.ln(F.col("_s").cast("double")) + F.col("_w")) / F.col("_r")))
+    often = (-F.expm1(-F.col("_a1") * F.exp(-F.col("_r") * F.col("_step"))) * F.lit(_RANKS)).cast("long")
+    return rows.withColumn("_rank", F.when(F.col("_step") == 0, F.col("_first")).otherwise(often))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys``, samples (an array of SAMPLES ints) and n_rows of each distinct key; rows of equal keys have equal texts.
 
-    Terms are combined where they are made; where ``texts`` is dealt out by some of the keys, nothing is shuffled.
+    Terms are combined where they are made; where ``texts`` is dealt out by some of the keys, nothing is shuffled. A term
+    that occurs more than once is a row for each sample (_k): its rank is a long expression, which as a column for each
+    sample was most of a plan that the driver keeps and goes through again and again.
     """
-    rows = texts.select(*keys, F.posexplode_outer(weighted_terms(F.col(text_col))).alias("_at", "_e")).select(*keys, "_at", "_e.h", "_e.s")
-    least = [F.min(_rank(F.col("h"), F.col("s"), k)).alias(f"_{k}") for k in range(SAMPLES)]
-    met = rows.groupBy(*keys).agg(*least, F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("n_rows"))
+    rows = texts.select(*keys, F.posexplode_outer(weighted_terms(F.col(text_col))).alias("_at", "_e")).select(*keys, "_at", F.col("_e.h").alias("_h"), F.col("_e.s").alias("_s"))
+    rows = _ranked(rows.select("*", F.explode_outer(F.when(F.col("_s") > 1, F.array(*map(F.lit, range(SAMPLES))))).alias("_k")))
+    once = F.col("_k").isNull() & F.col("_h").isNotNull()
+    rank = lambda k: F.when(once, _first(F.col("_h"), F.lit(k))).when(F.col("_k") == k, F.col("_rank"))
+    least = [F.min(rank(k)).alias(f"_{k}") for k in range(SAMPLES)]
+    met = rows.groupBy(*keys).agg(*least, F.count_if((F.coalesce("_at", F.lit(0)) == 0) & (F.coalesce("_k", F.lit(0)) == 0)).alias("n_rows"))
     sample = lambda c: F.when(c.isNull(), 0).otherwise(F.hash(c))
     return met.select(*keys, F.array(*(sample(F.col(f"_{k}")) for k in range(SAMPLES))).alias("samples"), "n_rows")
 

@@ -230,6 +230,27 @@ def test_fingerprints_of_odd_rows(odd, empty, spark):
     assert (one["near_next"], one["edited_sha256"]) == (1.0, hashlib.sha256(b"abcdab").hexdigest())
 
 
+def test_fingerprints_have_a_small_plan(docs):
+    plan = weighted_sampling.op5_weighted_sampling(docs)._jdf.queryExecution()
+    assert len(plan.optimizedPlan().toString()) < 60_000 and len(plan.executedPlan().toString()) < 120_000
+
+
+def test_repeated_terms_keep_or_lower_their_ranks(spark):
+    from pyspark.sql import functions as F
+
+    f, words = weighted_sampling, [f"w{i}" for i in range(40)]
+    texts = [(n, " ".join(words * n)) for n in (1, 2, 30)] + [(4, "one two"), (5, "")]
+    got = {r["i"]: r for r in f.fingerprints(spark.createDataFrame(texts + texts[1:2], "i long, t string"), ["i"], "t").collect()}
+    assert [got[i]["n_rows"] for i in (1, 2, 30, 4, 5)] == [1, 2, 1, 1, 1]
+    assert all(got[i]["samples"] != [0] * f.SAMPLES for i in (1, 2, 30, 4)) and got[5]["samples"] == [0] * f.SAMPLES
+    ranks = {}
+    for s in (1, 2, 3, 50):
+        found = f._ranked(spark.range(200).select(F.xxhash64("id").alias("_h"), F.lit(s).alias("_s"), (F.col("id") % f.SAMPLES).cast("int").alias("_k")))
+        ranks[s] = [(r["_rank"], r["_first"]) for r in found.orderBy("_h").collect()]
+    assert all(a == b for a, b in ranks[1]) and all(x[0] >= y[0] for s, t in ((1, 2), (2, 3), (3, 50)) for x, y in zip(ranks[s], ranks[t]))
+    assert 0 < sum(x == y for x, y in zip(ranks[1], ranks[2])) < 200
+
+
 def test_fingerprints_are_native(docs):
     plan = weighted_sampling.op5_weighted_sampling(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
