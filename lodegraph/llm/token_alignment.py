@@ -4,7 +4,7 @@ Both tokenizers start a token at a single space between two words, so a text fal
 their own, and most of them occur again and again. Texts are taken in blocks of about ``BLOCK_CHARS`` characters; a block's
 distinct segments are tokenised once and aligned by relational steps:
 
-1. tokens are exploded with their positions, windowed sums of their byte lengths give their ends;
+1. tokens are exploded, each with its end in bytes, its id and its side in one integer;
 2. tokens of both sides meet by equality of segment and end (the tokens of both sides are one table, already dealt by
    block, so this equi-join is a grouping by segment, end and side);
 3. where tokens of both sides end, the text is cut; running counts of cuts are group ids;
@@ -102,21 +102,30 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
 
 
+def id_bits(path_a: str, path_b: str) -> int:
+    """Bits of an id of either vocabulary."""
+    return max(len(byte_lengths(path_a)), len(pieces(path_b).spelled)).bit_length()
+
+
 @dataclass(frozen=True)
 class Encoded:
-    """Segments' tokens, those of the first side and then those of the second: of ``rows[i]`` they are ``first[i]`` and ``sizes[i]`` in all."""
+    """Runs of tokens of the segments that either side's tokens spell, ``sizes[i]`` of segment ``rows[i]``.
+
+    A token is the low bits of its end, then its id, then whether it is of the first side: 31 bits in all. ``base[i]`` has
+    the high bits of the run's ends, so that a long segment is several runs.
+    """
 
     rows: np.ndarray
-    first: np.ndarray
+    base: np.ndarray
     sizes: np.ndarray
     tokens: np.ndarray
-    #: Whether the tokens of either side spell the segment.
-    sound: np.ndarray
 
 
 def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
     """The tokens of each segment after a space, many segments at once."""
     coder, lengths, model = encoding(path_a), byte_lengths(path_a), pieces(path_b)
+    lengths_b, width = np.fromiter(map(len, model.spelled), np.int64, len(model.spelled)), id_bits(path_a, path_b)
+    low = 30 - width
     plain = [i for i, s in enumerate(segments) if not s[0].isspace() and not s[-1].isspace()]
     others = sorted(set(range(len(segments))).difference(plain))
     for run in [plain[k : k + _AT_ONCE] for k in range(0, len(plain), _AT_ONCE)] + [[i] for i in others]:
@@ -134,14 +143,22 @@ def encoded(segments: list[str], path_a: str, path_b: str) -> Iterator[Encoded]:
         b = np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
         sound = np.ones(len(run), bool)
         if b"".join([model.spelled[i] for i in b.tolist()]) != data:
-            low = [0, *stops[:-1].tolist()]
-            sound[:] = [b"".join([model.spelled[i] for i in x]) == data[k:m] for x, k, m in zip(lists, low, stops.tolist())]
+            before = [0, *stops[:-1].tolist()]
+            sound[:] = [b"".join([model.spelled[i] for i in x]) == data[k:m] for x, k, m in zip(lists, before, stops.tolist())]
         n_a = np.diff(to_a, prepend=0)
         starts = np.concatenate([[0], np.cumsum(n_a + n_b)[:-1]])
-        tokens = np.empty(len(a) + len(b), np.int32)
-        tokens[_ranges(starts, n_a)] = a
-        tokens[_ranges(starts + n_a, n_b)] = b
-        yield Encoded(np.array(run, np.int32), n_a.astype(np.int32), n_a + n_b, tokens, sound)
+        ends_b = np.concatenate([[0], np.cumsum(lengths_b[b])])
+        at_a, at_b = _ranges(starts, n_a), _ranges(starts + n_a, n_b)
+        end, tokens = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
+        end[at_a], end[at_b] = ends - np.repeat(stops - np.diff(stops, prepend=0), n_a), ends_b[1:] - np.repeat(ends_b[np.cumsum(n_b) - n_b], n_b)
+        tokens[at_a], tokens[at_b] = a << 1 | 1, b << 1
+        tokens |= (end & ((1 << low) - 1)) << (width + 1)
+        segment, high = np.repeat(np.arange(len(run)), n_a + n_b), end >> low
+        if not sound.all():
+            kept = sound[segment]
+            tokens, segment, high = tokens[kept], segment[kept], high[kept]
+        new = np.flatnonzero(np.diff(segment, prepend=-1) | np.diff(high, prepend=-1))
+        yield Encoded(np.array(run, np.int32)[segment[new]], high[new].astype(np.int32), np.diff(new, append=len(tokens)), tokens.astype(np.int32))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], split, block_chars: int) -> Iterator[tuple[int, list, list[np.ndarray], dict[str, int]]]:
@@ -187,7 +204,7 @@ def references(docs: DataFrame, text_col: str, path_b: str, block_chars: int) ->
 
 
 def segments(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_chars: int) -> DataFrame:
-    """block, row, n tokens of the first side and then those of the second, of each segment that they spell."""
+    """block, row, base, tokens: the runs of ``Encoded``."""
     separable = pieces(path_b).separable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,42 +212,30 @@ def segments(docs: DataFrame, text_col: str, path_a: str, path_b: str, block_cha
             for e in encoded(list(known), path_a, path_b):
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e.sizes)]), pa.int32()), pa.array(e.tokens, pa.int32()))
                 n = len(e.rows)
-                whole = pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.first, pa.int32()), tokens], names=["block", "row", "n", "tokens"])
-                yield whole if e.sound.all() else whole.filter(pa.array(e.sound))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(e.rows, pa.int32()), pa.array(e.base, pa.int32()), tokens], names=["block", "row", "base", "tokens"])
         for held in (pieces, byte_lengths, encoding):  # workers live on, and the next steps need no vocabulary
             held.cache_clear()
 
-    return map_batches(_picked(docs, text_col), run, "block long, row int, n int, tokens array<int>")
-
+    return map_batches(_picked(docs, text_col), run, "block long, row int, base int, tokens array<int>")
 
-def token_lengths(spark, path_a: str, path_b: str) -> DataFrame:
-    """first (1 or 0), id, length: the bytes of each token of both vocabularies, and so as many rows as they have."""
-    both = [(1, i, n) for i, n in enumerate(byte_lengths(path_a).tolist())] + [(0, i, len(x)) for i, x in enumerate(pieces(path_b).spelled)]
-    return spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*both)], names=["first", "id", "length"]))
 
-
-def segment_links(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """block, row, the links of each segment by their ends, as codes, and its number of groups.
+def segment_links(found: DataFrame, width: int) -> DataFrame:
+    """block, at, code: the links of each segment by the ends where they are found; ``at``: segment and end.
 
     A code holds the ids of both sides and in its last bits whether the first or the second side's token ends there; both
-    do at the end of a group. Blocks are dealt to more tasks than usual, as four steps hold a task's tokens at once.
+    do at the end of a group. Blocks are dealt to more tasks than usual, as the steps hold a task's tokens at once.
     """
     tasks = 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(tasks, "block").select("block", "row", "n", F.posexplode("tokens").alias("pos", "id"))
-    first = (F.col("pos") < F.col("n")).cast("int")
-    tokens = dealt.select("block", (2 * F.col("row") + first).alias("side"), "pos", "id", first.alias("first")).join(F.broadcast(lengths), ["first", "id"])
-    so_far = Window.partitionBy("side", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = tokens.select("block", "side", "id", F.sum("length").over(so_far).alias("end"))
-    of = lambda side: F.max(F.when(F.col("side") % 2 == side, F.col("id")))
-    met = ended.groupBy(F.shiftright("side", 1).alias("row"), "block", "end").agg(of(1).alias("a"), of(0).alias("b"))
+    dealt = found.repartition(tasks, "block").select("block", "row", "base", F.explode("tokens").alias("token"))
+    end = F.shiftleft("base", 30 - width).bitwiseOR(F.shiftright("token", width + 1))
+    tokens = dealt.select("block", "row", end.alias("end"), F.shiftright("token", 1).bitwiseAND(F.lit((1 << width) - 1)).alias("id"), (F.col("token") % 2).alias("first"))
+    of = lambda first: F.max(F.when(F.col("first") == first, F.col("id")))
+    met = tokens.groupBy("row", "block", "end").agg(of(1).alias("a"), of(0).alias("b"))
     onward = Window.partitionBy("row", "block").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     nearest = lambda side: F.last(side, ignorenulls=True).over(onward).cast("long")
     ends = F.col("a").isNotNull().cast("long") + 2 * F.col("b").isNotNull().cast("long")
     code = F.shiftleft(nearest("a"), 26).bitwiseOR(F.shiftleft(nearest("b"), 2)).bitwiseOR(ends)
-    linked = met.select("row", "block", "end", F.sum(cut).over(onward).alias("group"), code.alias("code"))
-    links = F.sort_array(F.collect_list(F.struct(F.col("end").alias("end"), F.col("code").alias("code"))))
-    return linked.groupBy("block", "row").agg(F.transform(links, lambda x: x["code"]).alias("codes"), F.max("group").cast("int").alias("groups"))
+    return met.select("block", F.shiftleft(F.col("row").cast("long"), 32).bitwiseOR(F.col("end").cast("long")).alias("at"), code.alias("code"))
 
 
 #: A block: its documents in order (refs: all references), the number of links of each segment, their pairs by place in ``pairs``.
@@ -256,36 +261,48 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(len(shift)) + shift
 
 
+def _ordered(links: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and code of each link, by segment and end."""
+    at = links.column("at").to_numpy()
+    order = np.argsort(at)
+    return (at[order] >> 32).astype(np.int32), links.column("code").to_numpy()[order]
+
+
+def _group_texts(code: np.ndarray, groups_of: np.ndarray) -> pa.Array:
+    """The text of each segment's groups."""
+    ends_a, ends_b = code & 1 == 1, code & 2 == 2
+    of_group = np.cumsum(ends_a & ends_b, dtype=np.int32)  # groups that have ended with each link
+    n_groups = int(of_group[-1]) if len(code) else 0
+    of_group -= ends_a & ends_b
+
+    def side(shift: int, ends: np.ndarray) -> pa.Array:
+        ids = (code[ends] >> shift & 0xFFFFFF).astype(np.int32)
+        return _joined(np.bincount(of_group[ends], minlength=n_groups), pa.array(ids).cast(pa.string()), ",")
+
+    return _joined(groups_of, pc.binary_join_element_wise(side(26, ends_a), side(2, ends_b), "|"), ";")
+
+
 def put_together(links: pa.Table, docs: pa.Table) -> pa.Table:
     """One block: its documents, its pairs and in how many of its documents they are."""
     docs = docs.sort_by("row")
     if not docs.num_rows:
         raise RuntimeError("two passes over the documents saw other rows or another order: save the documents before they are aligned")
-    rows = links.column("row").to_numpy()
-    order = np.argsort(rows, kind="stable")
-    lists = links.column("codes").combine_chunks().take(pa.array(order)) if len(rows) else pa.array([], pa.list_(pa.int64()))
-    code = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows, code = _ordered(links)
     ns = docs.column("n").to_numpy()
-    each = [_unpacked(data, n) for data, n in zip(docs.column("refs").to_pylist(), ns.tolist())]
+    each = [_unpacked(data, n).astype(np.int32) for data, n in zip(docs.column("refs").to_pylist(), ns.tolist())]
     n_segments = 1 + max([int(rows.max(initial=-1)), *(int(r.max(initial=-1)) for r in each)])
-    per, groups_of = np.zeros(n_segments, np.int64), np.zeros(n_segments, np.int64)
-    per[rows], groups_of[rows[order]] = pc.list_value_length(links.column("codes")).to_numpy(), links.column("groups").to_numpy()[order]
+    per, groups_of = np.bincount(rows, minlength=n_segments), np.bincount(rows[code & 3 == 3], minlength=n_segments)
     sound = per > 0  # of other segments the tokens do not spell them
     each = [r if not len(r) or sound[r].all() else r[:0] for r in each]
-    at, refs = np.concatenate([[0], np.cumsum([len(r) for r in each])]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *each])
+    at, refs = np.concatenate([[0], np.cumsum([len(r) for r in each])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *each])
+    del rows, each  # two blocks may be in an executor at once
 
     starts = np.concatenate([[0], np.cumsum(per)])
-    ends_a, ends_b = code & 1 == 1, code & 2 == 2
-    after = np.cumsum(ends_a & ends_b)  # groups that have ended with each link
-    of_group = after - (ends_a & ends_b)
-    n_groups = int(after[-1]) if len(code) else 0
-
-    def side(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-        return _joined(np.bincount(of_group[ends], minlength=n_groups), pa.array(ids[ends]).cast(pa.string()), ",")
-
-    groups = pc.binary_join_element_wise(side(code >> 26, ends_a), side(code >> 2 & 0xFFFFFF, ends_b), "|")
-    texts = _joined(groups_of, groups, ";")
+    texts = _group_texts(code, groups_of)
+    trim()
     pairs, pair_of = np.unique(code >> 2, return_inverse=True)
+    pair_of, ends_a, ends_b = pair_of.astype(np.int32), code & 1 == 1, code & 2 == 2
+    del code
     sums = {name: _sums(x[refs], at) for name, x in (("a", _sums(ends_a, starts)), ("b", _sums(ends_b, starts)), ("groups", groups_of), ("links", per))}
     digests, counts = [], np.zeros(len(pairs), np.int64)
     low = 0
@@ -356,7 +373,7 @@ class Alignment:
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text", block_chars: int = BLOCK_CHARS, most_shipped: int = MOST_SHIPPED) -> Alignment:
     """``path_a``: a file of tiktoken ranks; ``path_b``: a sentencepiece model; every executor can read them."""
     path_a, path_b = path_a or path_of(VOCABULARY_A), path_b or path_of(VOCABULARY_B)
-    links = segment_links(segments(docs, text_col, path_a, path_b, block_chars), token_lengths(docs.sparkSession, path_a, path_b))
+    links = segment_links(segments(docs, text_col, path_a, path_b, block_chars), id_bits(path_a, path_b))
     texts = references(docs, text_col, path_b, block_chars)
     made = saved(links.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(put_together, BLOCK), "alignment-blocks")
     totals = made.select(F.inline(F.arrays_zip("pairs", "n_docs"))).groupBy(F.col("pairs").alias("code")).agg(F.sum("n_docs").alias("total"))

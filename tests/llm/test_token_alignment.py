@@ -106,3 +106,15 @@ def test_empty_table_and_clashing_columns(spark, docs, empty):
     assert token_alignment.op13_token_alignment(empty).count() == 0
     clash = docs.selectExpr("*", "1 AS block", "2 AS row", "3 AS kind", "4 AS tokens", "5 AS n", "6 AS n_a")
     assert clash.count() == token_alignment.op13_token_alignment(clash).count()
+
+
+def test_segments_of_several_runs_and_a_lean_plan(spark, coders, empty):
+    rows = [(1, "é" * 12_000 + " end"), (2, "x-" * 30_000), (3, "left ▁ out " + "y" * 20_000), (4, " " + "word's " * 5_000), (5, "word's")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = token_alignment.align(docs, block_chars=100_000)
+    assert Counter(map(tuple, found.documents.collect())) == brute(docs.collect(), coders)
+    paths = path_of("byte_bpe_50k.tiktoken"), path_of("piece_bpe_32k.model")
+    runs = token_alignment.segments(docs, "text", *paths, 100_000)
+    assert {r["base"] for r in runs.collect()} == {0, 1, 2, 3}
+    plan = token_alignment.segment_links(runs, token_alignment.id_bits(*paths))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and not any(x in plan for x in ("Join", "collect_list"))
