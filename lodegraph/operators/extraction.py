@@ -11,7 +11,8 @@ from lodegraph.functions import text as T
 MEMORY_BUDGET = {"greeting": 0, "meta": 2000, "factual_simple": 4000, "factual_complex": 8000, "analytical": 12000, "cross_expert": 12000, "hierarchical": 8000}
 REPORTS_TO = r"(?:the )?([a-z][a-z ]{2,30}?) (?:reports? to|answers? to) (?:the )?([a-z][a-z ]{2,30}?)(?=[.,;]|$| and )"
 MANAGES = r"(?:the )?([a-z][a-z ]{2,30}?) (?:manages?|leads?|runs?) (?:the )?([a-z][a-z ]{2,30}?)(?=[.,;]|$| and )"
-TEAM = r"team of ([0-9]{1,6})"
+TEAM = r"team of ([0-9]+)"
+LARGEST_TEAM = 100_000
 REVENUE = r"\$ ?([0-9][0-9,.]*) ?(k|m|b|thousand|million|billion)?\b"
 STEP = r"(?im)^\s*(?:step )?[0-9]+[.):]\s+\S"
 
@@ -57,11 +58,14 @@ def organisation(texts: DataFrame, roles: list[str], id_col: str = "doc_id", tex
     return both.where(F.col("upper").isin(*roles) | F.col("lower").isin(*roles)).distinct()
 
 
-def business_facts(texts: DataFrame, departments: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Departments by alias, the largest team within 1 and 100000, and the largest amount above 100."""
+def business_facts(texts: DataFrame, departments: dict[str, str], id_col: str = "doc_id", text_col: str = "text", largest: int | None = LARGEST_TEAM) -> DataFrame:
+    """Departments by alias, the largest team of 1 to ``largest`` (None: any size), and the largest amount above 100.
+
+    Numbers are read whole; teams beyond 32 bits are no teams.
+    """
     low = F.lower(F.col(text_col))
     named = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(low.rlike(rf"\b{a}\b"), F.lit(d)) for a, d in departments.items())))))
-    sizes = F.filter(F.transform(F.regexp_extract_all(low, F.lit(TEAM), F.lit(1)), lambda s: s.cast("int")), lambda n: n.between(1, 100_000))
+    sizes = F.filter(F.transform(F.regexp_extract_all(low, F.lit(TEAM), F.lit(1)), lambda s: s.try_cast("int")), lambda n: (n >= 1) & (n <= largest if largest is not None else F.lit(True)))
     unit = lambda u: F.when(u.startswith("k") | u.startswith("t"), 1e3).when(u.startswith("m"), 1e6).when(u.startswith("b"), 1e9).otherwise(1.0)
     money = F.arrays_zip(F.regexp_extract_all(low, F.lit(REVENUE), F.lit(1)).alias("n"), F.regexp_extract_all(low, F.lit(REVENUE), F.lit(2)).alias("u"))
     amounts = F.filter(F.transform(money, lambda m: F.regexp_replace(F.regexp_replace(m["n"], ",", ""), r"\.$", "").try_cast("double") * unit(m["u"])), lambda a: a > 100)
