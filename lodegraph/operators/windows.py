@@ -32,9 +32,10 @@ def compact_turns(turns: DataFrame, conv: str, turn: str, tokens: str, budget: i
 
 
 def run_segments(log: DataFrame, key: str, ts: str, command: str, last_command: str, gap_seconds: int) -> DataFrame:
-    """Adds run: a run ends after ``last_command`` or before a gap."""
-    w = Window.partitionBy(key).orderBy(ts, command)
-    before, gap = F.lag(command).over(w), F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp"))
+    """Adds run: a run ends after ``last_command`` or before a gap, between times in whole seconds, rounded; rows without a time come last."""
+    w = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last(), F.col(command).asc_nulls_last())
+    seconds = lambda t: F.rint(F.unix_micros(t.cast("timestamp")) / 1e6).cast("long")
+    before, gap = F.lag(command).over(w), seconds(F.col(ts)) - seconds(F.lag(ts).over(w))
     starts = F.coalesce((before == last_command) | (gap > gap_seconds), F.lit(False))
     return log.withColumn("_starts", starts.cast("int")).withColumn("run", F.sum("_starts").over(w)).drop("_starts")
 

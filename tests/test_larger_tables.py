@@ -32,3 +32,14 @@ def test_teams_of_any_size_are_facts(spark, tmp_path):
     texts = spark.createDataFrame([(1, "a team of 9 and a team of 100001"), (2, "a team of 1000001"), (3, "a team of 99999999999 or a team of 3")], "doc_id long, text string")
     teams = lambda **more: {r["id"]: r["team"] for r in extraction.business_facts(texts, {"hr": "people"}, **more).collect()}
     assert teams() == {1: 9, 2: None, 3: 3} and teams(largest=None) == {1: 100_001, 2: 1_000_001, 3: 3}
+
+
+def test_gaps_are_between_rounded_seconds(spark, tmp_path):
+    """86400.4 s from .3 to .7 of a second is a gap of 86401 s in SQL; 86400.5 s from .9 to .4 is one of 86400."""
+    at = lambda d, us: f"TIMESTAMP '2026-01-0{d} 00:00:00' + make_dt_interval(0, 0, 0, {us})"
+    rows = [(1, at(1, 0.3), "view"), (1, at(2, 0.7), "view"), (2, at(1, 0.9), "view"), (2, at(2, 1.4), "view"), (2, "NULL", "view"), (3, at(1, 0.5), "purchase"), (3, at(1, 0.5), "purchase"), (3, at(1, 0.5), "view"), (3, at(2, 1.5), None)]
+    picked = [f"SELECT {u}L AS user_id, CAST({t} AS TIMESTAMP_NTZ) AS ts, CAST({f'{k!r}' if k else 'NULL'} AS STRING) AS event_type" for u, t, k in rows]
+    folder = tables(tmp_path, events=spark.sql(" UNION ALL ".join(picked)))
+    assert equals_sql(spark, "run_segmentation", folder, "events")
+    runs = {(r["user_id"], r["run"], r["n"]) for r in catalogue.QUERIES["run_segmentation"](spark, folder).collect()}
+    assert {(1, 0, 1), (1, 1, 1), (2, 0, 3)} <= runs
