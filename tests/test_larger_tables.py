@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
-from lodegraph.operators import extraction
+from lodegraph.operators import citing, extraction
 from lodegraph.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +46,24 @@ def test_gaps_are_between_rounded_seconds(spark, tmp_path):
     assert equals_sql(spark, "run_segmentation", folder, "events")
     runs = {(r["user_id"], r["run"], r["n"]) for r in catalogue.QUERIES["run_segmentation"](spark, folder).collect()}
     assert {(1, 0, 1), (1, 1, 1), (2, 0, 3)} <= runs
+
+
+def test_citations_repeat_no_words_for_each_word(spark):
+    """A row of all words for each word of a text shuffles as little and was broadcast as much: the driver ran out of memory."""
+    texts = [" ".join(f"word{i * 7 % 400} topic{i}" for i in range(n, n + 60)) for n in range(40)]
+    paragraphs = spark.createDataFrame([("all", f"p{i}", t + " and so on") for i, t in enumerate(texts)], "owner string, paragraph string, text string")
+    entries = spark.createDataFrame([("all", f"e{i}", t) for i, t in enumerate(texts)], "owner string, entry string, text string")
+    found = citing.fuzzy_citations(paragraphs, entries, "owner")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan.replace("Generate explode(named", "")
+    assert {(r["paragraph"], r["entry"]) for r in found.where("rank = 1").collect()} == {(f"p{i}", f"e{i}") for i in range(40)}
+
+
+def test_bounded_ratio_is_the_ratio(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) * rng.choice((1, 1, 5)) for _ in range(2))
+        matcher = SequenceMatcher(None, a, b)
+        want = matcher.ratio()
+        for floor in (0.2, 0.45, want, 0.9):
+            assert citing._ratio(matcher, len(a), len(b), floor) == want or want < floor
