@@ -15,6 +15,8 @@ from lodegraph.session import cut
 
 MERGE, REVIEW, ALIAS_REVIEW = 0.95, 0.85, 0.5
 MAX_GRAM = 4
+#: Ratios that names are compared down to, one after the other, before the floor.
+STAGES = (0.95, 0.9)
 STATUS_ACTIVE, STATUS_TRACKING = 10, 5
 
 
@@ -71,15 +73,38 @@ def similar_pairs(names: DataFrame, candidates: DataFrame, floor: float) -> Data
     return by_gram.select("name", "a", "candidate", "b").union(by_length.select("name", "a", "candidate", "b"))
 
 
+def _one_letter_pairs(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(name, a, candidate, b) where a and b are equal or one is the other without one letter: an equi-join, as each has few such forms."""
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    forms = lambda f, t: f.where(F.length(t) > 0).withColumn("k", F.explode(F.array_distinct(shorter(F.col(t)))))
+    columns = ["name", "a", "candidate", "b"]
+    less = forms(names, "a").unionByName(names.withColumn("k", F.col("a"))).join(candidates.withColumn("k", F.col("b")), "k")
+    more = names.withColumn("k", F.col("a")).join(forms(candidates, "b"), "k")
+    return less.select(columns).union(more.select(columns))
+
+
 def best_match(names: DataFrame, candidates: DataFrame, floor: float = REVIEW) -> DataFrame:
     """(name, candidate, ratio): the most similar candidate at or above ``floor``; equal ones by candidate.
 
-    All pairs that can reach the floor are compared, in Arrow batches.
+    Candidates that differ by one letter more or less are met first: any other one has a ratio of n / (n + 1) at most, of n
+    letters of the name, and names with a higher one are done. All others are compared with every candidate that can reach
+    0.95, those without one then 0.9, and so on down to the floor, in Arrow batches.
     """
-    pairs = similar_pairs(names, candidates, floor).repartition("name", "candidate")  # few rows make many pairs
-    scored = pairs.select("name", "candidate", sequence_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= floor)
-    order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")
-    return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    plain = lambda f, as_: cut(f.select(F.col("name").alias(as_[0])).where(f"{as_[0]} IS NOT NULL").distinct().withColumn(as_[1], strip_accents(as_[0])))
+    left, c = plain(names, ("name", "a")), plain(candidates, ("candidate", "b"))
+
+    def best(pairs: DataFrame, least: float) -> DataFrame:
+        scored = pairs.repartition("name", "candidate").select("name", "candidate", F.length("a").alias("n"), sequence_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= least)  # few rows make many pairs
+        order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")
+        return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+    found = [cut(best(_one_letter_pairs(left, c), floor).where(F.col("ratio") > F.col("n") / (F.col("n") + 1)))]
+    for least in (*(x for x in STAGES if x > floor), floor):
+        left = cut(left.join(found[-1].select("name"), "name", "left_anti"))
+        if left.isEmpty():
+            break
+        found.append(cut(best(similar_pairs(left, candidates, least), least)))
+    return reduce(DataFrame.union, found).select("name", "candidate", "ratio")
 
 
 def normalise(names: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:

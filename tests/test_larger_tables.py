@@ -6,8 +6,10 @@ import random
 from difflib import SequenceMatcher
 
 import duckdb
-from lodegraph.operators import citing, extraction
+import pytest
+from lodegraph.operators import citing, entity, extraction
 from lodegraph.plans import catalogue
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,3 +69,25 @@ def test_bounded_ratio_is_the_ratio(spark):
         want = matcher.ratio()
         for floor in (0.2, 0.45, want, 0.9):
             assert citing._ratio(matcher, len(a), len(b), floor) == want or want < floor
+
+
+def test_numbered_names_find_their_own(spark):
+    """All pairs of numbered names are alike; the best candidate lacks one letter or has one more. Brute force agrees."""
+    registry = [f"Supplier#{i:09d}" for i in range(120)] + ["", "a", "ab", "aba", "abab", "Supplier#00000007", "SUPPLIER#000000011", "banana", "bananana"]
+    asked = [f"{x}x" for x in registry] + ["b", "ba", "bab", "supplier#000000007", "Supplier#0000000", "bananan", "Kupplier#000000012", "Supplier#000000x99"]
+    frame = lambda names: spark.createDataFrame([(x,) for x in names], "name string")
+    for floor in (0.85, 0.6):
+        want = {}
+        for x in asked:
+            ratio, best = max((SequenceMatcher(None, x.lower(), y.lower()).ratio(), [-ord(k) for k in y] + [1], y) for y in registry)[::2]
+            if ratio >= floor:
+                want[x] = (best, ratio)
+        assert {r["name"]: (r["candidate"], r["ratio"]) for r in entity.best_match(frame(asked), frame(registry), floor).collect()} == want
+
+
+def test_numbered_names_make_no_pairs_of_all(spark, monkeypatch):
+    """A thousand numbered names are settled by an equi-join: none is left for the comparison of all that may be alike."""
+    monkeypatch.setattr(entity, "similar_pairs", lambda *_: pytest.fail("names were left"))
+    names = spark.range(1000).select(F.format_string("Supplier#%09d", "id").alias("name"))
+    got = entity.best_match(names.select(F.concat("name", F.lit("x")).alias("name")), names)
+    assert got.where("name = concat(candidate, 'x') AND abs(ratio - 36 / 37d) < 1e-12").count() == 1000
