@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text as T
 
 
-def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """recall@k, nDCG@k and first relevant rank of each query: results (query_id, id, rank), relevant (query_id, id)."""
+def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """recall@k, nDCG@k and first relevant rank of each query: results (query_id, id, rank), relevant (query_id, id).
+
+    With ``total`` (query_id, n_relevant), ``relevant`` need only have the pairs that are in the results.
+    """
     rel = relevant.select("query_id", "id").distinct()
-    total = rel.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    total = rel.groupBy("query_id").agg(F.count("*").alias("n_relevant")) if total is None else total
     hits = results.where(F.col("rank") <= k).join(rel, ["query_id", "id"])
     found = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.min("rank").alias("first_hit"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
@@ -19,6 +22,15 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
     return joined.select("query_id", "n_relevant", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce(F.col("hits") / F.col("n_relevant"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"), "first_hit")
 
 
+def relevant_by_class(results: DataFrame, queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of queries (query_id, label) and items (id, label) that are relevant where labels are equal: the pairs (query_id, id) among the results, and
+    (query_id, n_relevant) of all. All pairs would be the square of a class.
+    """
+    met = results.select("query_id", "id").distinct().join(queries.distinct(), "query_id").join(items.distinct(), ["id", "label"])
+    sizes = items.groupBy("label").agg(F.count_distinct("id").alias("n"))
+    return met.select("query_id", "id"), queries.distinct().join(sizes, "label").groupBy("query_id").agg(F.sum("n").alias("n_relevant"))
+
+
 def id_precision(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Share of retrieved ids that were expected, per query."""
     marked = results.join(expected.select("query_id", "id", F.lit(1).alias("hit")).distinct(), ["query_id", "id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text as T
 from lodegraph.operators import evals, retrieval, vector_index
 from lodegraph.plans.catalogue import query
+from lodegraph.session import cut
 
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zà-ɏ]{{2,}}')"
 #: Sources stand in for the three isolation buckets.
@@ -192,6 +193,11 @@ def _rerank(read):
     return retrieval.rerank_head(results, relevance, 10).select("query_id", "id", "position")
 
 
+def labels(read) -> tuple[DataFrame, DataFrame]:
+    e = read("embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("id"), "label")
+
+
 RELEVANT = "SELECT e.vec_id AS query_id, o.vec_id AS id FROM embeddings e JOIN embeddings o ON e.label = o.label WHERE e.vec_id % 50 = 0"
 
 
@@ -200,16 +206,15 @@ h AS (SELECT query_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(ran
 SELECT query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits / n_relevant, 0), 6) AS recall,
   round(coalesce(dcg / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, first_hit FROM tot LEFT JOIN h USING (query_id)""", ints=("first_hit",))
 def _recall(read):
-    e = read("embeddings")
-    wanted = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return evals.retrieval_metrics(vector_results(read, 10), wanted, 10)
+    found = cut(vector_results(read, 10))
+    wanted, total = evals.relevant_by_class(found, *labels(read))
+    return evals.retrieval_metrics(found, wanted, 10, total)
 
 
 @query("id_precision", f"WITH {VEC_CTE}, rel AS ({RELEVANT}) SELECT vec.query_id, round(avg(CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END), 4) AS precision FROM vec LEFT JOIN rel USING (query_id, id) WHERE rank <= 10 GROUP BY vec.query_id")
 def _precision(read):
-    e = read("embeddings")
-    wanted = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return evals.id_precision(vector_results(read, 10), wanted)
+    found = cut(vector_results(read, 10))
+    return evals.id_precision(found, evals.relevant_by_class(found, *labels(read))[0])
 
 
 @query("pushed_filter", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src0'")

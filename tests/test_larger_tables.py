@@ -9,7 +9,7 @@ from operator import add
 
 import duckdb
 import pytest
-from lodegraph.operators import citing, entity, extraction, retrieval, vector_scan
+from lodegraph.operators import citing, entity, evals, extraction, retrieval, vector_scan
 from lodegraph.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -130,3 +130,16 @@ def test_vector_search_makes_no_rows_of_all_pairs(spark, tmp_path):
     for name in ("cosine_topk", "cosine_floor"):
         assert "Join" not in catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert equals_sql(spark, name, folder, "embeddings")
+
+
+def test_relevant_items_are_counted_by_class(spark, tmp_path):
+    """Items of the query's class are counted, and pairs made of the results alone; nulls are of no class."""
+    rows = [(i, [random.Random(4 * i + j).gauss(0, 1) for j in range(4)], None if i in (50, 51) else i % 2 if i < 900 else 7) for i in range(1001)]
+    folder = tables(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert equals_sql(spark, "recall_ndcg", folder, "embeddings") and equals_sql(spark, "id_precision", folder, "embeddings")
+    results = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 9, 1)], "query_id int, id int, rank int")
+    queries, items = (spark.createDataFrame(x, f"{c} int, label string") for x, c in (([(1, "a"), (2, "b"), (3, None), (4, "a")], "query_id"), ([(2, "a"), (3, "b"), (5, "a"), (9, None)], "id")))
+    pairs, total = evals.relevant_by_class(results, queries, items)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (2, 3)} and {tuple(r) for r in total.collect()} == {(1, 2), (2, 1), (4, 2)}
+    got = {r["query_id"]: (r["hits"], r["recall"], r["first_hit"]) for r in evals.retrieval_metrics(results, pairs, 10, total).collect()}
+    assert got == {1: (1, 0.5, 1), 2: (1, 1.0, 1), 4: (0, 0.0, None)}
