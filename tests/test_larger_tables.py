@@ -9,7 +9,7 @@ from operator import add
 
 import duckdb
 import pytest
-from lodegraph.operators import citing, entity, evals, extraction, retrieval, vector_scan
+from lodegraph.operators import citing, entity, evals, extraction, retrieval, vector_index, vector_scan
 from lodegraph.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -143,3 +143,17 @@ def test_relevant_items_are_counted_by_class(spark, tmp_path):
     assert {tuple(r) for r in pairs.collect()} == {(1, 2), (2, 3)} and {tuple(r) for r in total.collect()} == {(1, 2), (2, 1), (4, 2)}
     got = {r["query_id"]: (r["hits"], r["recall"], r["first_hit"]) for r in evals.retrieval_metrics(results, pairs, 10, total).collect()}
     assert got == {1: (1, 0.5, 1), 2: (1, 1.0, 1), 4: (0, 0.0, None)}
+
+
+def test_index_search_makes_no_row_for_each_list(spark):
+    """Queries are not repeated for the lists that they look into; the exact way equals the scan where copies fill a list, and where nothing passes."""
+    vectors = [[random.Random(9 * i + j).gauss(0, 1) for j in range(8)] for i in range(400)] + [[1.0] * 8] * 300 + [[0.0] * 8] * 5
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id int, embedding array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors) if i % 40 == 0] + [(900, [1.0] * 8), (901, None), (902, [1.0]), (903, [-1.0] * 8)], "query_id int, vector array<double>")
+    index = vector_index.build(frame)
+    for search in (vector_index.search, vector_index.search_exact):
+        assert "Join" not in search(index, queries)._jdf.queryExecution().optimizedPlan().toString()
+    shown = lambda f: {tuple(r) for r in f.select("query_id", "id", "score", "rank").collect()}
+    assert shown(vector_index.search_exact(index, queries, 7, probes=1)) == shown(retrieval.vector_topk(frame, queries, 7))
+    assert shown(vector_index.search_exact(index, queries, 7, floor=0.9)) == shown(retrieval.vector_topk(frame, queries, 7, 0.9))
+    assert shown(vector_index.search(index, queries, 7, probes=len(index.centroids))) == shown(retrieval.vector_topk(frame, queries, 7))
