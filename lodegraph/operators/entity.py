@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -21,18 +22,22 @@ STATUS_ACTIVE, STATUS_TRACKING = 10, 5
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, longest: int = MAX_GRAM) -> DataFrame:
-    """(id, entity, gram): the longest n-gram of a text that is an alias (alias, entity), the earliest of equals."""
-    words = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD), F.lit(0)).alias("w"))
-
-    def grams_of(n: int) -> DataFrame:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1)))
-        found = F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), (-i).alias("at"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-        return words.select("id", F.explode(found).alias("g"))
-
-    grams = reduce(DataFrame.union, [grams_of(n) for n in range(1, longest + 1)])
-    met = grams.select("id", "g.*").join(aliases.select(F.lower("alias").alias("gram"), "entity"), "gram")
-    best = met.groupBy("id").agg(F.max(F.struct("n", "at", "entity", "gram")).alias("b"))
-    return best.select("id", "b.entity", "b.gram")
+    """(id, entity, gram): the longest n-gram of a text that is an alias (alias, entity), the earliest of equals; of entities of one alias the last.
+
+    Aliases are written out first, so Spark knows their size and need not shuffle grams to few of them. What a gram is worth
+    is one number (length, place, hash of the alias), so that a task keeps one row a text before anything is shuffled.
+    """
+    known = cut(aliases.where("alias IS NOT NULL").groupBy(F.lower("alias").alias("gram")).agg(F.max("entity").alias("entity")).withColumn("code", F.xxhash64("gram").cast("decimal(20,0)") + F.lit(Decimal(2**63))))
+    sizes = sorted(r["n"] for r in known.select(F.size(F.split("gram", " ")).alias("n")).distinct().where(F.col("n") <= longest).collect())  # at most ``longest`` rows
+    words = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD), F.lit(0)).alias("w")).where("w IS NOT NULL")
+    following = F.arrays_zip(*(F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{i}") for i in range(max(sizes, default=1))))
+    rows = words.select("id", F.posexplode(following).alias("i", "at"))
+    gram = lambda n: F.when(F.col(f"at.w{n - 1}").isNotNull(), F.concat_ws(" ", *(f"at.w{i}" for i in range(n))))
+    every = F.array(*(F.struct((F.lit(n * 2**31) - F.col("i") - 1).alias("place"), gram(n).alias("gram")) for n in sizes or [1]))
+    grams = rows.select("id", F.inline(every)).where("gram IS NOT NULL")
+    worth = F.col("place").cast("decimal(12,0)") * F.lit(Decimal(2**64)) + F.col("code")
+    best = grams.join(known.select("gram", "code"), "gram").groupBy("id").agg(F.max(worth).alias("worth"))
+    return best.withColumn("code", (F.col("worth") % F.lit(Decimal(2**64))).cast("decimal(21,0)")).join(known.withColumn("code", F.col("code").cast("decimal(21,0)")), "code").select("id", "entity", "gram")
 
 
 def _bigrams(text: Column) -> Column:
