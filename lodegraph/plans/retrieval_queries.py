@@ -130,7 +130,7 @@ FROM t LEFT JOIN vd USING (query_id, id)""",
 )
 def _rescore(read):
     words, found, vectors = arms(read)
-    fused = retrieval.rrf(words, found)
+    fused = cut(retrieval.rrf(words, found))  # it is read twice
     out = retrieval.rescored(fused, retrieval.cosines(fused, read("embeddings"), vectors))
     return out.select("query_id", "id", F.round("normalised", 6).alias("normalised"), F.round("blended", 6).alias("blended"))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 from operator import add
 
 import duckdb
 import pytest
-from lodegraph.operators import citing, entity, evals, extraction, retrieval, vector_index, vector_scan
+from lodegraph.operators import citing, entity, evals, extraction, retrieval, vector_index, vector_scan, word_scan
 from lodegraph.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -180,3 +182,32 @@ def test_longest_aliases_are_kept_before_the_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
     assert entity.alias_matches(frames[0], frames[1].limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("rows", [512, 2])
+def test_word_search_shuffles_no_postings(spark, monkeypatch, rows):
+    """The best documents of each query by plain BM25, with copies, repeated terms, nulls and queries without words, in one block of queries and in many."""
+    monkeypatch.setattr(word_scan, "QUERY_ROWS", rows)
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("en", "er", "ung")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += texts[:40] + [None, "", "12 3", "AEN aen!"]
+    asked = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(9)] + ["", "nowhere at all", "aen aen aen"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    tokens = lambda t: re.findall("[a-zà-ɏ]{2,}", (t or "").lower())
+    held = [Counter(tokens(t)) for t in texts]
+    mean, want = sum(sum(h.values()) for h in held) / len(held), {}
+    for q, text in enumerate(asked):
+        scores = {}
+        for i, h in enumerate(held):
+            for term, times in Counter(tokens(text)).items():
+                df = sum(term in x for x in held)
+                if h[term]:
+                    scores[i] = scores.get(i, 0) + times * math.log((len(held) - df + 0.5) / (df + 0.5) + 1) * h[term] * 2.5 / (h[term] + 1.5 * (0.25 + 0.75 * sum(h.values()) / mean))
+        want |= {(q, i): (round(s, 9), n) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7], 1)}
+    found = retrieval.bm25(frame, queries, 7)
+    assert {(r["query_id"], r["id"]): (round(r["score"], 9), r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert retrieval.bm25(frame.limit(0), queries, 7).count() == retrieval.bm25(frame, queries.limit(0), 7).count() == 0
